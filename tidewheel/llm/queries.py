@@ -33,6 +33,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewheel.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewheel.llm.spotsigs import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewheel.llm.sharding import shard
 
@@ -58,6 +70,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_secrets": op5_secrets,
+    "op7_spotsigs": op7_spotsigs,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_chat_formatting": op10_chat_formatting,
