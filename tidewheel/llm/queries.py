@@ -39,6 +39,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewheel.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewheel.llm.spotsigs import fingerprint
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_spotsigs": op7_spotsigs,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
