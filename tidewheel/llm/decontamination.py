@@ -113,6 +113,21 @@ def proximity(postings: DataFrame, windows: DataFrame, least: int, span: int) ->
     return rows.groupBy("rid", "win").agg(F.max("have").cast("int").alias("have"), F.max_by("pos", F.struct("have", -F.col("pos"))).alias("start")).filter(F.col("have") >= least)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item.
+
+    Rows are told apart by id and text digest, so the index never carries texts.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = docs.select(key.alias("doc_id"), "text")
+    postings, wins, small = build(named, items, window)
+    rids = matches(postings, wins, small).select("rid").distinct()
+    bad = postings.filter(F.col("term") == END).join(rids, "rid", "left_semi").select(F.col("doc_id").alias("_key")).distinct()
+    bad = shared.materialise(bad, "contaminated")
+    few = bad.count() <= BROADCAST_ROWS
+    return docs.withColumn("_key", key).join(F.broadcast(bad) if few else bad, "_key", "left_anti").select(*docs.columns)
+
+
 def build(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, bool]:
     """(postings, windows as term numbers with their items, whether the terms may be broadcast)."""
     windows = item_windows(items, window)
