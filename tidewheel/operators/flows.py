@@ -17,13 +17,13 @@ def side(trips: DataFrame, arrivals: bool) -> DataFrame:
     """One end of each trip whose station is known, with sign +1 (arrival) or -1 (departure)."""
     end, at = ("end", "ended_at") if arrivals else ("start", "started_at")
     return trips.filter(F.col(f"{end}_station_id").isNotNull()).select(
-        F.col(f"{end}_station_id").alias("station_id"), F.col(f"{end}_station_name").alias("station_name"), F.col(at).alias("at"),
+        F.col(f"{end}_station_id").alias("station_id"), F.col(f"{end}_station_name").alias("station_name"), F.col(at).alias("moment"),
         F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lng").alias("lng"), F.lit(1 if arrivals else -1).cast("long").alias("sign"))
 
 
 def sides(trips: DataFrame) -> DataFrame:
     both = side(trips, True).unionByName(side(trips, False))
-    return both.withColumns({"month": S.month_key("at"), "day_type": S.day_type("at"), "date": F.to_date("at"), "hour": F.hour("at")})
+    return both.withColumns({"month": S.month_key("moment"), "day_type": S.day_type("moment"), "date": F.to_date("moment"), "hour": F.hour("moment")})
 
 
 def days_per_bucket(trips: DataFrame) -> DataFrame:
@@ -91,11 +91,14 @@ def monthly_from_daily(daily: DataFrame) -> DataFrame:
 
 
 def curve_points(monthly: DataFrame) -> DataFrame:
-    """Weighted mean flow by hour at all-period, seasonal and monthly grain in one grouping-sets pass."""
-    rows = monthly.withColumns({"season": S.season("month"), "w": F.col("net_per_day") * F.col("n_days")})
+    """Weighted mean flow by hour at all-period, seasonal and monthly grain in one grouping-sets pass.
+
+    Sums are of whole thousandths, so their order decides no rounding.
+    """
+    rows = monthly.withColumns({"season": S.season("month"), "w": F.bround(F.col("net_per_day") * 1000, 0).cast("long") * F.col("n_days")})
     sets = rows.groupingSets(
         [[F.col("station_id"), F.col("day_type"), F.col("hour")], [F.col("station_id"), F.col("day_type"), F.col("hour"), F.col("season")], [F.col("station_id"), F.col("day_type"), F.col("hour"), F.col("month")]],
-        "station_id", "day_type", "hour", "season", "month").agg(F.bround(F.sum("w") / F.sum("n_days"), 3).alias("value"))
+        "station_id", "day_type", "hour", "season", "month").agg((F.bround(F.sum("w") / F.sum("n_days"), 0) / 1000).alias("value"))
     grain = F.when(F.col("month").isNotNull(), "month").when(F.col("season").isNotNull(), "season").otherwise("all")
     return sets.select("station_id", grain.alias("grain"), F.coalesce("month", "season", F.lit("all")).alias("period"), "day_type", "hour", "value")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.session import prepare_workers
 
 STOPS = "truck int, capped boolean, stop int, station_id string, action string, amount int, running_load int"
 
@@ -77,6 +78,7 @@ def fleet_sweep(cands: DataFrame, sizes=C.FLEET_SIZES, capacity: int = C.TRUCK_C
     (thousands); scenarios run in parallel.
     """
     spark = cands.sparkSession
+    prepare_workers(spark)
     packed = cands.select(F.struct("station_id", "lat", "lng", "kind", "magnitude").alias("c")).agg(F.array_sort(F.collect_list("c")).alias("stations"))
     jobs = packed.join(spark.createDataFrame([(n,) for n in sizes], "n_trucks int")).repartition(len(sizes), "n_trucks")
 

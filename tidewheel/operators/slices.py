@@ -5,10 +5,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def totals(points: DataFrame) -> DataFrame:
-    """Per (period, day type, hour): bikes out of place, bikes to move, stations covered."""
-    deficit = F.when(F.col("value") < 0, -F.col("value")).otherwise(0.0)
+    """Per (period, day type, hour): bikes out of place, bikes to move, stations covered; summed in whole thousandths."""
+    k = F.bround(F.col("value") * 1000, 0).cast("long")
+    whole = lambda c: F.bround(F.sum(c) / 1000, 0)
     return points.groupBy("period", "day_type", "hour").agg(
-        F.bround(F.sum(F.abs("value")), 0).alias("out_of_place"), F.bround(F.sum(deficit), 0).alias("to_move"), F.countDistinct("station_id").alias("n_stations"))
+        whole(F.abs(k)).alias("out_of_place"), whole(F.when(k < 0, -k).otherwise(0)).alias("to_move"), F.countDistinct("station_id").alias("n_stations"))
 
 
 def buckets(points: DataFrame, inner: float = 1.0) -> DataFrame:

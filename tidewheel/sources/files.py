@@ -1,7 +1,6 @@
 """Readers and writers of the mobility feeds: trip archives, logs, JSON documents, paged and per-point APIs."""
 from __future__ import annotations
 
-import csv
 import io
 import json
 import os
@@ -205,6 +204,3 @@ def station_documents(curves: DataFrame, stations: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
-
-def parse_csv_rows(text: str) -> list[dict]:
-    return list(csv.DictReader(io.StringIO(text)))
