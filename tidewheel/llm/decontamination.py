@@ -60,7 +60,7 @@ def index(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     words = split_words(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w")).withColumn("rid", F.monotonically_increasing_id())
     # without a first empty string, positions count from it; the last element is replaced by the end mark
-    lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
+    lead = F.when((F.element_at("w", 1) == "") & (F.size("w") > 1), 1).otherwise(0)
     last = F.when(F.element_at("w", -1) == "", 1).otherwise(0)
     whole = F.when(last == 1, F.col("w")).otherwise(F.array_append("w", F.lit("")))
     rows = rows.select("rid", "doc_id", lead.alias("lead"), F.posexplode(whole).alias("at", "cased"))
@@ -122,10 +122,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     named = docs.select(key.alias("doc_id"), "text")
     postings, wins, small = build(named, items, window)
     rids = matches(postings, wins, small).select("rid").distinct()
-    bad = postings.filter(F.col("term") == END).join(rids, "rid", "left_semi").select(F.col("doc_id").alias("_key")).distinct()
+    name = shared.fresh(docs, "text_key")
+    bad = postings.filter(F.col("term") == END).join(rids, "rid", "left_semi").select(F.col("doc_id").alias(name)).distinct()
     bad = shared.materialise(bad, "contaminated")
     few = bad.count() <= BROADCAST_ROWS
-    return docs.withColumn("_key", key).join(F.broadcast(bad) if few else bad, "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(F.broadcast(bad) if few else bad, name, "left_anti").select(*docs.columns)
 
 
 def build(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, bool]:

@@ -243,28 +243,38 @@ def verified(docs: DataFrame, node: DataFrame, groups: DataFrame, words: int, le
     return rows.mapInArrow(verify, "nid long, links long, root long")
 
 
-def join(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links (other texts at ``least`` or more), n_copies (of its own text)."""
+def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per distinct text: key, doc_id (its least), label (its class), class_id, n_links, n_copies."""
     depth = depth_for(least)
     node = nodes(docs, words, depth)
     groups = components(likely(node, meetings(node, depth), least))
     proof = shared.materialise(verified(docs, node, groups, words, least), "links")
     links = proof.groupBy("nid").agg(F.sum("links").alias("n_links"))
-    classes = components(proof.select(F.col("nid").alias("a"), F.col("root").alias("b")))
-    placed = node.select("nid", "key", "doc_id", "copies").join(classes.withColumnRenamed("node", "nid"), "nid", "left").join(links, "nid", "left")
-    placed = placed.select("key", "doc_id", "copies", F.coalesce("label", "nid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = components(proof.select(F.col("nid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "nid")
+    placed = node.select("nid", "key", "doc_id", "copies").join(found, "nid", "left").join(links, "nid", "left")
+    placed = placed.select("key", "doc_id", F.coalesce("label", "nid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    placed = shared.materialise(placed.join(named, "label").select("key", "class_id", "n_links", F.col("copies").alias("n_copies")), "classes")
-    return keyed(docs).select("doc_id", "key").join(placed, "key").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
+    return shared.materialise(placed.join(named, "label"), "classes")
+
+
+def join(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links (other texts at ``least`` or more), n_copies (of its own text)."""
+    placed = classes(docs, words, least).select("key", "class_id", "n_links", "n_copies")
+    return keyed(docs).select("doc_id", "key").join(placed, "key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with the document of the least id of each class only; repeats of that very row go too."""
-    cols = docs.columns
-    stay = join(docs, words, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    stay = shared.materialise(stay.withColumn("n", F.lit(1)).groupBy("doc_id").agg(F.count("n").alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n")), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    once = kept.filter("_n = 1").select(*cols)
-    if stay.filter("n > 1").limit(1).count():
-        once = once.unionByName(kept.filter("_n > 1").dropDuplicates(["doc_id"]).select(*cols))
+    """``docs``, all columns, with one row of each class: the least doc_id's (a null id's only if there is no other)."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = classes(docs, words, least).groupBy("label").agg(F.min_by(F.struct("key", "doc_id"), order).alias("k")).select("k.key", "k.doc_id")
+    # a document that repeats row by row stays once; such rows are counted without their texts
+    named = keyed(docs).select("key", F.col("doc_id").alias("own"))
+    stay = stay.join(named, "key").filter(F.col("doc_id").eqNullSafe(F.col("own"))).groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    key, own, n = (shared.fresh(docs, c) for c in ("text_key", "kept_id", "kept_n"))
+    stay = shared.materialise(stay.select(F.col("key").alias(key), F.col("doc_id").alias(own), F.col("n").alias(n)), "stay")
+    text = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = docs.withColumn(key, text).join(stay, key).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    once = kept.filter(F.col(n) == 1).select(*docs.columns)
+    if stay.filter(F.col(n) > 1).limit(1).count():
+        once = once.unionByName(kept.filter(F.col(n) > 1).dropDuplicates([key]).select(*docs.columns))
     return once

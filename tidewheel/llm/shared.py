@@ -63,3 +63,11 @@ def drop_table(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         drop(df.sparkSession, os.path.dirname(files[0]))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
