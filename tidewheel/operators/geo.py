@@ -94,13 +94,15 @@ def zones(stations: DataFrame, cell_km: float = C.ZONE_CELL_KM) -> DataFrame:
 def polygon_centroid(multi) -> Column:
     """(lat, lng) struct of a MultiPolygon's area centroid; rings after a polygon's first are holes; null stays null."""
     multi = S.col(multi)
+    origin = multi[0][0][0]  # sums near the shape, not near the globe's origin, keep their digits
 
     def ring(points, sign):
         n = F.size(points)
         def step(acc, i):
             a, b = F.element_at(points, i), F.element_at(points, i + 1)
-            cross = a[0] * b[1] - b[0] * a[1]
-            return F.struct((acc["s"] + cross).alias("s"), (acc["x"] + (a[0] + b[0]) * cross).alias("x"), (acc["y"] + (a[1] + b[1]) * cross).alias("y"))
+            ax, ay, bx, by = a[0] - origin[0], a[1] - origin[1], b[0] - origin[0], b[1] - origin[1]
+            cross = ax * by - bx * ay
+            return F.struct((acc["s"] + cross).alias("s"), (acc["x"] + (ax + bx) * cross).alias("x"), (acc["y"] + (ay + by) * cross).alias("y"))
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
         total = F.aggregate(F.sequence(F.lit(1), n - 1), zero, step)
         turn = F.when(total["s"] < 0, -1.0).otherwise(1.0) * sign
@@ -109,7 +111,7 @@ def polygon_centroid(multi) -> Column:
     rings = F.flatten(F.transform(multi, lambda poly: F.transform(poly, lambda r, i: ring(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     total = F.aggregate(rings, zero, lambda a, r: F.struct((a["s"] + r["s"]).alias("s"), (a["x"] + r["x"]).alias("x"), (a["y"] + r["y"]).alias("y")))
-    return F.when(multi.isNotNull(), F.struct(F.try_divide(total["y"], 3 * total["s"]).alias("lat"), F.try_divide(total["x"], 3 * total["s"]).alias("lng")))
+    return F.when(multi.isNotNull(), F.struct((origin[1] + F.try_divide(total["y"], 3 * total["s"])).alias("lat"), (origin[0] + F.try_divide(total["x"], 3 * total["s"])).alias("lng")))
 
 
 def double_outage(status: DataFrame, metres: float = C.ADJACENT_M) -> DataFrame:
