@@ -40,8 +40,9 @@ def within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
 def nearest(points: DataFrame, facilities: DataFrame, key: str = "station_id", start_m: float = 2000.0) -> DataFrame:
     """Each point's nearest facility (first by ``ordinal`` on a tie): key, nearest, dist_m.
 
-    A hit within the cell size is exact; points without one try twice the size, until the size
-    covers the globe.  Only a count of open points reaches the driver.
+    A hit within the cell size is exact; points without one try four times the size, until the size
+    covers the globe.  Only a count of open points reaches the driver.  Cells do not wrap at 180 degrees,
+    so rows of one city must not stand on both sides of that meridian.
     """
     found, open_, metres = None, points.select(key, "lat", "lng"), start_m
     while True:
@@ -50,7 +51,7 @@ def nearest(points: DataFrame, facilities: DataFrame, key: str = "station_id", s
         best = best.select(key, F.col("b.other_name").alias("nearest"), F.col("b.dist_m").alias("dist_m"))
         found = best if found is None else found.unionByName(best)
         open_ = open_.join(best.select(key), key, "left_anti")
-        if metres > 5e6 or not open_.limit(1).count():
+        if metres > 4.2e7 or not open_.limit(1).count():
             return found
         metres *= 4
 
