@@ -39,9 +39,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset(["article", "main"])
 HINT = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar aside "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar aside "
     "footer cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing "
-    "related recommended breadcrumb breadcrumbs pagination pager comment comments disqus replies reply respond widget toolbar login search "
+    "related recommended breadcrumb breadcrumbs pagination pager comment comments commentlist disqus replies reply respond widget toolbar login search "
     "copyright legal disclaimer skip complementary contentinfo dialog".split())
 HEAD_HINT = frozenset("header masthead topbar".split())
 CONTENT_HINT = frozenset("article main story".split())
