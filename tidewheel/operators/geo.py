@@ -48,7 +48,7 @@ def nearest(points: DataFrame, facilities: DataFrame, key: str = "station_id", s
     while True:
         pairs = within(open_, facilities.select("name", "ordinal", "lat", "lng"), metres)
         best = pairs.groupBy(key).agg(F.min_by(F.struct("other_name", "dist_m"), F.struct("dist_m", "other_ordinal")).alias("b"))
-        best = best.select(key, F.col("b.other_name").alias("nearest"), F.col("b.dist_m").alias("dist_m"))
+        best = best.select(key, F.col("b.other_name").alias("nearest"), F.col("b.dist_m").alias("dist_m")).persist()  # a row per point; else each round would repeat all before it
         found = best if found is None else found.unionByName(best)
         open_ = open_.join(best.select(key), key, "left_anti")
         if metres > 4.2e7 or not open_.limit(1).count():
