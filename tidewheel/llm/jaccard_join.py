@@ -6,8 +6,9 @@
    sorted, so every subtrie is a run of rows.  From the full depth upwards a node meets the first
    node of each subtrie it belongs to: matched prefixes get shorter until ``depth_for`` says
    that a pair at the least similarity meets in some tree with the target recall.
-3. A meeting whose one-byte sketches put the similarity far below the bound is dropped; the rest
-   make groups (connected components), so no pair of a group is spelled out.
+3. A meeting whose one-byte sketches put the similarity far below the bound is dropped, and the
+   node meets its neighbours in that tree's sorted trie instead, those of the longest common
+   prefixes.  What is left makes groups (connected components), so no pair of a group is spelled out.
 4. Within a group all pairs are verified exactly, on shingle sets, in blocks of ``BLOCK`` by ``BLOCK``
    nodes.  Blocks report each node's number of links and one tree edge per node.
 5. Components of the verified edges are the classes.
@@ -111,8 +112,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
-def meetings(node: DataFrame, least_depth: int) -> DataFrame:
-    """Distinct (a, b): nodes and the first nodes of the subtries they belong to."""
+def tries(node: DataFrame, least_depth: int) -> DataFrame:
+    """A row per node and tree it shares a prefix in: (nid, firsts of its subtries, nids before and after it in the trie)."""
     levels = DEPTH - least_depth + 1
 
     def deal(batches):
@@ -130,8 +131,23 @@ def meetings(node: DataFrame, least_depth: int) -> DataFrame:
     rows = rows.withColumn("l0", F.min("nid").over(W.partitionBy("h0")))
     for i in range(1, levels):
         rows = rows.withColumn(f"l{i}", F.min("nid").over(W.partitionBy(*names[: i + 1])))
-    first = F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(levels)))))
-    return rows.filter(" OR ".join(f"l{i} <> nid" for i in range(levels))).select(F.col("nid").alias("a"), first.alias("b")).filter("a <> b").distinct()
+    order = W.partitionBy("h0").orderBy(*names[1:], "nid")
+    rows = rows.withColumn("before", F.lag("nid").over(order)).withColumn("after", F.lead("nid").over(order))
+    firsts = F.array_except(F.array(*(f"l{i}" for i in range(levels))), F.array("nid"))
+    rows = rows.select("nid", firsts.alias("firsts"), "before", "after").filter("size(firsts) > 0")
+    return shared.materialise(rows, "tries")
+
+
+def meetings(node: DataFrame, least_depth: int, least: float) -> DataFrame:
+    """Distinct likely (a, b): nodes and the firsts of their subtries; where a first is unlike a node, its neighbours in the trie."""
+    rows = tries(node, least_depth)
+    met = rows.select(F.col("nid").alias("a"), F.explode("firsts").alias("b")).distinct()
+    near = shared.materialise(likely(node, met, least), "near")
+    # a first that is unlike a node may stand before others that are like it
+    alone = rows.select(F.col("nid").alias("a"), F.explode("firsts").alias("b"), "before", "after").join(near, ["a", "b"], "left_anti")
+    beside = alone.select("a", F.explode(F.array("before", "after")).alias("b")).filter("b IS NOT NULL AND a <> b")
+    beside = beside.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
+    return near.union(likely(node, beside, least))
 
 
 def likely(node: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -247,7 +263,7 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per distinct text: key, doc_id (its least), label (its class), class_id, n_links, n_copies."""
     depth = depth_for(least)
     node = nodes(docs, words, depth)
-    groups = components(likely(node, meetings(node, depth), least))
+    groups = components(meetings(node, depth, least))
     proof = shared.materialise(verified(docs, node, groups, words, least), "links")
     links = proof.groupBy("nid").agg(F.sum("links").alias("n_links"))
     found = components(proof.select(F.col("nid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "nid")
