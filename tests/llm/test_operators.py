@@ -362,3 +362,17 @@ def test_pipeline(spark, tmp_path, whole):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r.doc_id] += r.length
     assert dict(got) == dict(want)
+
+
+def test_join_meets_neighbours_behind_an_unlike_first(spark):
+    depth = jaccard_join.depth_for(0.8)
+    levels = jaccard_join.DEPTH - depth + 1
+    rows = []
+    for nid in range(3):  # one common prefix, told apart one level deeper; the first is unlike the others
+        label = np.arange(jaccard_join.TREES * levels, dtype=np.uint64).reshape(-1, levels) + np.uint64(1000 * (nid + 1))
+        label[0, 0] = 7
+        label[0, 1:] = nid
+        sketch = np.full(jaccard_join.TREES * jaccard_join.DEPTH, 0 if nid == 0 else 9, np.uint8)
+        rows.append((nid, bytearray(sketch.tobytes()), bytearray(label.tobytes())))
+    node = spark.createDataFrame(rows, "nid long, sketch binary, labels binary")
+    assert [tuple(r) for r in jaccard_join.meetings(node, depth, 0.8).collect()] == [(2, 1)]
