@@ -334,6 +334,23 @@ def test_wrappers(spark):
     assert ")+" in w.expression() and ")?" in w.expression()
 
 
+def _extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)]
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("n", [8, 600])  # one wrapper, and several
+def test_wrappers_part_a_fixed_text_from_paragraphs_of_its_path(spark, n):
+    page = "<body><article><h1>T{0}</h1>{1}<p>Reprinted by permission.</p></article></body>"
+    got = _extracted(spark, [page.format(i, "".join(f"<p>body {i} {k}</p>" for k in range(1 + i % 3))) for i in range(n)])
+    assert got == {i: "\n".join([f"T{i}", *(f"body {i} {k}" for k in range(1 + i % 3))]) for i in range(n)}
+
+
+def test_wrappers_part_positions_of_one_path(spark):
+    page = "<body><div><p><a href=x>see {0}</a></p><h1>T{0}</h1><p>body {0} of many words</p></div></body>"
+    assert _extracted(spark, [page.format(i) for i in range(6)]) == {i: f"T{i}\nbody {i} of many words" for i in range(6)}
+
+
 def test_pipeline(spark, tmp_path, whole):
     import corpus_pipeline
 
