@@ -351,6 +351,15 @@ def test_wrappers_part_positions_of_one_path(spark):
     assert _extracted(spark, [page.format(i) for i in range(6)]) == {i: f"T{i}\nbody {i} of many words" for i in range(6)}
 
 
+def test_wrappers_keep_whole_articles(spark):
+    mixed = ["<body><article><p>marked</p></article></body>", "<body><div><p>not marked</p></div></body>"]
+    assert _extracted(spark, mixed) == {0: "marked", 1: "not marked"}
+    for tag in ("article class='post category-search'", "div id='content' class='has-sidebar'", "main class='no-banner'", "div class='banner'><article"):
+        assert _extracted(spark, [f"<body><{tag}><p>text</p>"]) == {0: "text"}
+    copies = [f"<body><div><p>date {i}</p><p>the same article</p></div></body>" for i in range(2)]
+    assert _extracted(spark, copies) == {i: f"date {i}\nthe same article" for i in range(2)}
+
+
 def test_pipeline(spark, tmp_path, whole):
     import corpus_pipeline
 

@@ -12,7 +12,8 @@ and fixed texts, of their own.
 By position, a text is the template's if the position holds a fixed text on ``LEAST_PAGES`` pages, or,
 without a main mark, if the blocks there are mostly links.  By container, it is boilerplate if
 one is a menu, page header, footer, sidebar, notice, advert, form, script, style or reader comments, by
-tag, role, class or id, or if its page marks a main part and it stands outside.
+tag, role, class or id, or if its page marks a main part and it stands outside.  Class words do
+not count for article and main elements, nor against an article inside the element that has them.
 Content becomes text block by block: character references decoded, white space one space, trimmed,
 joined in page order by one line feed.
 
@@ -51,6 +52,9 @@ HINT = frozenset(
     "copyright legal disclaimer skip complementary contentinfo dialog".split())
 HEAD_HINT = frozenset("header masthead topbar".split())
 CONTENT_HINT = frozenset("article main story".split())
+REPLIES = frozenset("comment comments commentlist disqus replies reply respond related recommended".split())
+WHOLE = frozenset("article main story content post entry hentry".split())  # with one of these, parts of other class names do not count
+WITHOUT = frozenset("has no with without".split())  # what follows is about other elements
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
@@ -62,7 +66,7 @@ def _attributes(attrs: str) -> tuple[str, frozenset, bool]:
     """(what tells this element from others of its name, hint words, hidden or not)."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return "", frozenset(), False
-    mark, words, hidden = "", set(), False
+    mark, words, whole, hidden = "", set(), set(), False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden":
@@ -74,7 +78,13 @@ def _attributes(attrs: str) -> tuple[str, frozenset, bool]:
         else:
             if name == "class":
                 mark = "." + value
-            words.update(WORD.findall(value))
+            for name in value.split():
+                parts = WORD.findall(name)
+                whole.add(name)
+                if len(parts) < 2 or parts[0] not in WITHOUT:
+                    words.update(parts)
+    if whole & WHOLE:
+        words = {w for w in words if w in whole or w not in HINT and w not in HEAD_HINT}
     return mark, frozenset(words), hidden
 
 
@@ -93,7 +103,8 @@ class Page:
         self.symbols: list[str] = []
         self.texts: list[tuple[int, str, bool, int]] = []  # (token number, raw text, in a link, block)
         self.identity = _number(source)
-        stack: list[tuple[str, str, str]] = []  # (name, path so far, state: '' plain, 'm' main, 'x' boilerplate)
+        # (name, path so far, state: '' plain, 'm' main, boilerplate 'x' by tag, 's' by class word, 'c' as comments)
+        stack: list[tuple[str, str, str]] = []
         links, block, last = 0, 0, 0
         for m in TOKEN.finditer(source):
             if m.start() > last:
@@ -140,11 +151,16 @@ class Page:
                 continue
             _, path, state = stack[-1] if stack else ("", "", "")
             if state != "x":
-                if name in DROP or hidden or (words & HINT and name not in ("body", "html")):
+                if name in DROP or hidden:
                     state = "x"
-                elif (name == "header" or words & HEAD_HINT) and state != "m" and name not in ("body", "html"):
-                    state = "x"
-                elif name in MAIN or (words & CONTENT_HINT and name in ("div", "section", "td")) or "main" in words:
+                elif name in MAIN:
+                    if state in ("", "m") or state == "s" and all(e[0] != "article" for e in stack):
+                        state = "m"
+                elif state in ("", "m") and name not in ("body", "html") and words & HINT:
+                    state = "c" if words & REPLIES else "s"
+                elif state == "" and name not in ("body", "html") and (name == "header" or words & HEAD_HINT):
+                    state = "x" if name == "header" else "s"
+                elif state == "" and (words & CONTENT_HINT and name in ("div", "section", "td") or "main" in words):
                     state = "m"
             if name not in INLINE:
                 path = _digest(f"{path}>{name}{mark}").hex()
