@@ -317,6 +317,19 @@ def test_spotsigs_pairs(spark):
     assert got == want
 
 
+def test_spotsigs_changes_little_with_few_words():
+    for n in (2, 3, 4, 12, 60):  # words; k of them anchors
+        for k in range(n):
+            words = [f"w{i}" for i in range(n)]
+            words[:k] = ["the"] * k
+            a, b = spotsigs._sets([" ".join(words), " ".join(["the", "new"] + words)])
+            assert spotsigs.likeness(a, b) > 0.3 if n < 60 else spotsigs.likeness(a, b) > 0.85 or k > 40
+    names = [f"w{i}" for i in range(40)]
+    for k in (6, 7, 8, 9):  # about the eight anchors at which the scheme changed
+        a, b = (" ".join(["the" if i % 4 == 0 and i < 4 * j else w for i, w in enumerate(names)]) for j in (k, k + 1))
+        assert spotsigs.likeness(*spotsigs._sets([a, b])) > 0.7
+
+
 def test_wrappers(spark):
     page = "<html><head><title>x</title></head><body><nav><ul><li><a href=/a>A</a></li><li><a>B</a></li></ul></nav><div class='ad'>buy</div><article><h1>T{0} &amp; U</h1>{1}</article><aside>s</aside><footer>f</footer></body></html>"
     bare = "<body><div><a href=x>home</a> <a>about</a></div><div><p>body {0} of\n the &eacute;  page<br>next</p><p>second {0}</p></div><div>Terms apply</div>"

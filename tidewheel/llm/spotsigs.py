@@ -1,11 +1,12 @@
 """Document fingerprints: SpotSigs.
 
-A spot signature is a common word (the anchor) with the chain of content words that follow it.
-A text's fingerprint is the sorted set of its signatures, 32 bits each, in hexadecimal; likeness is
-the Jaccard coefficient of two such sets.  Anchors carry prose, so boilerplate and lists leave few
-signatures.  A text with fewer than ``FEW`` of them takes every word as an anchor, and one too short
-for a chain takes its words alone; texts without words have the empty fingerprint, and two
-empty fingerprints are alike (1.0), one empty and one not are not (0.0).
+A spot signature is a common word (the anchor) with the chain of content words that follow it; a
+word signature is any word with the words that follow it.  A text's fingerprint is the sorted set
+of both, 32 bits each, in hexadecimal, whatever its length, so an edit of few words changes few
+signatures; likeness is the Jaccard coefficient of two such sets.  Anchors carry prose, so prose
+weighs more than boilerplate and lists.  A chain that the text's end cuts short is as long as it can
+be; texts without words have the empty fingerprint, and two empty fingerprints are alike (1.0), one
+empty and one not are not (0.0).
 
 The successor of each document in ascending id order is found without sorting everything in
 one place: id ranges are sorted each by itself, and the first document of a range also goes to the
@@ -31,7 +32,7 @@ ANCHORS = (
     "le la les de du et un une que qui dans pour par sur est pas au avec ce il "
     "el los las y en del se con una por su para como mas lo al"
 ).split()
-CHAIN, GAP, FEW = 2, 1, 8
+CHAIN, GAP = 2, 1
 KEYS = np.array([0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -42,15 +43,12 @@ def _anchor_hashes() -> np.ndarray:
 
 
 def _signatures(words: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    if len(content) < CHAIN or not len(anchor):
-        return np.zeros(0, np.uint32)
     first = np.searchsorted(content, anchor, side="right")
-    ok = first + (CHAIN - 1) * GAP < len(content)
-    first, anchor = first[ok], anchor[ok]
+    chain = np.concatenate([words[content], np.zeros(1, np.uint64)])  # zero is no word
     sig = words[anchor] * KEYS[0]
     for c in range(CHAIN):
-        sig = sig * KEYS[1] + words[content[first + c * GAP]] * KEYS[c + 2]
-    return np.unique((tx.mix(sig) >> np.uint64(32)).astype(np.uint32))
+        sig = sig * KEYS[1] + chain[np.minimum(first + c * GAP, len(content))] * KEYS[c + 2]
+    return (tx.mix(sig) >> np.uint64(32)).astype(np.uint32)
 
 
 def signature_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -60,11 +58,8 @@ def signature_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist()):
         w, is_anchor = hashes[a:b], common[a:b]
-        s = _signatures(w, np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor))
-        if len(s) < FEW:
-            every = np.arange(len(w))
-            s = _signatures(w, every, every) if len(w) > CHAIN else np.unique((tx.mix(w * KEYS[0]) >> np.uint64(32)).astype(np.uint32))
-        out.append(s)
+        every = np.arange(len(w))
+        out.append(np.unique(np.concatenate([_signatures(w, np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor)), _signatures(w, every, every)])))
     return out
 
 
