@@ -245,6 +245,15 @@ def test_guess_cost_orders_strength():
     assert max(cost[:5]) < 8 < cost[5] and secrets.guess_cost("x" * 500) < 20
 
 
+def test_guess_cost_of_long_values():
+    assert secrets.guess_cost("Ab" * 200) < 6  # one programme for the whole value
+    r = random.Random(3)
+    value = "".join(r.choice("ABCghiGHIjklMNO+/xyzXYZ") for _ in range(200_000))
+    assert secrets.guess_cost(value) > 100_000
+    text = "private_key: " + value
+    assert (13, 3, len(text)) in secrets.find(text)[1]
+
+
 def test_jaccard_join(spark, docs):
     rows = document_rows() + [(600 + i, " ".join(prose(77, 60).split(" ")[: 60 - i % 4] + [f"v{i}"]), None, None, 0) for i in range(40)]
     texts = [t or "" for _, t, *_ in rows]

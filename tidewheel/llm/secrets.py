@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
@@ -35,7 +34,6 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 CONTEXT = r"""(?i:\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|client|secret)[_ -]?key))["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{8,})"""
 LEAST_GUESSES = 12.0
-LONGEST_VALUE = 128  # of a value, the programme is quadratic in it; a longer one is judged by parts
 # Rows of a keyboard, and words that passwords are made of, commonest first.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 WORDS = (
@@ -47,29 +45,43 @@ WORDS = (
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _DATE = re.compile(r"(?:19|20)\d{2}(?:[-/._]?\d{1,2}[-/._]?\d{1,2})?|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2})")
-_REPEAT = re.compile(r"(.{1,8}?)\1+")
 
 
-@lru_cache(maxsize=4096)
+def _repeats(value: str) -> list[tuple[int, int]]:
+    """By start: (length, times) of the shortest unit of up to 8 characters that stands there twice or more, else (0, 0)."""
+    n = len(value)
+    out = [(0, 0)] * n
+    for unit in range(8, 0, -1):
+        same = 0  # characters from here on that equal the one a unit further
+        for i in range(n - unit - 1, -1, -1):
+            same = same + 1 if value[i] == value[i + unit] else 0
+            if same >= unit:
+                out[i] = unit, 1 + same // unit
+    return out
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``."""
-    if len(value) > LONGEST_VALUE:
-        return guess_cost(value[:LONGEST_VALUE]) + guess_cost(value[LONGEST_VALUE:])
-    n, low = len(value), value.lower()
+    """log10 of the guesses for the cheapest segmentation of ``value``, in one pass from left to right."""
+    n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    edges: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
-    longest = max(map(len, WORDS))
+    longest, repeats = max(map(len, WORDS)), _repeats(value)
+    best = [0.0] + [float("inf")] * n
+    brute = float("inf")  # the least best[i] - i so far: ten guesses a character, as attackers find by structure
     for i in range(n):
+        if i:
+            best[i] = min(best[i], brute + i + 0.3)
+        brute = min(brute, best[i] - i)
+        edges = []  # (end, cost)
         for j in range(i + 2, min(n, i + longest) + 1):
             rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) * 4)
             if rank:
                 cased = 1 if value[i:j] == low[i:j] else 2
-                edges[i].append((j, log10(rank * cased + 1)))
+                edges.append((j, log10(rank * cased + 1)))
         if m := _DATE.match(low, i):
-            edges[i].append((m.end(), log10(365 * 120 * 4) if m.end() - i > 4 else log10(120)))
-        if (m := _REPEAT.match(value, i)) and m.end() - i >= 3:
-            unit = m[1]
-            edges[i].append((m.end(), len(unit) * 1.0 + log10((m.end() - i) // len(unit))))
+            edges.append((m.end(), log10(365 * 120 * 4) if m.end() - i > 4 else log10(120)))
+        unit, times = repeats[i]
+        if unit * times >= 3:
+            edges.append((i + unit * times, unit * 1.0 + log10(times)))
         for row in KEYBOARD:
             at = row.find(low[i])
             for step in (1, -1) if at >= 0 else ():
@@ -77,14 +89,10 @@ def guess_cost(value: str) -> float:
                 while j < n and 0 <= k < len(row) and row[k] == low[j]:
                     j, k = j + 1, k + step
                 if j - i >= 3:
-                    edges[i].append((j, log10(len(row) * len(KEYBOARD) * 2 * (j - i))))
-    best = [0.0] + [float("inf")] * n
-    for i in range(n):
-        for j in range(i + 1, n + 1):  # brute force: ten guesses a character, as attackers find by structure
-            best[j] = min(best[j], best[i] + (j - i) + 0.3)
-        for j, cost in edges[i]:
+                    edges.append((j, log10(len(row) * len(KEYBOARD) * 2 * (j - i))))
+        for j, cost in edges:
             best[j] = min(best[j], best[i] + cost + 0.3)
-    return best[n]
+    return min(best[n], brute + n + 0.3) if n else 0.0
 
 
 def _patterns():
