@@ -245,6 +245,23 @@ def test_guess_cost_orders_strength():
     assert max(cost[:5]) < 8 < cost[5] and secrets.guess_cost("x" * 500) < 20
 
 
+@pytest.mark.parametrize("before, value", [
+    ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("DB_PWD=", "Tr0ub4dor&3xQ!9"), ("client_secret: ", "Zx9!kQ2#pL"), ("DB_PASSWORD=", "Zx9!kQ2#pL7$"), ("clientSecret = '", "Zx9!kQ2#pL"),
+    ("Authorization: Bearer ", "gh7Kx2mQpLzW"), ("pwd: ", "kX9#vLq2"), ("private key: ", "xkqvzjwmtrpl"), ("password: ", "abcdefghijkl$Zx9!kQ2#pL"), ("https://h.example/?auth=", "Zx9!kQ2#pL"), ("x: token: ", "QXZVKJWMTRPL"),
+])
+def test_secrets_in_contexts(before, value):
+    text = f"see {before}{value}\nend"
+    spans = secrets.find(text)[1]
+    at = text.index(value)
+    assert any(s <= at and at + len(value) <= e for s, _, e in spans)
+    if "\x24" in value or len(value) < 12:
+        assert (at, 3, at + len(value)) in spans
+
+
+def test_secrets_leave_other_names():
+    assert not secrets.find("author: Shakespeare compass: northwest passage: kX9#vLq2Tz secretary: kX9#vLq2Tz token: none")[1]
+
+
 def test_guess_cost_of_long_values():
     assert secrets.guess_cost("Ab" * 200) < 6  # one programme for the whole value
     r = random.Random(3)

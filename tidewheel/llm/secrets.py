@@ -7,11 +7,11 @@ length is dropped and still uses up its characters.  A span is the whole match.
     access   AKIA and more, 18 or more characters in all
     hex      16 or more hexadecimal characters
 
-The method adds ``guess`` spans: the value after a wider set of credential words is cut into
-segments so that the guesses an attacker needs are fewest (words, dates, repeats, keyboard
+The method adds ``guess`` spans: the value of a name that has a credential word among its parts
+(``DB_PWD=``, ``clientSecret:``, ``Authorization: Bearer``) is cut into segments so that the guesses an attacker needs are fewest (words, dates, repeats, keyboard
 walks, sequences, or brute force), and is reported if even the cheapest cut needs
-``10 ** LEAST_GUESSES`` guesses.  Values of one letter case only, or that overlap a base span, are
-not added.
+``10 ** LEAST_GUESSES`` guesses, which 8 random characters do.  The whole value is added, also if a
+base span holds part of it; values inside one base span are that span's.
 
 Null and empty texts have no spans; spans count code points, ends exclusive; repeated rows get
 equal results; an empty table gives no rows.  Only doc_id and text are read (``redact`` keeps all
@@ -32,8 +32,12 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-CONTEXT = r"""(?i:\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|client|secret)[_ -]?key))["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>,;]{8,})"""
-LEAST_GUESSES = 12.0
+NAME = r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\s{0,3}[:=]"""
+CREDENTIAL = r"(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|authorization|credential|(?:api|access|private|client|secret)_?key)s?(?![a-z])|(?<![a-z])(?:pass|auth)(?![a-z])"
+WORD_BEFORE_KEY = r"(?i:\b|_)(?i:api|access|private|client|secret)\x20\Z"
+VALUE = r"""\s{0,3}(?i:(?:bearer|basic|token|digest|apikey)\s{1,3})?["']?([^\s"'<>,;]{8,})"""
+PARTS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|-")
+LEAST_GUESSES = 8.0
 # Rows of a keyboard, and words that passwords are made of, commonest first.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 WORDS = (
@@ -96,25 +100,32 @@ def guess_cost(value: str) -> float:
 
 
 def _patterns():
-    return re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0-9a-f]{16,}"), re.compile(CONTEXT)
+    return re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0-9a-f]{16,}"), re.compile(NAME), re.compile(CREDENTIAL), re.compile(WORD_BEFORE_KEY), re.compile(VALUE)
 
 
 def find(text: str, patterns=None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind number, end), in order."""
-    assign, access, hexes, context = patterns or _patterns()
+    assign, access, hexes, names, credential, before_key, values = patterns or _patterns()
     base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= 12]
     base += [(m.start(), 1, m.end()) for m in access.finditer(text) if m.end() - m.start() >= 18]
     # a maximal run matches from its first character, so the bound in the pattern drops the same runs
     base += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
     base.sort()
-    added = []
-    for m in context.finditer(text):
-        value, s, e = m[1].rstrip(".)]}"), m.start(1), m.start(1) + len(m[1].rstrip(".)]}"))
-        if len(value) < 8 or any(a < e and s < b for a, _, b in base):
+    added, until = [], 0
+    for name in names.finditer(text):
+        parts = PARTS.sub("_", name[1]).lower()
+        if not credential.search(parts) and not (parts == "key" and before_key.search(text[max(0, name.start() - 10) : name.start()])):
             continue
-        cased = (any(c.islower() for c in value) and any(c.isupper() for c in value)) or any(c.isdigit() for c in value)
-        if cased and guess_cost(value) >= LEAST_GUESSES:
+        m = values.match(text, name.end())
+        if m is None or m.start(1) < until:
+            continue
+        value = m[1].rstrip(".)]}")
+        s, e = m.start(1), m.start(1) + len(value)
+        if len(value) < 8 or any(a <= s and e <= b for a, _, b in base):
+            continue
+        if guess_cost(value) >= LEAST_GUESSES:
             added.append((s, 3, e))
+            until = e
     return base, sorted(base + added)
 
 
