@@ -1,10 +1,12 @@
 """Pinned semantics of the domain operators on small frames."""
+import os
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from tidewheel import constants as C
 from tidewheel.functions import briefs, scalars as S
 from tidewheel.operators import availability as A, facts, flows, forecast, geo, quality, routing, slices, stats, typology
@@ -354,3 +356,18 @@ def test_feeds_and_paged_source(spark, tmp_path):
 
 def test_constants_are_whole():
     assert len(C.PRESETS) == 4 and C.MIN_TRIP_S < C.MAX_TRIP_S
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no generated tables here")
+@pytest.mark.parametrize("name", ["m10_ml_select_k", "m12_ml_typology"])
+def test_registered_k_search_is_the_operators(spark, monkeypatch, name):
+    class Called(Exception):
+        pass
+
+    def search(shapes, k_range=C.K_RANGE, restarts=C.RESTARTS):
+        assert (tuple(k_range), restarts) == ((2, 8), 10)
+        raise Called
+
+    monkeypatch.setattr(typology, "select_k", search)
+    with pytest.raises(Called):
+        contract.queries()[name](spark, "/root/testdata/sf0.001")

@@ -165,14 +165,14 @@ def _(x):
 
 @query("m10_ml_select_k")
 def _(x):
-    k, _, scores = typology.select_k(typology.shape_matrix(x.weekday, 0.01), k_range=(2, 5), restarts=3)
+    k, _, scores = typology.select_k(typology.shape_matrix(x.weekday, 0.01))
     return x.spark.createDataFrame([(i, float(s), i == k) for i, s in scores.items()], "k int, silhouette double, chosen boolean")
 
 
 @query("m12_ml_typology")
 def _(x):
     shapes = typology.shape_matrix(x.weekday, 0.01)
-    return typology.assign(shapes, typology.select_k(shapes, k_range=(2, 4), restarts=2)[1]).select("station_id", "cluster_name")
+    return typology.assign(shapes, typology.select_k(shapes)[1]).select("station_id", "cluster_name")
 
 
 def _year(x):
