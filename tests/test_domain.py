@@ -371,3 +371,21 @@ def test_registered_k_search_is_the_operators(spark, monkeypatch, name):
     monkeypatch.setattr(typology, "select_k", search)
     with pytest.raises(Called):
         contract.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no generated tables here")
+@pytest.mark.parametrize("name, targets", [("m14_ml_gbm", 1), ("m15_ml_recombine_guard", 2)])
+def test_registered_trees_are_the_operators(spark, monkeypatch, name, targets):
+    assert [g["maxIter"] for g in forecast.GBM_GRID] == [100, 200, 200]
+    calls = []
+
+    def gbm(train, target, grid=forecast.GBM_GRID):
+        assert grid is forecast.GBM_GRID
+        calls.append((target, {r.month for r in train.select("month").distinct().collect()}))
+        return lambda df: df.withColumn("gbm", F.lit(1000.0 if target == "arrivals_count" else 0.0))
+
+    monkeypatch.setattr(forecast, "gbm", gbm)
+    rows = contract.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == targets and all(len(m) > 13 and "1996-01" not in m for _, m in calls)
+    if targets == 2:
+        assert {r.tier: r.mae > 900 for r in rows}["gbm"]

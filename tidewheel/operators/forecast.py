@@ -110,7 +110,7 @@ def gam(train: DataFrame, target: str, counts: bool):
     return lambda df: model.transform(expand(df))
 
 
-GBM_GRID = (dict(maxDepth=4, maxIter=20), dict(maxDepth=5, maxIter=20), dict(maxDepth=6, maxIter=15))
+GBM_GRID = (dict(maxDepth=5, maxIter=100, stepSize=0.1), dict(maxDepth=5, maxIter=200, stepSize=0.05), dict(maxDepth=6, maxIter=200, stepSize=0.1))
 
 
 def gbm(train: DataFrame, target: str, grid=GBM_GRID):
