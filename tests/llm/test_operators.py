@@ -54,6 +54,42 @@ def test_ids_match_the_tokenizer(whole):
                 assert ids[at[k - i] : at[k - i + 1]].tolist() == whole(texts[k])
 
 
+def _thue_morse(n):
+    """Two words of n letters that collide under every polynomial hash modulo 2^64, from 1,024 letters on."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_do_not_collide(spark, whole, n):
+    pair = list(_thue_morse(n))
+    raw, offs = tx.buffers(pa.array(pair))
+    assert len(set(tx.span_hashes(raw, offs[:-1], offs[1:]).tolist())) == 2
+    ids, at = bpe.Encoder(tokenizer_path()).encode(raw, offs)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole(t) for t in pair]
+    rows, first = toxicity.features(raw, offs)
+    assert rows[first[0], 0] != rows[first[1], 0]
+    sh, _ = jaccard_join.shingles(raw, offs, 5)
+    assert sh[0] != sh[1]
+    assert spotsigs.likeness(*spotsigs.signature_sets(raw, offs)) == 0.0
+    frame = documents(spark, [(i, t, None, None, n) for i, t in enumerate(pair)])
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(frame, tokenizer_path(), length=1 << 14).collect()} == {i: crc(whole(t) + [1]) for i, t in enumerate(pair)}
+    files = token_files.write_token_files(frame, shared.scratch(spark, "ids"), tokenizer_path(), partitions=1)
+    assert {r.doc_id: r.ids_crc32 for r in token_files.read_token_files(spark, files).collect()} == {i: crc(whole(t) + [0]) for i, t in enumerate(pair)}
+
+
+def test_ids_are_exact_when_hashes_collide(whole, monkeypatch):
+    real = tx.span_hashes
+    monkeypatch.setattr(tx, "span_hashes", lambda *a: real(*a) & np.uint64(0x3F))
+    enc, texts = bpe.Encoder(tokenizer_path()), [prose(i, 50) for i in range(40)]
+    for _ in range(2):
+        raw, offs = tx.buffers(pa.array(texts))
+        ids, at = enc.encode(raw, offs)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole(t) for t in texts]
+
+
 def test_first_fit_decreasing_matches_a_scan():
     r = random.Random(3)
     sizes = np.array([r.randint(1, 100) for _ in range(300)] + [100, 100, 1])
@@ -96,7 +132,7 @@ def test_elias_fano_round_trip(values):
         assert len(e.to_bytes()) < 8 * len(values)
 
 
-def test_token_files(spark, docs, whole):
+def test_token_files(spark, docs, whole, monkeypatch):
     out = shared.scratch(spark, "ids")
     manifest = token_files.write_token_files(docs, out, tokenizer_path(), partitions=3)
     rows = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r.start)
@@ -108,7 +144,13 @@ def test_token_files(spark, docs, whole):
         assert r.start == start
         start += r.n_tokens
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    monkeypatch.setattr(token_files, "IDS_AT_ONCE", 50)
+    assert Counter(tuple(r) for r in token_files.read_token_files(spark, manifest).collect()) == Counter(tuple(r) for r in rows)
     f = token_files.TokenFile(manifest.orderBy("part").first().path)
+    assert [b - a for a, b in f.blocks(50)].count(0) == 0 and f.blocks(50)[-1][1] == len(f)
+    for a, b in f.blocks(50):
+        ends = f.ends(a, b)
+        assert b - a == 1 or ends[-1] - ends[0] <= 50
     assert f.document(len(f) - 1)[-1] == 0 and len(f.doc_ids(0, len(f))) == len(f)
     none = token_files.write_token_files(documents(spark, EMPTY), shared.scratch(spark, "ids"), tokenizer_path())
     assert token_files.read_token_files(spark, none).count() == 0

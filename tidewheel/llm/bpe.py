@@ -5,7 +5,8 @@ pre-token can be kept.  Pre-token borders, their hashes and the assembly of ids
 vectorised; only a pre-token not met before goes through the ``tokenizers`` library.  Texts
 with characters whose classes this module does not decide (outside Latin-1 letters, digits,
 printable ASCII and common blanks, or with apostrophes that may be contractions) and
-tokenizers of another make go through the library whole.
+tokenizers of another make go through the library whole.  A pre-token is found by its hash and
+taken only if its bytes are those the ids were made from, so ids are exact.
 """
 from __future__ import annotations
 
@@ -17,7 +18,8 @@ import numpy as np
 
 from tidewheel.llm import text as tx
 
-KEEP = 2_000_000  # pre-tokens kept per worker, about 45 bytes each; beyond it the store starts afresh
+KEEP = 2_000_000  # pre-tokens kept per worker, about 60 bytes each; beyond it the store starts afresh
+KEEP_BYTES = 1 << 26  # and of their text
 _BITS = 21
 _MASK = np.uint64((1 << _BITS) - 1)
 _OTHER, _LETTER, _DIGIT, _BLANK, _UNSURE = range(5)
@@ -62,25 +64,40 @@ class Encoder:
         self.slot = np.zeros(0, np.int32)
         self.pool: np.ndarray = np.zeros(1 << 20, np.uint32)
         self.pool_at: np.ndarray = np.zeros((1 << 18) + 1, np.int64)
-        self.count = self.used = 0
+        self.text: np.ndarray = np.zeros(1 << 18, np.uint64)  # 8-byte pieces of the pre-tokens in the pool
+        self.text_at: np.ndarray = np.zeros(1 << 18, np.int64)
+        self.size: np.ndarray = np.zeros(1 << 18, np.int64)
+        self.count = self.used = self.used_text = 0
 
     def _piece(self, raw: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
 
-    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _pool(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode spans and put them in the pool; their numbers."""
         whole = raw.tobytes()
         new = [self._piece(whole[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         flat = np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))
+        piece, _, first = tx.lanes(raw, starts, ends - starts)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.count + len(new) >= len(self.pool_at):
+        while self.used_text + len(piece) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while self.count + len(new) >= len(self.size):
             self.pool_at = np.concatenate([self.pool_at, np.zeros_like(self.pool_at)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.pool_at[self.count + 1 : self.count + 1 + len(new)] = self.used + np.cumsum(sizes)
+            self.text_at = np.concatenate([self.text_at, np.zeros_like(self.text_at)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         number = np.arange(self.count, self.count + len(new), dtype=np.int32)
-        self.used += len(flat)
-        self.count += len(new)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.pool_at[number + 1] = self.used + np.cumsum(sizes)
+        self.text[self.used_text : self.used_text + len(piece)] = piece
+        self.text_at[number] = self.used_text + first
+        self.size[number] = ends - starts
+        self.used, self.used_text, self.count = self.used + len(flat), self.used_text + len(piece), self.count + len(new)
+        return number
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        number = self._pool(raw, starts, ends)
         at = (hashes & _MASK).astype(np.int64)
         free = np.flatnonzero(self.table[at] == 0)
         free = free[np.unique(at[free], return_index=True)[1]]
@@ -91,9 +108,20 @@ class Encoder:
         self.known = np.insert(self.known, to, hashes[rest])
         self.slot = np.insert(self.slot, to, number[rest])
 
+    def _unlike(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Spans whose bytes are not those of their number: equal hashes of different pre-tokens."""
+        sizes = ends - starts
+        bad = self.size[number] != sizes
+        piece, nth, first = tx.lanes(raw, starts, sizes)
+        if len(piece) == len(starts):
+            return np.flatnonzero(bad | (self.text[self.text_at[number]] != piece))
+        count = np.diff(np.append(first, len(piece)))
+        there = np.minimum(np.repeat(self.text_at[number], count) + nth, self.used_text - 1)
+        return np.flatnonzero(bad | np.logical_or.reduceat(self.text[there] != piece, first))
+
     def _slots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         hashes = tx.span_hashes(raw, starts, ends)
-        if self.count > KEEP:
+        if self.count > KEEP or self.used_text > KEEP_BYTES // 8:
             self._clear()
         at = (hashes & _MASK).astype(np.int64)
         out = self.cell[at]
@@ -110,6 +138,9 @@ class Encoder:
             number[new] = np.arange(self.count, self.count + len(new))
             self._learn(raw, distinct[new], starts[miss[first[new]]], ends[miss[first[new]]])
             out[miss] = number[back.reshape(-1)]
+        unlike = self._unlike(raw, starts, ends, out)
+        if len(unlike):
+            out[unlike] = self._pool(raw, starts[unlike], ends[unlike])
         return out
 
     @staticmethod

@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20  # bytes of text handled at once; one longer text is one chunk
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_POW = {"n": 0}
+KEY = np.uint64(0xA0761D6478BD642F)  # hashes stand in stored fingerprints: one key for all jobs
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -51,18 +51,6 @@ def chunks(col, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.nd
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POW["n"] < n + 1:
-        n = max(n + 1, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            for key, base in (("p", _BASE), ("i", _INV)):
-                step = np.full(n, base, np.uint64)
-                step[0] = 1
-                _POW[key] = np.cumprod(step, dtype=np.uint64)
-        _POW["n"] = n
-    return _POW["p"], _POW["i"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -73,12 +61,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def lanes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-byte pieces of all spans, each padded by zeros, number of the piece in its span, index of each span's first piece)."""
+    count = np.maximum((sizes + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    if len(count) and count.max() > 1:
+        nth = np.arange(int(count.sum())) - np.repeat(first, count)
+        piece = eights[np.repeat(starts, count) + 8 * nth]
+        last = first + count - 1
+    else:
+        nth, piece, last = np.zeros(len(starts), np.int64), eights[starts], slice(None)
+    piece[last] &= _KEEP[sizes - 8 * (count - 1)]
+    return piece, nth, first
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes have equal hashes wherever they stand."""
-    p, inv = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts])
+    """64-bit hash of each byte span; equal bytes have equal hashes wherever they stand.
+
+    The sum, over a span's 8-byte pieces, of a mixed value of piece and place: unlike a polynomial
+    modulo 2^64, no regular pair of texts is sure to collide.  Where a collision would give a
+    wrong result (token ids), the bytes are compared too.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    piece, nth, first = lanes(raw, starts, sizes)
+    each = mix((piece ^ KEY) + nth.astype(np.uint64) * _STEP)
+    total = np.add.reduceat(each, first) if len(each) > len(starts) else each
+    return mix(total + sizes.astype(np.uint64) * _STEP)
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

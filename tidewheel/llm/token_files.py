@@ -33,7 +33,7 @@ MAGIC = b"EFIDS\x01"
 _TAIL = "<QQQqQ"
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-DOCS_AT_ONCE = 4096
+IDS_AT_ONCE = 1 << 20  # read at once, or one document
 
 
 def _open(uri: str):
@@ -121,6 +121,22 @@ class TokenFile:
         known = self.named.select(np.arange(max(i - self.nulls, 0), max(j - self.nulls, 0))) + self.least
         return [None] * max(0, min(j, self.nulls) - i) + known.tolist()
 
+    def blocks(self, most_ids: int) -> list[tuple[int, int]]:
+        """Ranges of documents of at most ``most_ids`` ids each, or of one document."""
+        out, i, n = [], 0, len(self)
+        while i < n:
+            j, step = i + 1, 1
+            start = int(self.ends(i, i)[0])
+            while j < n and step:  # widen by doubling steps, then by halves
+                if int(self.borders.select(min(j + step, n) - 1)[0]) - start <= most_ids:
+                    j = min(j + step, n)
+                    step *= 2
+                else:
+                    step //= 2
+            out.append((i, j))
+            i = j
+        return out
+
     def ids(self, start: int, end: int) -> np.ndarray:
         raw = self.file.read_at((end - start) * self.width, 8 + start * self.width)
         return np.frombuffer(raw, f"<u{self.width}")
@@ -147,8 +163,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = TokenFile(path)
-                for i in range(0, len(f), DOCS_AT_ONCE):
-                    j = min(i + DOCS_AT_ONCE, len(f))
+                for i, j in f.blocks(IDS_AT_ONCE):
                     at = f.ends(i, j)
                     ids = f.ids(int(at[0]), int(at[-1])).astype("<u4")
                     cut = (at - at[0]).tolist()
