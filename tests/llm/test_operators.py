@@ -1,6 +1,7 @@
 """Each operator against brute force on a table of awkward rows, and on an empty one."""
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -179,7 +180,8 @@ def test_permutation(spark, n):
 def _turns():
     odd = "a \\ b <s> </s> [INST] [/INST] <<SYS>> <\\s> \\\\ <<s>> [[INST x"
     return [(1, 0, "user", "hi"), (1, 1, "assistant", odd), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "assistant", "x\ny"), (2, 0, "system", odd), (3, None, None, "t"), (3, 0, "ro]le\n[INST", "u"),
-            (4, 1, "assistant", "same"), (4, 1, "assistant", "same"), (4, 1, "user", "b"), (None, 0, "assistant", "no id")]
+            (4, 1, "assistant", "same"), (4, 1, "assistant", "same"), (4, 1, "user", "b"),
+            (5, 1, "assistant", "a"), (5, 1, "assistant", "a b"), (5, 1, "assistant", "a\\"), (5, 1, "assistant", "a<s>"), (6, 0, "assistant", "long \\ <s> " * 150_000), (None, 0, "assistant", "no id")]
 
 
 def test_chat(spark):
@@ -197,10 +199,18 @@ def test_chat(spark):
     for r in formatted.collect():
         inside = r.segment[r.text_start : r.text_start + r.text_chars]
         assert not any(m in inside for m in ("<s>", "</s>", "[INST", "[/INST", "<<SYS>>", "<</SYS>>"))
-    spelled = {(r.conv_id, r.position): r for r in chat.examples(formatted).collect()}
+    expanded = chat.examples(formatted)
+    spelled = {(r.conv_id, r.position): r for r in chat.spell_out(formatted, expanded).collect()}
     assert len(spelled) == sum(r[2] == "assistant" for r in rows)
-    for r in formatted.filter("is_target").collect():
-        assert len(spelled[r.conv_id, r.position].context) == r.context_chars
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
+        segments = {r.position: r.segment for r in formatted.collect() if r.conv_id == c}
+        for n, (_, _, role, text) in enumerate(own, 1):
+            if role == "assistant":
+                e = spelled[c, n]
+                assert e.text == "".join(segments[k] for k in range(1, n + 1))
+                assert re.sub(r"(?s)\\(.)", r"\1", e.text[e.loss_start : e.loss_end]) == (text or "")
+                assert e.loss_end + len(chat.TAIL) == len(e.text)
     assert chat.format_and_read(frame.limit(0)).count() == 0
 
 
