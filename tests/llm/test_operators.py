@@ -228,26 +228,32 @@ def _contamination(doc, items, size=10):
     return len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, docs, monkeypatch, broadcast):
+    if not broadcast:
+        for bound in ("TERMS", "WINDOWS", "ROWS"):
+            monkeypatch.setattr(decontamination, f"BROADCAST_{bound}", 0)
     rows = document_rows()
     items = [(1, prose(1, 80)), (2, "two WORDS"), (10, " ".join(prose(2, 4000).split(" ")[500:530])), (3, None), (4, "!!"), (5, prose(999, 30)), (1, "one"), (6, " ".join(["the"] * 12)), (None, prose(3, 30))]
-    rows = rows + [(500, " ".join(["the"] * 40), "en", "s", 0)]
+    rows = rows + [(500, " ".join(["the"] * 40), "en", "s", 0), (501, "la que " * 8_000 + prose(2, 4000), "en", "s", 0)]
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
     got = Counter(tuple(r) for r in decontamination.contamination(documents(spark, rows), bench).collect())
     assert got == Counter((i, *_contamination(t, items)) for i, t, *_ in rows)
     kept = decontamination.keep_clean(documents(spark, rows), bench)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t, *_ in rows if not _contamination(t, items)[-1])
-    assert decontamination.contamination(documents(spark, EMPTY), bench).count() == 0
+    assert decontamination.contamination(documents(spark, EMPTY), bench).count() == decontamination.keep_clean(documents(spark, EMPTY), bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
 def test_proximity(spark):
     d = documents(spark, [(1, "alpha x beta y gamma", None, None, 0), (2, "alpha " + "z " * 30 + "beta gamma", None, None, 0)])
     bench = spark.createDataFrame([(1, "beta gamma alpha")], "item_id long, text string")
-    postings, wins, _ = decontamination.build(d, bench, 10)
-    ends = {r.rid: r.doc_id for r in postings.filter("term = -1").collect()}
-    assert [ends[r.rid] for r in decontamination.proximity(postings, wins, 3, 6).collect()] == [1]
+    ix = decontamination.build(d, F.col("doc_id"), bench, 10)
+    ends = {r.rid: r.name for r in ix.names().collect()}
+    assert [ends[r.rid] for r in decontamination.proximity(ix, 3, 6).collect()] == [1]
+    none = decontamination.build(documents(spark, EMPTY), F.col("doc_id"), bench, 10)
+    assert decontamination.proximity(none, 1, 6).count() == 0
 
 
 def test_toxicity(spark):
