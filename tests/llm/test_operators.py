@@ -347,12 +347,107 @@ def test_jaccard_join(spark, docs):
 
 
 def test_jaccard_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 1)  # 7 blocks
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
     rows = [(i, " ".join(prose(77, 60).split(" ")[:60] + [f"v{i}"]), None, None, 0) for i in range(40)]
     got = jaccard_join.join(documents(spark, rows)).collect()
     assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
 
 
+def _links(texts, least=0.8):
+    """All pairs' links by one product of incidence matrices."""
+    sets = [sorted({" ".join(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4))}) for t in texts]
+    number = {s: n for n, s in enumerate(sorted({s for x in sets for s in x}))}
+    x = np.zeros((len(texts), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        x[i, [number[s] for s in own]] = 1
+    both, size = x @ x.T, x.sum(axis=1)
+    linked = both >= least * (size[:, None] + size[None] - both) - 1e-6
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def test_join_recall_in_large_groups_and_near_the_bound(spark):
+    """Shares of links found, in a cluster of 1,300 near copies and among pairs from 0.80 to 0.85."""
+    r, texts = random.Random(4), []
+    base = prose(900, 200).split()
+    for i in range(1300):  # 0 to 3 changed words, at places and to words of their own
+        own = list(base)
+        for k in r.sample(range(200), i % 4):
+            own[k] = f"z{i}x{k}"
+        texts.append(" ".join(own))
+    near = 0
+    for i in range(300):  # about 0.80 to 0.86
+        own = prose(2000 + i, 150).split()
+        other = list(own)
+        for k in r.sample(range(5, 145, 10), 3):
+            other[k] = f"y{i}x{k}"
+        texts += [" ".join(own), " ".join(other)]
+    linked = _links(texts)
+    got = {x.doc_id: x for x in jaccard_join.join(documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()}
+    distinct = {}
+    for i, t in enumerate(texts):
+        distinct.setdefault(t, i)
+    only = sorted(distinct.values())
+    want = linked[np.ix_(only, only)].sum(axis=1)
+    found = np.array([got[i].n_links for i in only])
+    assert (found <= want).all()
+    in_cluster = np.array(only) < 1300
+    near = ~in_cluster & (want > 0)
+    assert near.sum() > 100
+    shares = found[in_cluster].sum() / want[in_cluster].sum(), found[near].sum() / want[near].sum()
+    print("recall in the cluster, near the bound:", shares)
+    assert shares[0] > 0.99 and shares[1] > 0.99
+
+
+def test_runs_cross_ranges_and_heads(monkeypatch):
+    """However runs are cut into ranges and batches, all rows of a run stay connected."""
+    monkeypatch.setattr(jaccard_join, "HEAD", 5)
+    r, levels = random.Random(2), 3
+    paths = sorted((r.choice([1, 1, 1, 2, 3]), r.choice([1, 2]), r.choice([1, 1, 2]), nid) for nid in range(200))
+    for cuts in ([], [50, 51, 120], [1, 2, 3, 199]):
+        parent = list(range(200))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        edges = []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, 200])):
+            w = jaccard_join._Walk(part, levels)
+            for s in range(a, b, 7):
+                own = np.array(paths[s : min(s + 7, b)], np.int64)
+                for nid, firsts, before, after in zip(*(x if isinstance(x, list) else x.tolist() for x in w.step(own[:, :3], own[:, 3]) or ([],) * 4)):
+                    for f in firsts:
+                        parent[find(nid)] = find(f)
+            for nid, firsts, *_ in zip(*(x if isinstance(x, list) else x.tolist() for x in w.step(np.zeros((0, 3), np.int64), np.zeros(0, np.int64), True))):
+                for f in firsts:
+                    parent[find(nid)] = find(f)
+            assert len(w.edges) == 2
+            edges += w.edges
+
+        class Rows:
+            def filter(self, _):
+                return self
+
+            select = filter
+
+            def collect(self):
+                return [type("R", (), {"edge": e}) for e in edges]
+
+            class sparkSession:
+                createDataFrame = staticmethod(lambda rows, _: rows)
+
+        for a, b in jaccard_join.across(Rows(), levels):
+            parent[find(a)] = find(b)
+        by = defaultdict(set)
+        for h0, *_, nid in paths:
+            by[h0].add(find(nid))
+        assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
 def test_forest_recall():
     assert jaccard_join.depth_for(0.8) >= 4
     r = random.Random(1)

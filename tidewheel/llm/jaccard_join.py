@@ -2,27 +2,35 @@
 
 1. Texts are grouped by digest; everything else works on distinct texts ("nodes").
 2. A node's set of word shingles gives ``TREES * DEPTH`` minima; each tree's minima, in order, are
-   the node's path in that tree's prefix trie.  Paths are dealt by their shortest useful prefix and
-   sorted, so every subtrie is a run of rows.  From the full depth upwards a node meets the first
-   node of each subtrie it belongs to: matched prefixes get shorter until ``depth_for`` says
-   that a pair at the least similarity meets in some tree with the target recall.
+   the node's path in that tree's prefix trie.  Paths are sorted over ranges, so every subtrie is a run
+   of rows, which may cross ranges: a prefix that a third of all nodes share is no single task's.
+   From the full depth upwards a node meets the first node of each subtrie it belongs to: matched
+   prefixes get shorter until ``depth_for`` says that a pair at the least similarity meets in some
+   tree with the target recall.  Every ``HEAD`` rows, and where a range begins, a run gets a new first,
+   which meets the one before it, so no first meets more than ``HEAD`` nodes of a tree.
 3. A meeting whose one-byte sketches put the similarity far below the bound is dropped, and the
    node meets its neighbours in that tree's sorted trie instead, those of the longest common
    prefixes.  What is left makes groups (connected components), so no pair of a group is spelled out.
-4. Within a group all pairs are verified exactly, on shingle sets, in blocks of ``BLOCK`` by ``BLOCK``
-   nodes.  Blocks report each node's number of links and one tree edge per node.
+4. Within a group all pairs are verified exactly.  Each text is shuffled once, to its block of the group,
+   where its shingle set becomes the difference from that of the group's first node; only differences meet:
+   |A & B| = |R| - |R - A| - |R - B| + |(A ^ R) & (B ^ R)|.  A group of m nodes has about sqrt(m) / ``SPREAD``
+   blocks, so a difference is copied as often.  Blocks report each node's number of links and one
+   tree edge per node.
 5. Components of the verified edges are the classes.
 
 Documents of fewer than ``words`` words have one shingle, all their words.  Texts without words
 have no shingle and only equal texts as partners.  Null texts count as empty, repeated rows as
 copies; the class id is the least doc_id of the class (null ids are ignored unless there is no
-other).  Empty tables give no rows.  Only doc_id and text are read.
+other).  Texts are whole, however long.  Empty tables give no rows.  Only doc_id and text are read.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from tidewheel.llm import shared, text as tx
 from tidewheel.llm.components import components
@@ -30,7 +38,11 @@ from tidewheel.llm.components import components
 TREES, DEPTH = 24, 8
 RECALL = 0.9995
 SLACK = 0.15  # five standard errors of the sketch's estimate
-BLOCK = 512
+HEAD = 1024
+SPREAD = 6
+BLOCK_BYTES = 1 << 26  # of texts, whose differences one block holds
+TILE = 1024
+HOT, FEW = 1 << 16, 100_000
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -86,7 +98,7 @@ def paths(sig: np.ndarray, least_depth: int) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, words: int, least_depth: int) -> DataFrame:
-    """Distinct texts: (nid, key, doc_id, copies, sketch, labels); labels and sketch are null without shingles."""
+    """Distinct texts: (nid, key, doc_id, copies, bytes, sketch, labels); labels and sketch are null without shingles."""
     shared.prepare(docs.sparkSession)
 
     def look(batches):
@@ -100,10 +112,11 @@ def nodes(docs: DataFrame, words: int, least_depth: int) -> DataFrame:
                 low = (sig & 255).astype(np.uint8)
                 sketch += [low[i].tobytes() if some[i] else None for i in range(len(some))]
                 label += [p[i].tobytes() if some[i] else None for i in range(len(some))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch, pa.binary()), pa.array(label, pa.binary())], names=["doc_id", "key", "sketch", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sketch, pa.binary()), pa.array(label, pa.binary())], names=["doc_id", "key", "bytes", "sketch", "labels"])
 
-    rows = keyed(docs).select("doc_id", "key", "text").mapInArrow(look, "doc_id long, key binary, sketch binary, labels binary")
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("labels").alias("labels"))
+    rows = keyed(docs).select("doc_id", "key", "text", F.octet_length("text").cast("long").alias("bytes"))
+    rows = rows.mapInArrow(look, "doc_id long, key binary, bytes long, sketch binary, labels binary")
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch"), F.first("labels").alias("labels"))
     return shared.materialise(one.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
 
@@ -112,8 +125,57 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
+class _Walk:
+    """Goes through the sorted paths of one range and names each node's firsts and neighbours."""
+
+    def __init__(self, part: int, levels: int):
+        self.part, self.levels = part, levels
+        self.at = 0  # rows given out
+        self.before = None  # (path, nid, firsts) of the last row given out
+        self.held = np.zeros((0, levels), np.int64), np.zeros(0, np.int64)  # the row that waits for the next one
+        self.edges: list[bytes] = []  # first and last row: part, which, nid, path, firsts
+
+    def _edge(self, last: int, nid: int, path: np.ndarray, firsts: np.ndarray) -> None:
+        self.edges.append(np.concatenate([[self.part, last, nid], path, firsts]).astype(np.int64).tobytes())
+
+    def step(self, path: np.ndarray, nid: np.ndarray, end: bool = False):
+        """(nid, what it meets, before, after) of the rows that meet some, up to the last but one."""
+        path, nid = np.concatenate([self.held[0], path]), np.concatenate([self.held[1], nid])
+        n = len(nid)
+        if not n:
+            return None
+        old_path, old_nid, old_firsts = self.before or (None, 0, np.zeros(self.levels, np.int64))
+        new = np.ones((n, self.levels), bool)  # a new subtrie at this level
+        new[1:] = path[1:] != path[:-1]
+        new[0] = True if old_path is None else path[0] != old_path
+        new = np.logical_or.accumulate(new, axis=1)
+        head = (self.at + np.arange(n)) % HEAD == 0
+        since = np.maximum.accumulate(np.where(new | head[:, None], np.arange(n)[:, None], -1), axis=0)
+        firsts = np.where(since >= 0, nid[np.maximum(since, 0)], old_firsts)
+        past = np.concatenate([old_firsts[None], firsts[:-1]])
+        meet = np.where(head[:, None] & ~new, past, firsts)
+        before = np.concatenate([[old_nid], nid[:-1]])
+        if not self.edges:
+            self._edge(0, int(nid[0]), path[0], firsts[0])
+        if end:
+            self._edge(1, int(nid[-1]), path[-1], firsts[-1])
+        k = n if end else n - 1
+        self.held = path[k:], nid[k:]
+        if k:
+            self.before = path[k - 1], int(nid[k - 1]), firsts[k - 1]
+        self.at += k
+        has_after = np.append(~new[1:, 0], False)
+        after = np.append(nid[1:], 0)
+        some = np.flatnonzero((meet[:k] != nid[:k, None]).any(axis=1))
+        rows = [sorted(set(m) - {a}) for m, a in zip(meet[some].tolist(), nid[some].tolist())]
+        return nid[some], rows, pa.array(before[some], pa.int64(), mask=new[some, 0]), pa.array(after[some], pa.int64(), mask=~has_after[some])
+
+
 def tries(node: DataFrame, least_depth: int) -> DataFrame:
-    """A row per node and tree it shares a prefix in: (nid, firsts of its subtries, nids before and after it in the trie)."""
+    """A row per node and tree it shares a prefix in: (nid, firsts of its subtries, nids before and after it in the trie).
+
+    The rows with an ``edge`` tell the first and the last row of each range.
+    """
     levels = DEPTH - least_depth + 1
 
     def deal(batches):
@@ -127,27 +189,58 @@ def tries(node: DataFrame, least_depth: int) -> DataFrame:
     rows = node.filter("labels IS NOT NULL").select("nid", "labels").mapInArrow(deal, schema)
     names = [f"h{i}" for i in range(levels)]
     n = int(node.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "h0").sortWithinPartitions(*names, "nid")
-    rows = rows.withColumn("l0", F.min("nid").over(W.partitionBy("h0")))
-    for i in range(1, levels):
-        rows = rows.withColumn(f"l{i}", F.min("nid").over(W.partitionBy(*names[: i + 1])))
-    order = W.partitionBy("h0").orderBy(*names[1:], "nid")
-    rows = rows.withColumn("before", F.lag("nid").over(order)).withColumn("after", F.lead("nid").over(order))
-    firsts = F.array_except(F.array(*(f"l{i}" for i in range(levels))), F.array("nid"))
-    rows = rows.select("nid", firsts.alias("firsts"), "before", "after").filter("size(firsts) > 0")
-    return shared.materialise(rows, "tries")
+    rows = rows.repartitionByRange(n, *names, "nid").sortWithinPartitions(*names, "nid").select("nid", *names)
+
+    def walk(batches):
+        w = _Walk(TaskContext.get().partitionId(), levels)
+
+        def batch_of(found):
+            nid, firsts, before, after = found
+            cols = [pa.array(nid, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), before, after, pa.nulls(len(nid), pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["nid", "firsts", "before", "after", "edge"])
+
+        for batch in batches:
+            path = np.stack([batch.column(i + 1).to_numpy() for i in range(levels)], axis=1)
+            if (found := w.step(path, batch.column(0).to_numpy())) is not None:
+                yield batch_of(found)
+        if (found := w.step(np.zeros((0, levels), np.int64), np.zeros(0, np.int64), True)) is not None:
+            yield batch_of(found)
+        k = len(w.edges)
+        cols = [pa.array([0] * k, pa.int64()), pa.array([[]] * k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(w.edges, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["nid", "firsts", "before", "after", "edge"])
+
+    return shared.materialise(rows.mapInArrow(walk, "nid long, firsts array<long>, before long, after long, edge binary"), "tries")
+
+
+def across(rows: DataFrame, levels: int) -> DataFrame:
+    """(a, b) that a run's first row in a range meets in the range before; two rows of each range reach the driver."""
+    edges = sorted(np.frombuffer(r.edge, np.int64).tolist() for r in rows.filter("edge IS NOT NULL").select("edge").collect())
+    pairs = set()
+    for (_, _, _, *last), (_, _, nid, *first) in zip(edges[1::2], edges[2::2]):
+        for i in range(levels):
+            if first[: i + 1] == last[: i + 1]:
+                pairs.add((nid, last[levels + i]))
+    for (_, _, end, *last), (_, _, nid, *first) in zip(edges[1::2], edges[2::2]):
+        if first[0] == last[0]:
+            pairs.add((nid, end))
+    return rows.sparkSession.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "a long, b long")
 
 
 def meetings(node: DataFrame, least_depth: int, least: float) -> DataFrame:
     """Distinct likely (a, b): nodes and the firsts of their subtries; where a first is unlike a node, its neighbours in the trie."""
     rows = tries(node, least_depth)
-    met = rows.select(F.col("nid").alias("a"), F.explode("firsts").alias("b")).distinct()
+    own = rows.filter("edge IS NULL").drop("edge")
+    each = own.select(F.col("nid").alias("a"), F.explode("firsts").alias("b"), "before", "after")
+    met = each.select("a", "b").unionByName(across(rows, DEPTH - least_depth + 1)).distinct()
     near = shared.materialise(likely(node, met, least), "near")
     # a first that is unlike a node may stand before others that are like it
-    alone = rows.select(F.col("nid").alias("a"), F.explode("firsts").alias("b"), "before", "after").join(near, ["a", "b"], "left_anti")
+    alone = each.join(near, ["a", "b"], "left_anti")
     beside = alone.select("a", F.explode(F.array("before", "after")).alias("b")).filter("b IS NOT NULL AND a <> b")
     beside = beside.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct()
-    return near.union(likely(node, beside, least))
+    found = shared.materialise(near.union(likely(node, beside, least)), "meetings")
+    shared.drop_table(rows)
+    shared.drop_table(near)
+    return found
 
 
 def likely(node: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -166,93 +259,151 @@ def likely(node: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(keep, "a long, b long")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets, by products of incidence matrices."""
-    m = len(sets)
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    flat = np.concatenate(sets)
-    who = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    col = col.reshape(-1)
-    live = seen[col] > 1
-    number = np.cumsum(seen > 1) - 1
-    who, col = who[live], number[col[live]]
-    order = np.argsort(col, kind="stable")
-    who, col = who[order], col[order]
-    out = np.zeros((m, m), np.float32)
-    step, total = 4096, int(col[-1]) + 1 if len(col) else 0
-    for s in range(0, total, step):
-        a, b = np.searchsorted(col, [s, s + step])
-        x = np.zeros((m, step), np.float32)
-        x[who[a:b], col[a:b] - s] = 1
-        out += x @ x.T
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, all of ``a`` with all of ``b``, by products of incidence matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    parts = []
+    for sets in (a, b):
+        parts.append((np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    both = np.intersect1d(parts[0][0], parts[1][0])
+    cells = []
+    for flat, who in parts:
+        col = np.searchsorted(both, flat)
+        live = both[np.minimum(col, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
+        col, who = col[live], who[live]
+        order = np.argsort(col, kind="stable")
+        cells.append((col[order], who[order]))
+    step = 2048
+    for s in range(0, len(both), step):
+        x = []
+        for (col, who), sets in zip(cells, (a, b)):
+            i, j = np.searchsorted(col, [s, s + step])
+            m = np.zeros((len(sets), min(step, len(both) - s)), np.float32)
+            m[who[i:j], col[i:j] - s] = 1
+            x.append(m)
+        out += x[0] @ x[1].T
     return np.rint(out).astype(np.int64)
 
 
-def _roots(link: np.ndarray) -> np.ndarray:
-    """The least index reachable from each index of a symmetric boolean matrix."""
-    root = np.full(len(link), -1)
-    for i in range(len(link)):
-        if root[i] >= 0:
-            continue
-        new = np.zeros(len(link), bool)
-        new[i] = True
-        while new.any():
-            root[new] = i
-            new = link[new].any(axis=0) & (root < 0)
-    return root
+@dataclass
+class Side:
+    """The nodes of one block: ids, set sizes, how many shingles of the group's first they lack, differences from it."""
+
+    nid: np.ndarray
+    size: np.ndarray
+    lacks: np.ndarray
+    diff: list[np.ndarray]
+
+    def part(self, i: int, j: int) -> Side:
+        return Side(self.nid[i:j], self.size[i:j], self.lacks[i:j], self.diff[i:j])
+
+
+def links_between(a: Side, b: Side, first_size: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nid, links, root) of the nodes with links between ``a`` and ``b``, or within ``a`` if that is ``b`` too."""
+    same, n = a is b, len(a.nid)
+    nid = a.nid if same else np.concatenate([a.nid, b.nid])
+    links, root = np.zeros(len(nid), np.int64), np.arange(len(nid))
+    at = 0 if same else n
+    for s in range(0, n, TILE):
+        rows = a.part(s, s + TILE)
+        inter = first_size - rows.lacks[:, None] - b.lacks[None] + shared_counts(rows.diff, b.diff)
+        linked = inter >= least * (rows.size[:, None] + b.size[None] - inter) - 1e-9
+        if same:
+            linked[np.arange(len(rows.nid)), s + np.arange(len(rows.nid))] = False
+        else:
+            links[at:] += linked.sum(axis=0)
+        links[s : s + len(rows.nid)] += linked.sum(axis=1)
+        for i in np.flatnonzero(linked.any(axis=1)).tolist():
+            near = root[at + np.flatnonzero(linked[i])]
+            mine = root[s + i]
+            if (near != mine).any():
+                joined = np.unique(np.append(near, mine))
+                root[np.isin(root, joined[1:])] = joined[0]
+    some = links > 0
+    return nid[some], links[some], nid[root[some]]
+
+
+def grouped(docs: DataFrame, node: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (cluster, at, is_member, nid, nb, text): each member at its block, the group's first at every block, before the members."""
+    about = groups.join(node.select(F.col("nid").alias("node"), "key", F.col("doc_id").alias("rep"), "bytes"), "node")
+    about = shared.materialise(about, "members")
+    size = about.groupBy("label").agg(F.count("*").alias("m"), F.sum("bytes").alias("total"))
+    nb = F.greatest(F.ceil(F.sqrt("m") / F.lit(SPREAD)), F.ceil(F.col("total") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    size = shared.materialise(size.select("label", nb.alias("nb"), "m"), "groups")
+    hot = size.filter(F.col("m") > HOT)
+    if 0 < hot.count() <= FEW:  # the rows of a hot group stay where they are
+        member = about.join(F.broadcast(hot), "label").unionByName(about.join(F.broadcast(hot), "label", "left_anti").join(size, "label"))
+    else:
+        member = about.join(size, "label")
+    member = member.select(F.col("key").alias("k"), "rep", F.col("node").alias("nid"), F.col("label").alias("cluster"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
+    rows = keyed(docs)
+    rows = rows.join(member, (rows["key"] == member["k"]) & rows["doc_id"].eqNullSafe(member["rep"])).select("nid", "cluster", "nb", "block", "text")
+    own = F.array(F.struct(F.col("block").alias("at"), F.lit(True).alias("is_member")))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(x.cast("int").alias("at"), F.lit(False).alias("is_member")))
+    places = F.when(F.col("nid") == F.col("cluster"), F.concat(own, all_blocks)).otherwise(own)
+    rows = rows.withColumn("p", F.explode(places)).select("cluster", "p.at", "p.is_member", "nid", "nb", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "cluster", "at").sortWithinPartitions("cluster", "at", "is_member", "nid")
+
+
+def differences(rows: DataFrame, words: int) -> DataFrame:
+    """(cluster, block, nb, nid, first_size, size, lacks, diff) of every member."""
+    names = ["cluster", "block", "nb", "nid", "first_size", "size", "lacks", "diff"]
+
+    def run(batches):
+        key, first, last = None, None, None
+        for batch in batches:
+            cluster, at, member, nid, nb = (batch.column(i).to_pylist() for i in range(5))
+            out = []
+            for i, j, raw, offs in tx.chunks(batch.column(5)):
+                sh, to = shingles(raw, offs, words)
+                for r in range(i, j):
+                    own = np.unique(sh[to[r - i] : to[r - i + 1]])
+                    if not member[r]:
+                        key, first = (cluster[r], at[r]), own
+                        continue
+                    assert key == (cluster[r], at[r])  # a group's first stands at each of its blocks
+                    if last == (key, nid[r]):  # a repeated row
+                        continue
+                    last = key, nid[r]
+                    diff = np.setxor1d(first, own, assume_unique=True)
+                    lacks = len(first) - (len(first) + len(own) - len(diff)) // 2
+                    out.append((cluster[r], at[r], nb[r], nid[r], len(first), len(own), lacks, diff.tobytes()))
+            cols = list(zip(*out)) or [()] * 8
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return rows.mapInArrow(run, "cluster long, block int, nb int, nid long, first_size long, size long, lacks long, diff binary")
 
 
 def verified(docs: DataFrame, node: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
-    """(nid, links, root) from every block of every group, all pairs verified on their shingle sets."""
-    spark = docs.sparkSession
-    size = groups.groupBy("label").agg(F.count("*").alias("m"))
-    member = groups.join(size, "label").join(node.select(F.col("nid").alias("node"), "key", F.col("doc_id").alias("rep")), "node")
-    nb = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    member = member.select("key", "rep", F.col("node").alias("nid"), F.col("label").alias("cluster"), nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("block"))
-    rows = keyed(docs).withColumn("rep", F.col("doc_id")).drop("doc_id")
-    same = (rows["key"] == member["key"]) & rows["rep"].eqNullSafe(member["rep"])
-    rows = rows.join(member, same).select("nid", "cluster", "nb", "block", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    rows = rows.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "nid", "block", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "nid")
+    """(nid, links, root) from every pair of blocks of every group, all pairs verified on their shingle sets."""
+    rows = differences(grouped(docs, node, groups), words)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "nid", "first_size", "size", "lacks", "diff")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "block", "nid")
 
     def verify(batches):
-        key, held = None, {}
-
         def judge(key, held):
-            nid = np.array(sorted(held))
-            if len(nid) < 2:
-                return None
-            sets = [held[i][1] for i in nid.tolist()]
-            n = np.array([len(s) for s in sets])
-            inter = intersections(sets)
-            link = inter >= least * (n[:, None] + n[None] - inter) - 1e-9
-            np.fill_diagonal(link, False)
-            block = np.array([held[i][0] for i in nid.tolist()])
-            if key[1] != key[2]:
-                link &= block[:, None] != block[None]  # pairs within a block are verified there
-            links, some = link.sum(axis=1), link.any(axis=1)
-            if not some.any():
+            sides = []
+            for block in dict.fromkeys(key[1:]):
+                own = [h for h in held if h[0] == block]
+                sides.append(Side(np.array([h[1] for h in own], np.int64), np.array([h[3] for h in own], np.int64), np.array([h[4] for h in own], np.int64), [np.frombuffer(h[5], np.uint64) for h in own]))
+            a, b = sides[0], sides[-1]
+            if not len(a.nid) or not len(b.nid) or (a is b and len(a.nid) < 2):
                 return None
-            root = nid[_roots(link)]
-            return pa.RecordBatch.from_arrays([pa.array(nid[some]), pa.array(links[some]), pa.array(root[some])], names=["nid", "links", "root"])
+            nid, links, root = links_between(a, b, held[0][2], least)
+            return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(links), pa.array(root)], names=["nid", "links", "root"]) if len(nid) else None
 
+        key, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            nid, block = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i, j, raw, offs in tx.chunks(batch.column(5)):
-                sh, at = shingles(raw, offs, words)
-                for r in range(i, j):
-                    if keys[r] != key:
-                        if held and (out := judge(key, held)) is not None:
-                            yield out
-                        key, held = keys[r], {}
-                    held[nid[r]] = (block[r], np.unique(sh[at[r - i] : at[r - i + 1]]))
+            for cluster, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cluster, lo, hi) != key:
+                    if held and (out := judge(key, held)) is not None:
+                        yield out
+                    key, held = (cluster, lo, hi), []
+                held.append(row)
         if held and (out := judge(key, held)) is not None:
             yield out
 
@@ -263,14 +414,18 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per distinct text: key, doc_id (its least), label (its class), class_id, n_links, n_copies."""
     depth = depth_for(least)
     node = nodes(docs, words, depth)
-    groups = components(meetings(node, depth, least))
+    met = meetings(node, depth, least)
+    groups = components(met)
     proof = shared.materialise(verified(docs, node, groups, words, least), "links")
     links = proof.groupBy("nid").agg(F.sum("links").alias("n_links"))
     found = components(proof.select(F.col("nid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "nid")
     placed = node.select("nid", "key", "doc_id", "copies").join(found, "nid", "left").join(links, "nid", "left")
     placed = placed.select("key", "doc_id", F.coalesce("label", "nid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return shared.materialise(placed.join(named, "label"), "classes")
+    out = shared.materialise(placed.join(named, "label"), "classes")
+    for t in (met, groups, proof, found, node):
+        shared.drop_table(t)
+    return out
 
 
 def join(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
