@@ -277,6 +277,11 @@ def test_toxicity(spark):
     assert len(odd) == len(document_rows()) and all(0 <= x.score <= 1 for x in odd)
     kept = toxicity.reject(documents(spark), m)
     assert kept.columns == documents(spark).columns and kept.count() < len(document_rows())
+    few = toxicity.fit(documents(spark, rows + rows[:50] + [(7000, "x " * 600_000, "en", "s", 0)]), lab.unionByName(spark.createDataFrame([(7000, 0, "z")], lab.schema)), most_rows=300, most_bytes=60_000)
+    assert few.trained  # repeated rows once, the longest not at all
+    plain = toxicity.score(d, toxicity.fit(d, lab, evidence=False, epochs=12)).filter("held_out").collect()
+    hot, cold = ([x.score for x in plain if (x.doc_id % 5 == 0) == v] for v in (True, False))
+    assert np.mean([[a > b for b in cold] for a in hot]) > 0.75  # the convolution learns without the evidence start
     none = toxicity.fit(d, lab.limit(0))
     assert {x.score for x in toxicity.score(d, none).collect()} == {0.0}
     assert toxicity.score(documents(spark, EMPTY), m).count() == 0

@@ -11,11 +11,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[str] = set()
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches of long texts small."""
+    """Let Python workers import this package and keep Arrow batches of long texts small.
+
+    The bound is on rows, as Spark has it: 1,000 texts of the usual few kilobytes are a few megabytes.  It is a
+    setting of the session (plans read it when they run, so it cannot be put back), and never raised.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
@@ -39,8 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidewheel/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which goes when the application ends.
+
+    Operators delete what they no longer need themselves; the rest is read by lazy results until then.
+    """
+    root = f"{shared_dir(spark).rstrip('/')}/tidewheel/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
