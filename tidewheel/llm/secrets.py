@@ -9,12 +9,16 @@ length is dropped and still uses up its characters.  A span is the whole match.
 
 The method adds ``guess`` spans: the value of a name that has a credential word among its parts
 (``DB_PWD=``, ``clientSecret:``, ``Authorization: Bearer``) is cut into segments so that the guesses an attacker needs are fewest (words, dates, repeats, keyboard
-walks, sequences, or brute force), and is reported if even the cheapest cut needs
+walks, sequences, or brute force; a repeat or a walk goes as far as it can from where it starts), and is reported if even the cheapest cut needs
 ``10 ** LEAST_GUESSES`` guesses, which 8 random characters do.  The whole value is added, also if a
 base span holds part of it; values inside one base span are that span's.
 
+Words are ranked by what they cost to guess: first ``WORDS``, then the commonest words of the texts
+themselves (:func:`dictionary`: counted over all texts, standing alone in prose, so what follows a colon or
+an equals sign, or has digits, is none).
+
 Null and empty texts have no spans; spans count code points, ends exclusive; repeated rows get
-equal results; an empty table gives no rows.  Only doc_id and text are read (``redact`` keeps all
+equal results (texts are whole, however long); an empty table gives no rows.  Only doc_id and text are read (``redact`` keeps all
 columns).
 """
 from __future__ import annotations
@@ -38,6 +42,7 @@ WORD_BEFORE_KEY = r"(?i:\b|_)(?i:api|access|private|client|secret)\x20\Z"
 VALUE = r"""\s{0,3}(?i:(?:bearer|basic|token|digest|apikey)\s{1,3})?["']?([^\s"'<>,;]{8,})"""
 PARTS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|-")
 LEAST_GUESSES = 8.0
+PROSE = r"(?<!\S)(?<![:=]\s{1,3})(\p{L}{3,24})(?=[.,;!?)]{0,3}(?:\s|\z))"
 # Rows of a keyboard, and words that passwords are made of, commonest first.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 WORDS = (
@@ -47,7 +52,6 @@ WORDS = (
     "the none null true false placeholder redacted dummy value string here insert replace enter code pin"
 ).split()
 _LEET = str.maketrans("013457@$!", "oleastasi")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _DATE = re.compile(r"(?:19|20)\d{2}(?:[-/._]?\d{1,2}[-/._]?\d{1,2})?|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2})")
 
 
@@ -64,11 +68,32 @@ def _repeats(value: str) -> list[tuple[int, int]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+class Ranks:
+    """Words by rank: ``WORDS``, then ``words``, commonest first."""
+
+    def __init__(self, words=()):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+        self.longest = max(map(len, self.rank))
+
+
+PLAIN = Ranks()
+
+
+def dictionary(docs: DataFrame, most_words: int = 20_000, least: int = 20) -> list[str]:
+    """The ``most_words`` commonest words of all texts that stand there ``least`` times or more, commonest first.
+
+    The driver and each worker hold these words, at most 24 characters each.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(PROSE), F.lit(1))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+
+
+def guess_cost(value: str, ranks: Ranks = PLAIN) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``, in one pass from left to right."""
     n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    longest, repeats = max(map(len, WORDS)), _repeats(value)
+    rank_of, longest, repeats = ranks.rank.get, ranks.longest, _repeats(value)
     best = [0.0] + [float("inf")] * n
     brute = float("inf")  # the least best[i] - i so far: ten guesses a character, as attackers find by structure
     for i in range(n):
@@ -77,7 +102,7 @@ def guess_cost(value: str) -> float:
         brute = min(brute, best[i] - i)
         edges = []  # (end, cost)
         for j in range(i + 2, min(n, i + longest) + 1):
-            rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) * 4)
+            rank = rank_of(low[i:j]) or (rank_of(plain[i:j], 0) * 4)
             if rank:
                 cased = 1 if value[i:j] == low[i:j] else 2
                 edges.append((j, log10(rank * cased + 1)))
@@ -103,7 +128,7 @@ def _patterns():
     return re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0-9a-f]{16,}"), re.compile(NAME), re.compile(CREDENTIAL), re.compile(WORD_BEFORE_KEY), re.compile(VALUE)
 
 
-def find(text: str, patterns=None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, ranks: Ranks = PLAIN, patterns=None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind number, end), in order."""
     assign, access, hexes, names, credential, before_key, values = patterns or _patterns()
     base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -123,7 +148,7 @@ def find(text: str, patterns=None) -> tuple[list[tuple[int, int, int]], list[tup
         s, e = m.start(1), m.start(1) + len(value)
         if len(value) < 8 or any(a <= s and e <= b for a, _, b in base):
             continue
-        if guess_cost(value) >= LEAST_GUESSES:
+        if guess_cost(value, ranks) >= LEAST_GUESSES:
             added.append((s, 3, e))
             until = e
     return base, sorted(base + added)
@@ -133,16 +158,17 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans per row."""
+def scan(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """Counts, digest and spans per row; ``words`` are by default the dictionary of ``docs``."""
     shared.prepare(docs.sparkSession)
+    words = dictionary(docs) if words is None else words
 
     def run(batches):
-        patterns = _patterns()
+        patterns, ranks = _patterns(), Ranks(words)
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
-                base, spans = find(t or "", patterns)
+                base, spans = find(t or "", ranks, patterns)
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
             cols = list(zip(*rows)) or [()] * 5
@@ -153,26 +179,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", words: list[str] | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (touching spans by one) and n_chars counted anew."""
     shared.prepare(docs.sparkSession)
+    words = dictionary(docs) if words is None else words
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def clean(text):
+    def clean(text, ranks, patterns):
         if text is None:
             return None
         out, end = [], 0
-        for s, _, e in find(text)[1]:
+        for s, _, e in find(text, ranks, patterns)[1]:
             if s >= end:
                 out += [text[end:s], mark]
             end = max(end, e)
         return "".join([*out, text[end:]]) if out else text
 
     def run(batches):
+        patterns, ranks = _patterns(), Ranks(words)
         for batch in batches:
             old = batch.column(at).to_pylist()
-            new = [clean(t) for t in old]
+            new = [clean(t, ranks, patterns) for t in old]
             cols = list(batch.columns)
             cols[at] = pa.array(new, batch.schema.field(at).type)
             if count is not None:
