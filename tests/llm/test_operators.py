@@ -570,6 +570,38 @@ def test_spotsigs_pairs(spark):
     assert got == want
 
 
+def test_spotsigs_pairs_without_ids(spark):
+    t = prose(50, 90)
+    rows = [(None, t + " x1", None, None, 0), (None, t + " x2", None, None, 0), (None, None, None, None, 0), (1, prose(60, 40), None, None, 0)]
+    got = spotsigs.similar_pairs(documents(spark, rows)).collect()
+    assert [(r.a, r.b) for r in got] == [(None, None)] and got[0].likeness >= 0.8
+    assert spotsigs.similar_pairs(documents(spark, EMPTY)).count() == 0
+
+
+def _spot_sets(text):
+    """Anchor and word signatures as tuples of words, without hashes."""
+    w, anchors = words(text), set(spotsigs.ANCHORS)
+    content = [i for i, x in enumerate(w) if x not in anchors]
+    out = set()
+    for i, x in enumerate(w):
+        chain = tuple(w[i + 1 : i + 1 + spotsigs.CHAIN])
+        out.add((x, *chain, *[None] * (spotsigs.CHAIN - len(chain))))
+        if x in anchors:
+            chain = tuple(w[k] for k in content if k > i)[: spotsigs.CHAIN]
+            out.add((x, *chain, *[None] * (spotsigs.CHAIN - len(chain))))
+    return out
+
+
+def test_spotsigs_are_chains_of_words(spark):
+    texts = [t or "" for _, t, *_ in document_rows()] + ["der Hund und die Katze", "the the the", prose(5, 300) + " " + "the one of two and three"]
+    for a in texts:
+        assert len(spotsigs._sets([a])[0]) == len(_spot_sets(a))
+    for a, b in zip(texts, texts[1:]):
+        x, y = _spot_sets(a), _spot_sets(b)
+        want = len(x & y) / len(x | y) if x and y else float(not x and not y)
+        assert spotsigs.likeness(*spotsigs._sets([a, b])) == pytest.approx(want)
+
+
 def test_spotsigs_changes_little_with_few_words():
     for n in (2, 3, 4, 12, 60):  # words; k of them anchors
         for k in range(n):

@@ -167,23 +167,26 @@ def signature_table(docs: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of distinct fingerprints with Jaccard ``least`` or more; a, b are least ids.
+    """(a, b, likeness) of distinct fingerprints with Jaccard ``least`` or more; a, b are their least ids (null if they have none).
 
     Sets are partitioned by the logarithm of their length, so a partner stands in the same or the
     next partition; within one, sets meet on the rarest signatures that any partner must share.
     """
     base = float(np.log(1 / least))
-    sets = shared.materialise(signature_table(docs).filter(F.size("sigs") > 0).withColumn("n", F.size("sigs")), "spots")
-    each = sets.select("doc_id", "n", F.explode("sigs").alias("sig"))
+    sets = signature_table(docs).filter(F.size("sigs") > 0).withColumns({"n": F.size("sigs"), "sid": F.monotonically_increasing_id()})
+    sets = shared.materialise(sets, "spots")
+    each = sets.select("sid", "n", F.explode("sigs").alias("sig"))
     freq = each.groupBy("sig").agg(F.count("*").alias("f")).filter("f > 1")
     need = F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1
-    rare = each.join(freq, "sig", "left").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "sig"))).alias("s"))
-    rare = rare.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), need.cast("int"))).alias("s")).filter("s.f > 1")
+    rare = each.join(freq, "sig", "left").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "sig"))).alias("s"))
+    rare = rare.select("sid", "n", F.explode(F.slice("s", F.lit(1), need.cast("int"))).alias("s")).filter("s.f > 1")
     part = F.floor(F.log("n") / F.lit(base)).cast("int")
-    left = rare.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s.sig").alias("sig"), part.alias("part"))
-    right = rare.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s.sig").alias("sig"), F.explode(F.array(part, part - 1)).alias("part"))
+    left = rare.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("s.sig").alias("sig"), part.alias("part"))
+    right = rare.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("s.sig").alias("sig"), F.explode(F.array(part, part - 1)).alias("part"))
     fits = (F.col("nb") >= F.col("na")) & (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("a") != F.col("b")) & ((F.col("nb") > F.col("na")) | (F.col("a") < F.col("b")))
     pairs = left.join(right, ["part", "sig"]).filter(fits).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb")), "b")
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("sigs").alias(f"s{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.withColumn("likeness", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    pairs = pairs.withColumn("likeness", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("likeness") >= least)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "likeness")
