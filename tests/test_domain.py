@@ -1,4 +1,5 @@
 """Pinned semantics of the domain operators on small frames."""
+import json
 import os
 from datetime import date, datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tidewheel import constants as C
 from tidewheel.functions import briefs, scalars as S
-from tidewheel.operators import availability as A, facts, flows, forecast, geo, quality, routing, slices, stats, typology
+from tidewheel.operators import availability as A, facts, flows, forecast, geo, quality, routing, runs, slices, stats, typology
 from tidewheel.sources import facilities, files
 
 TRIP = "ride_id int, started_at timestamp_ntz, ended_at timestamp_ntz, start_station_id string, end_station_id string, start_station_name string, end_station_name string, start_lat double, start_lng double, end_lat double, end_lng double, rideable_type string"
@@ -257,26 +258,71 @@ def _record(**more):
     return r | more
 
 
-def test_briefings():
-    f = _record()
-    text = briefs.template(f)
-    assert briefs.check_briefing(text, f) == []
-    assert briefs.check_briefing(briefs.template(_record(typology_matches_peak=False)), _record(typology_matches_peak=False)) == []
-    assert any("percent" in v for v in briefs.check_briefing(text.replace("13.0%", "14.0%"), f))
-    assert any("name" in v for v in briefs.check_briefing(text.replace("59 St & 4 Ave", "59 4 Ave"), f))
-    assert any("8 AM" in v or "9 AM" in v for v in briefs.check_briefing(text.replace("8 AM", "9 AM"), f))
-    assert any("time claim" in v for v in briefs.check_briefing("W 59 St & 4 Ave fills in the morning.", f))
-    assert not any("time claim" in v for v in briefs.check_briefing("W 59 St & 4 Ave is near Knight St.", f))
-    assert any("below" in v for v in briefs.check_briefing("W 59 St & 4 Ave is below the system rate.", f))
-    assert any("causal" in v for v in briefs.check_briefing("W 59 St & 4 Ave drains because it rains.", f))
-    assert briefs.extract_numbers("Ranked 2,507th, 12.5% at 8 a.m. and noon, 300 m, twenty -3") == [
-        ("time", "8 AM"), ("time", "12 PM"), ("percent", 12.5), ("meters", 300.0), ("number", 2507.0), ("number", -3.0), ("number", 20.0)]
-    assert briefs.split_sentences("It is by St. Nicholas at 8 a.m. Monday. Next.") == ["It is by St. Nicholas at 8 a.m. Monday.", "Next."]
-    assert briefs.round_robin({"a": ["1", "2"], "b": ["1", "3"], "c": []}, 3) == ["1", "3", "2"]
+def test_plain_texts_keep_every_rule():
+    for more in ({}, {"typology_matches_peak": False}, {"typology_matches_peak": None}, {"weekend_differs": True, "weekend_flow": {"low_signal": False, "fill_peak_hour": "1 PM", "drain_peak_hour": None}},
+                 {"weekday_flow": {"low_signal": True}}, {"reliability": {"status": "no_data"}}, {"reliability": {"status": "not_rankable"}}, {"typology": "Mixed/flat rhythm"}):
+        r = _record(**more)
+        assert briefs.violations(briefs.plain_text(r), r) == [], more
+    c = _record()["context"] | {"transit_gap": True, "near_nycha": True, "nycha_name": "Mt. Olive Av. Houses"}
+    assert briefs.violations(briefs.plain_text(_record(context=c)), _record(context=c)) == []
+
+
+@pytest.mark.parametrize("said, rules", [
+    ("fills most at 8 AM on weekdays.", ""), ("fills most at 5 PM on weekdays.", "peaks"), ("lacks docks in 14.0% of readings.", "numbers"), ("is 22 m away.", "numbers"), ("is 300 metres from P.S. 184m Shuang Wen.", ""),
+    ("empties late at night.", "day type"), ("peaks at noon on weekends.", "numbers,weekend"), ("is lower than the system.", "comparison"), ("is higher than the system.", ""), ("empties due to rain.", "style"),
+    ("is a commuter-core station.", ""), ("is near Knight Morningside.", ""),
+])
+def test_rules(said, rules):
+    r = _record()
+    assert ",".join(v.split(":")[0] for v in briefs.violations(f"{r['name']} {said}", r)) == rules
+
+
+def test_hedge_in_every_sentence():
+    r = _record(typology_matches_peak=False)
+    for said in ("is a commuter-core station.", "is a residential feeder station.", "is grouped with others. It is a commuter core station."):
+        assert any(v.startswith("hedge") for v in briefs.violations(f"{r['name']} {said}", r))
+    assert briefs.violations(f"{r['name']} is grouped with commuter-core stations.", r) == []
+    assert [v.split(":")[0] for v in briefs.violations("W 59 4 Ave is here.", r)] == ["name"]  # its numbers are the name's
+
+
+def test_figures_and_sentences():
+    got = briefs.scan("Ranked 2,507th, 12.5% at 8 a.m. and noon, 300 m, twenty -3, A7 x.5 one 8:00 pm")
+    assert got == [("number", 2507.0), ("percent", 12.5), ("time", "8 AM"), ("time", "12 PM"), ("meters", 300.0), ("number", 20.0), ("number", -3.0), ("time", "8 PM")]
+    assert briefs.sentences("It is by St. Nicholas at 8 a.m. Monday. Ralph A. Fabrizio? Next.") == ["It is by St. Nicholas at 8 a.m. Monday.", "Ralph A. Fabrizio?", "Next."]
+    assert briefs.sentences("") == [] and briefs.sentences(" one ") == ["one"]
+    assert briefs.rounds_to(6.0, {6.3}) and not briefs.rounds_to(6.3, {6.0}) and briefs.rounds_to(0.5, {0.46, 9})
     with pytest.raises(KeyError):
         briefs.fill_template("{{x}} {{y}}", {"x": "1"})
 
 
+def test_sample_takes_turns(spark):
+    rows = []
+    for i in range(60):
+        rows.append((f"s{i:02d}", json.dumps({"typology_matches_peak": [True, False, None][i % 3], "weekday_flow": {"low_signal": i % 7 == 0}, "reliability": {"status": "no_data" if i % 5 == 0 else "ok"}, "weekend_differs": i % 11 == 0})))
+    pools = [[i for i, r in rows if test(json.loads(r))] for test in (lambda r: r["typology_matches_peak"] is False, lambda r: r["typology_matches_peak"] is True, lambda r: r["weekday_flow"]["low_signal"], lambda r: r["reliability"]["status"] == "no_data", lambda r: r["weekend_differs"])]
+    for n in (3, 20, 200):
+        want = []
+        while len(want) < n and any(set(p) - set(want) for p in pools):
+            for p in pools:
+                rest = [i for i in p if i not in want]
+                if rest and len(want) < n:
+                    want.append(rest[0])
+        assert briefs.sample(spark.createDataFrame(rows, "station_id string, record string"), n) == want
+
+
+def test_runs(spark, tmp_path):
+    one = lambda: spark.range(3)
+
+    def fails():
+        raise RuntimeError("no feed")
+
+    got = runs.run_all(spark, [("a", one), ("b", one), ("c", fails), ("d", one)], skip=("a",), write=lambda name, f: f.write.parquet(f"{tmp_path}/{name}")).collect()
+    assert [(r.name, r.status, r.n_rows) for r in got] == [("a", "skipped", None), ("b", "done", 3), ("c", "failed", None), ("d", "not run", None)]
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 3
+    with pytest.raises(ValueError):
+        runs.run_all(spark, [("a", one)], skip=("z",))
+
+
 def test_archives_and_logs(spark, tmp_path):
     import zipfile
 
@@ -389,3 +435,42 @@ def test_registered_trees_are_the_operators(spark, monkeypatch, name, targets):
     assert len(calls) == targets and all(len(m) > 13 and "1996-01" not in m for _, m in calls)
     if targets == 2:
         assert {r.tier: r.mae > 900 for r in rows}["gbm"]
+
+
+SNAP = "station_id long, observed_at timestamp, bikes_available long, docks_available long, is_renting int, is_returning int, event_id long"
+
+
+def _stream_files(spark, tmp_path, batches):
+    """A stream of one file a batch, in the order given."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SNAP).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        import time
+
+        time.sleep(1.1)  # files are taken by age
+    return spark.readStream.schema(SNAP).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+
+
+def _reading(station, minute, bikes, event):
+    return station, datetime(2026, 7, 13) + timedelta(minutes=minute), bikes, 5, 1, 1, event
+
+
+def test_persistence_of_readings_out_of_order(spark, tmp_path):
+    from tidewheel.streaming import availability as live
+
+    late_first = [[_reading(1, 60, 0, 3), _reading(1, 120, 3, 5), _reading(2, 100, 0, 9)], [_reading(1, 30, 0, 2), _reading(1, 0, 0, 1), _reading(1, 90, 0, 4), _reading(2, 40, 0, 8)], [_reading(3, 1000, 1, 6)], [_reading(3, 2000, 1, 7)]]
+    out = live.persistence(_stream_files(spark, tmp_path, late_first))
+    q = out.writeStream.trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+    q.awaitTermination()
+    t0 = datetime(2026, 7, 13)
+    got = sorted((r.station_id, int((r.observed_at - t0).total_seconds() // 60), int((r.next_at - t0).total_seconds() // 60), r.still) for r in spark.read.schema(live.PERSISTED).parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 0, 30, True), (1, 30, 60, True), (1, 60, 90, True), (1, 90, 120, False), (2, 40, 100, True)]
+
+
+def test_latest_table_of_batches_out_of_order(spark, tmp_path):
+    from tidewheel.streaming import availability as live
+
+    stream = _stream_files(spark, tmp_path, [[_reading(1, 60, 7, 3), _reading(2, 5, 1, 1)], [_reading(1, 30, 2, 2), _reading(2, 5, 4, 4)], [_reading(3, 0, 9, 5)]])
+    q = stream.writeStream.trigger(availableNow=True).foreachBatch(live.upsert_latest(f"{tmp_path}/table")).option("checkpointLocation", f"{tmp_path}/state").start()
+    q.awaitTermination()
+    assert {r.station_id: r.bikes_available for r in live.read_latest(spark, f"{tmp_path}/table", stream.schema).collect()} == {1: 7, 2: 4, 3: 9}
+    assert live.read_latest(spark, f"{tmp_path}/none", stream.schema).count() == 0

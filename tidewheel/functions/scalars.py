@@ -133,3 +133,11 @@ def spline_basis(x, knots: list[float], degree: int = 3) -> list[Column]:
     for d in range(1, degree + 1):
         basis = [(x - F.lit(t[i])) / F.lit(t[i + d] - t[i]) * basis[i] + (F.lit(t[i + d + 1]) - x) / F.lit(t[i + d + 1] - t[i + 1]) * basis[i + 1] for i in range(len(t) - d - 1)]
     return basis
+
+
+def escape_html(c) -> Column:
+    """Text that may stand in HTML, in quotes too."""
+    out = col(c)
+    for sign, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(written))
+    return out

@@ -108,3 +108,15 @@ def preset_check(weather: DataFrame) -> DataFrame:
     low, high = min(t for _, t, _ in C.PRESETS), max(t for _, t, _ in C.PRESETS)
     lo, hi = F.min("temp_mean_c"), F.max("temp_mean_c")
     return weather.agg(F.lit("preset temps in observed range").alias("name"), F.coalesce((lo <= low) & (hi >= high), F.lit(False)).alias("passed"), F.bround(hi - lo, 6).alias("value"))
+
+
+def report_facts(manifest: DataFrame, facilities: DataFrame, context: DataFrame) -> DataFrame:
+    """(fact, value) as text: the trips' window and stations, the layers' sizes and thresholds, the stations they flag."""
+    layer = lambda name: F.count_if(F.col("layer") == name).alias(f"{name}_records")
+    layers = facilities.agg(*[layer(n) for n in ("housing", "school", "subway")])
+    flags = context.agg(F.sum("near_housing").alias("n_near_housing"), F.sum("near_school").alias("n_near_school"), F.sum("transit_gap").alias("n_transit_gap"))
+    one = manifest.select(F.array_min("months").alias("trip_first_month"), F.array_max("months").alias("trip_last_month"), F.size("months").alias("trip_n_months"), F.col("n_any").alias("n_stations"), F.col("n_full").alias("n_stations_full"))
+    one = one.join(layers).join(flags)  # one row each
+    one = one.withColumns({"housing_threshold_m": F.lit(C.NEAR_HOUSING_M), "school_threshold_m": F.lit(C.NEAR_SCHOOL_M), "subway_threshold_m": F.lit(C.TRANSIT_GAP_M)})
+    text = one.select(*[F.col(c).cast("string").alias(c) for c in one.columns])
+    return text.unpivot([], one.columns, "fact", "value")

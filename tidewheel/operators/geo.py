@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.session import cut
 
 DEGREE_M = 111_194.0  # a little less than a degree of latitude, so cells are never too small
 
@@ -37,34 +38,42 @@ def within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     return pairs.withColumn("dist_m", S.haversine("lat", "lng", "other_lat", "other_lng")).filter(F.col("dist_m") <= metres)
 
 
-def nearest(points: DataFrame, facilities: DataFrame, key: str = "station_id", start_m: float = 2000.0) -> DataFrame:
+def nearest(points: DataFrame, facilities: DataFrame, key: str = "station_id", start_m: float = 2000.0, by: str | None = None) -> DataFrame:
     """Each point's nearest facility (first by ``ordinal`` on a tie): key, nearest, dist_m.
 
+    With ``by``, a column of the facilities (their layer), the nearest of each of its values, in the same passes.
     A hit within the cell size is exact; points without one try four times the size, until the size
-    covers the globe.  Only a count of open points reaches the driver.  Cells do not wrap at 180 degrees,
-    so rows of one city must not stand on both sides of that meridian.
+    covers the globe.  Only a count of open points reaches the driver; each round is checkpointed, a row per point.
+    Cells do not wrap at 180 degrees, so rows of one city must not stand on both sides of that meridian.
     """
-    found, open_, metres = None, points.select(key, "lat", "lng"), start_m
+    group = [by] if by else []
+    keys, places = [key, *group], facilities.select("name", "ordinal", "lat", "lng", *group)
+    open_ = points.select(key, "lat", "lng")
+    if by:
+        open_ = open_.join(F.broadcast(facilities.select(by).distinct()))  # a few layers
+    found, metres = None, start_m
     while True:
-        pairs = within(open_, facilities.select("name", "ordinal", "lat", "lng"), metres)
-        best = pairs.groupBy(key).agg(F.min_by(F.struct("other_name", "dist_m"), F.struct("dist_m", "other_ordinal")).alias("b"))
-        best = best.select(key, F.col("b.other_name").alias("nearest"), F.col("b.dist_m").alias("dist_m")).persist()  # a row per point; else each round would repeat all before it
+        pairs = within(open_, places, metres)
+        if by:
+            pairs = pairs.filter(F.col(by) == F.col(f"other_{by}"))
+        best = pairs.groupBy(*keys).agg(F.min_by(F.struct("other_name", "dist_m"), F.struct("dist_m", "other_ordinal")).alias("b"))
+        best = cut(best.select(*keys, F.col("b.other_name").alias("nearest"), F.col("b.dist_m").alias("dist_m")))
         found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best.select(key), key, "left_anti")
+        open_ = open_.join(best.select(*keys), keys, "left_anti")
         if metres > 4.2e7 or not open_.limit(1).count():
             return found
         metres *= 4
 
 
 def context(stations: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Distances and flags per station; flags use unrounded distances."""
-    out = stations.select("station_id")
-    for layer in ("housing", "school", "subway"):
-        n = nearest(stations, facilities.filter(F.col("layer") == layer))
-        out = out.join(n.select("station_id", F.col("nearest").alias(f"{layer}_nearest"), F.col("dist_m").alias(f"_{layer}")), "station_id")
+    """Distances and flags per station; flags use unrounded distances.  A layer without facilities leaves its columns null."""
+    n = nearest(stations, facilities, by="layer")
+    of = lambda layer, c: F.max(F.when(F.col("layer") == layer, F.col(c)))  # noqa: E731  one row of each
+    layers = ("housing", "school", "subway")
+    out = n.groupBy("station_id").agg(*[of(v, "dist_m").alias(f"_{v}") for v in layers], *[of(v, "nearest").alias(f"{v}_nearest") for v in layers])
     flag = lambda c: c.cast("int")
     return out.select(
-        "station_id", *[F.bround(f"_{v}", 0).cast("int").alias(f"{v}_dist_m") for v in ("housing", "school", "subway")],
+        "station_id", *[F.bround(f"_{v}", 0).cast("int").alias(f"{v}_dist_m") for v in layers],
         "housing_nearest", "school_nearest", "subway_nearest", flag(F.col("_housing") <= C.NEAR_HOUSING_M).alias("near_housing"),
         flag(F.col("_school") <= C.NEAR_SCHOOL_M).alias("near_school"), flag(F.col("_subway") >= C.TRANSIT_GAP_M).alias("transit_gap"))
 

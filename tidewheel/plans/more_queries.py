@@ -70,20 +70,6 @@ def _(x):
     return x.spark.read.option("header", True).csv(path).groupBy(F.col("utc_date").cast("string").alias("utc_date")).agg(F.count("*").alias("n"))
 
 
-@query("o2_manifest", "SELECT count(*) AS n_any, count(*) FILTER (n = 83) AS n_full FROM (SELECT station_id, count(DISTINCT month) AS n FROM dkeys GROUP BY station_id)")
-def _(x):
-    c = flows.coverage(x.daily.withColumn("month", S.month_key("date")))
-    return c.agg(F.count("*").alias("n_any"), F.count_if(F.col("n_months") == 83).alias("n_full"))
-
-
-@query("w9_samp_round_robin")
-def _(x):
-    pools: dict[str, list[str]] = {}
-    for r in x.stations.select("station_id", (F.col("capacity") % 5).alias("kind")).orderBy("kind", "station_id").collect():  # a city's stations
-        pools.setdefault(str(r["kind"]), []).append(str(r["station_id"]))
-    return x.spark.createDataFrame([(i, s) for i, s in enumerate(briefs.round_robin(pools, 20))], "position int, station_id string")
-
-
 def _facts(x):
     curve = lambda k: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.bround(F.sin((h + F.col("station_id") * k) / 4) * 3, 3))
     s = x.stations.select("station_id", "name", curve(1).alias("weekday"), curve(2).alias("weekend"))
@@ -110,15 +96,9 @@ def _(x):
     return r.select("station_id", facts.facts_hash(["record"]).alias("facts_hash"))
 
 
-@query("f16_fn_extract_numbers")
+@query("w9_samp_round_robin")
 def _(x):
-    prepare_workers(x.spark)
-
-    @F.pandas_udf("array<string>")
-    def tokens(t):
-        return t.map(lambda s: [f"{k}:{v}" for k, v in briefs.extract_numbers(s)])
-
-    return x.stations.select("station_id", tokens(F.format_string("The 2nd of %d docks fills 12.5%% by 8 AM, 300 m from noon", F.col("capacity"))).alias("tokens"))
+    return x.spark.createDataFrame([(i, s) for i, s in enumerate(briefs.sample(_as_record(_facts(x)), 20))], "position int, station_id string")
 
 
 @query("f21_fn_template_text")
@@ -127,17 +107,12 @@ def _(x):
 
     @F.pandas_udf("string")
     def write(r):
-        return r.map(lambda s: briefs.template(json.loads(s)))
+        return r.map(lambda s: briefs.plain_text(json.loads(s)))
 
     r = _as_record(_facts(x)).withColumn("text", write("record"))
     return r.select("station_id", "text", briefs.violations_udf()("text", "record").alias("violations"))
 
 
-@query("f26_fn_us_holidays")
-def _(x):
-    return x.spark.createDataFrame([(d,) for d in forecast.us_holidays("2025-09-01", "2026-08-31")], "holiday string")
-
-
 def _rates(x):
     from tidewheel.plans.space_queries import _joined
 
@@ -252,7 +227,7 @@ def _(x):
 
 
 @query("st3_st_persistence", """SELECT count(*) AS n_with_next, count(*) FILTER (nu) AS n_still FROM (SELECT unusable, observed_at, lead(observed_at) OVER w AS na, lead(unusable) OVER w AS nu FROM snaps WHERE is_online WINDOW w AS (PARTITION BY station_id ORDER BY observed_at, event_id))
-    WHERE unusable AND epoch_us(na) - epoch_us(observed_at) <= 4200000000""")
+    WHERE unusable AND epoch_us(na) - epoch_us(observed_at) <= 4200000000 AND na < (SELECT max(observed_at) - INTERVAL 2 HOUR FROM snaps WHERE is_online)""")
 def _(x):
     prepare_workers(x.spark)
     r = _run(x, live.persistence(_stream(x)), "append")
@@ -261,7 +236,7 @@ def _(x):
 
 @query("st4_st_latest_status", "SELECT station_id, bikes_available, docks_available FROM latest")
 def _(x):
-    last: dict = {}
-    q = _stream(x).writeStream.trigger(availableNow=True).foreachBatch(live.upsert_latest(last)).option("checkpointLocation", f"{shared_dir(x.spark)}/tidewheel/latest-{uuid.uuid4().hex}").start()
+    path, stream = f"{shared_dir(x.spark)}/tidewheel/latest-{uuid.uuid4().hex}", _stream(x)
+    q = stream.writeStream.trigger(availableNow=True).foreachBatch(live.upsert_latest(f"{path}/table")).option("checkpointLocation", f"{path}/state").start()
     q.awaitTermination()
-    return x.spark.createDataFrame([(k, v["bikes_available"], v["docks_available"]) for k, v in last.items()], "station_id long, bikes_available long, docks_available long")
+    return live.read_latest(x.spark, f"{path}/table", stream.schema).select("station_id", "bikes_available", "docks_available")

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewheel.operators import flows, quality
+from tidewheel.session import cut
 from tidewheel.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,8 @@ class Frames:
 
     @cached_property
     def raw_trips(self) -> DataFrame:
-        return self.view("trips")
+        """Trips as a stored table: the view over events is a sort of all of them, and most queries read trips twice or more."""
+        return cut(self.view("trips"))
 
     @cached_property
     def trips(self) -> DataFrame:

@@ -35,3 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return base or os.path.join(tempfile.gettempdir(), "tidewheel-shared")
+
+
+def cut(df):
+    """``df`` computed once and kept in the checkpoint folder: lineage ends here, and a lost executor costs no recomputing."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

@@ -49,22 +49,80 @@ def archive_name(month: str) -> str:
     return f"{month.replace('-', '')}-citibike-tripdata.zip"
 
 
-def download(url: str, to: str, opener: Callable = urllib.request.urlopen, block: int = 1 << 20) -> str:
-    """A landed file, fetched in blocks and moved into place when whole; one that is there is not fetched again."""
-    if os.path.exists(to):
+def _fs(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a URI, in the cluster's or a local one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def as_uri(path: str) -> str:
+    return path if ":" in path.split("/")[0] else "file://" + os.path.abspath(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def put(spark: SparkSession, path: str, blocks: bytes | Iterator[bytes]) -> None:
+    """Write a file, under another name until it is whole."""
+    fs, p = _fs(spark, path)
+    _, part = _fs(spark, path + ".part")
+    out = fs.create(part, True)
+    for block in [blocks] if isinstance(blocks, bytes) else blocks:
+        out.write(bytearray(block))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(part, p)
+
+
+def rename_all(spark: SparkSession, folder: str, to: str, name: Callable[[int], str]) -> None:
+    """The data files of a written folder, moved to names of one's own."""
+    fs, p = _fs(spark, folder)
+    _, t = _fs(spark, to)
+    fs.mkdirs(t)
+    found = sorted(str(f.getPath()) for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    for i, f in enumerate(found):
+        fs.rename(_fs(spark, f)[1], _fs(spark, f"{to}/{name(i)}")[1])
+
+
+def partitions(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column, from the folder's names."""
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
+
+
+def download(url: str, to: str, opener: Callable = urllib.request.urlopen, block: int = 1 << 20, spark: SparkSession | None = None) -> str:
+    """A landed file, fetched in blocks and moved into place when whole; one that is there is not fetched again.
+
+    With ``spark`` the place is of the cluster's file system, else of this machine's.
+    """
+    if exists(spark, to) if spark else os.path.exists(to):
         return to
-    os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
-    with opener(url) as r, open(to + ".part", "wb") as f:
-        while part := r.read(block):
-            f.write(part)
+    with opener(url) as r:
+        blocks = iter(lambda: r.read(block), b"")
+        if spark:
+            put(spark, to, blocks)
+            return to
+        os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
+        with open(to + ".part", "wb") as f:
+            f.writelines(blocks)
     os.replace(to + ".part", to)
     return to
 
 
-def delete_raw(paths: list[str]) -> None:
-    """Landed archives go once their month is aggregated."""
+def delete_raw(paths: list[str], spark: SparkSession | None = None) -> None:
+    """Landed archives go once their month is aggregated; one that is gone already is no fault."""
     for p in paths:
-        if os.path.exists(p):
+        if spark:
+            delete(spark, p)
+        elif os.path.exists(p):
             os.remove(p)
 
 
@@ -148,13 +206,13 @@ def read_paged(spark: SparkSession, url: str, count: int, columns: list[str], pa
 
 def read_weather(spark: SparkSession, url: str, points: list[tuple[float, float]], start: str, end: str, cache: str | None = None) -> DataFrame:
     """Daily weather of every point; with ``cache`` written once as Parquet by zone and read from there."""
-    if cache and os.path.exists(cache):
+    if cache and exists(spark, f"{cache}/_SUCCESS"):
         return spark.read.parquet(cache)
     spark.dataSource.register(WeatherSource)
     df = spark.read.format("point_weather").options(url=url, points=",".join(f"{a}:{b}" for a, b in points), start=start, end=end).load()
     if not cache:
         return df
-    df.write.partitionBy("zone").parquet(cache)
+    df.write.mode("overwrite").partitionBy("zone").parquet(cache)
     return spark.read.parquet(cache)
 
 

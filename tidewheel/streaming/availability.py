@@ -6,6 +6,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewheel import constants as C
 from tidewheel.operators import availability as A
+from tidewheel.sources import files
 
 PERSISTED = "station_id long, observed_at timestamp, next_at timestamp, still boolean"
 
@@ -28,42 +29,59 @@ def unusable_rate(snapshots: DataFrame, window: str = "1 day", late: str = "2 ho
 def persistence(snapshots: DataFrame, minutes: int = C.PERSISTENCE_MINUTES, late: str = "2 hours", column: str = "observed_at") -> DataFrame:
     """Per online unusable reading: the station's next online reading within ``minutes`` and whether it is still unusable.
 
-    State per station is its last reading; it leaves when the watermark passes the horizon.
+    Readings may come in any order within the watermark: a station's state is its sorted readings from the watermark on,
+    and the last one before it.  A pair is given out when the watermark has passed its later reading, so the result
+    equals the batch one whatever the order and the batches; a reading's pair waits until then, at most ``late``.
+    Readings later than the watermark are dropped.  State leaves when nothing can follow its last reading in time.
     """
     t = A.tag(snapshots.withColumn(column, F.col(column).cast("timestamp"))).filter("is_online").withWatermark(column, late)
     t = t.select("station_id", F.col(column).alias("at"), "event_id", "unusable")
+    horizon = minutes * 60_000_000
 
     def step(key, frames, state: GroupState):
         import pandas as pd
 
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs() * 1000
+        held = list(zip(*state.get)) if state.exists else []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                held += [(int(a.value // 1000), int(e), bool(u)) for a, e, u in zip(pdf["at"], pdf["event_id"], pdf["unusable"])]
+        held.sort()
+        sure = sum(at < mark for at, _, _ in held)  # nothing can come between these any more
+        out = [(int(key[0]), pd.Timestamp(a[0], unit="us"), pd.Timestamp(b[0], unit="us"), b[2]) for a, b in zip(held[:sure], held[1:sure]) if a[2] and b[0] - a[0] <= horizon]
+        unsure, held = held[sure:], held[max(sure - 1, 0) :]
+        if len(held) == 1 and held[0][0] + horizon < mark:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        last = state.get if state.exists else None
-        out = []
-        for at, bad in zip(rows["at"], rows["unusable"]):
-            now = int(at.value // 1000)
-            if last and last[1] and 0 <= now - last[0] <= minutes * 60_000_000:
-                out.append((int(key[0]), pd.Timestamp(last[0], unit="us"), at, bool(bad)))
-            last = (now, bool(bad))
-        state.update(last)
-        if state.getCurrentWatermarkMs() < last[0] // 1000 + minutes * 60_000:
-            state.setTimeoutTimestamp(last[0] // 1000 + minutes * 60_000)
+        elif held:
+            state.update(tuple(map(list, zip(*held))))
+            wake = unsure[0][0] if unsure else held[0][0] + horizon
+            state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["station_id", "observed_at", "next_at", "still"])
 
-    return t.groupBy("station_id").applyInPandasWithState(step, PERSISTED, "at long, unusable boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return t.groupBy("station_id").applyInPandasWithState(step, PERSISTED, "at array<long>, event array<long>, unusable array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_latest(target: dict):
-    """A ``foreachBatch`` writer that keeps each station's last reading in ``target`` (a city's stations)."""
+def upsert_latest(path: str):
+    """A ``foreachBatch`` writer that keeps each station's last reading in a table: version ``n`` below ``path`` is of the batches up to ``n``.
 
-    def write(batch: DataFrame, _: int) -> None:
-        for r in A.latest(batch).collect():
-            old = target.get(r["station_id"])
-            if old is None or old["observed_at"] <= r["observed_at"]:
-                target[r["station_id"]] = r.asDict()
+    A version is the one before it merged with the batch, so a repeated batch writes the same again, and nothing is
+    kept in the driver.  The version before last is deleted.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = f"{path}/version={n - 1}"
+        if files.exists(spark, f"{before}/_SUCCESS"):
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(before))
+        last = F.max_by(F.struct(*batch.columns), F.struct("observed_at", "event_id"))
+        batch.groupBy("station_id").agg(last.alias("s")).select("s.*").write.mode("overwrite").parquet(f"{path}/version={n}")
+        files.delete(spark, f"{path}/version={n - 2}")
 
     return write
 
+
+def read_latest(spark, path: str, schema) -> DataFrame:
+    """The newest whole version; an empty frame if there is none."""
+    whole = [int(v) for v in files.partitions(spark, path, "version") if files.exists(spark, f"{path}/version={v}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(f"{path}/version={max(whole)}") if whole else spark.createDataFrame([], schema)
