@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.session import at_once, cut
 
 KEYS = ["station_id", "day_type", "hour"]
 
@@ -51,8 +52,8 @@ def mae(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("net") - F.col("predicted"))).alias("mae"))
 
 
-def fold_maes(monthly: DataFrame, daily: DataFrame, months: list[str]) -> DataFrame:
-    """Naive-tier MAE of each month predicted from all other months, later ones too.
+def fold_maes(monthly: DataFrame, daily: DataFrame, months: list[str], by_hour: bool = True) -> DataFrame:
+    """Naive-tier MAE of each month predicted from all other months, later ones too; by the station's mean alone unless ``by_hour``.
 
     All folds are one plan: a fold's sums are the station's totals less its own month's, so no
     month is read once per fold.
@@ -68,7 +69,8 @@ def fold_maes(monthly: DataFrame, daily: DataFrame, months: list[str]) -> DataFr
         return rest.filter("d > 0").select(*keys, "fold", (F.col("w") / F.col("d")).alias(out))
 
     test = daily.withColumns({"fold": S.month_key("date"), "day_type": S.day_type("date")}).filter(F.col("fold").isin(months))
-    p = test.join(less_own(KEYS, "predicted"), [*KEYS, "fold"], "left").join(less_own(["station_id"], "predicted_flat"), ["station_id", "fold"], "left")
+    p = test.join(less_own(KEYS, "predicted"), [*KEYS, "fold"], "left") if by_hour else test.withColumn("predicted", F.lit(None).cast("double"))
+    p = p.join(less_own(["station_id"], "predicted_flat"), ["station_id", "fold"], "left")
     return mae(p.withColumn("predicted", F.coalesce("predicted", "predicted_flat", F.lit(0.0))), "fold")
 
 
@@ -80,11 +82,23 @@ def split_recent(df: DataFrame, fraction: float = C.VALIDATION_FRACTION) -> Data
     return df.join(F.broadcast(dates.select("date", (F.col("i") >= F.floor(F.col("n") * (1 - F.lit(fraction)))).alias("is_validation"))), "date")  # dates are few
 
 
+CLASSES = ["day_of_week", "bin", "typology_cluster"]
+
+
+def featured(daily: DataFrame, station_zone: DataFrame, weather: DataFrame, holidays: list[str], labels: DataFrame) -> DataFrame:
+    """Daily rows with weather, calendar and the cluster of ``labels`` (station_id, cluster); a station without one is unseen."""
+    from tidewheel.operators import typology
+
+    rows = typology.with_typology(calendar(with_weather(daily, station_zone, weather), holidays), labels)
+    return rows.withColumns({"typology_cluster": F.col("cluster").cast("string"), "holiday": F.col("is_holiday").cast("double"), "bin": F.coalesce(S.precip_bin("precip_mm"), F.lit("dry"))}).drop("cluster")
+
+
 def gam(train: DataFrame, target: str, counts: bool):
     """A spline and one-hot model: Poisson with log link for counts, ridge for net; returns a function that scores a frame.
 
     Temperature has 5 even knots between the training extremes, hour 6 periodic ones (as sine and cosine
-    pairs of the first three harmonics, the same periodic smooth family); regularisation 1.
+    pairs of the first three harmonics, the same periodic smooth family); day of week, typology cluster and rain
+    class are one-hot, the holiday and the day of the year pass through.  A class not seen in training adds nothing.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -92,45 +106,80 @@ def gam(train: DataFrame, target: str, counts: bool):
 
     lo, hi = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
     knots = [lo + (hi - lo) * i / 4 for i in range(5)] if hi is not None and hi > lo else [0.0, 1.0, 2.0, 3.0, 4.0]
-
-    def expand(df: DataFrame) -> DataFrame:
-        cols = {f"t{i}": b for i, b in enumerate(S.spline_basis("temp_mean_c", knots))}
-        cols |= {f"h{f}{k}": getattr(F, f)(F.col("hour") * (2 * pi * k / 24)) for k in (1, 2, 3) for f in ("sin", "cos")}
-        return df.withColumns(cols | {"bin": F.coalesce(S.precip_bin("precip_mm"), F.lit("dry"))})
-
-    index = StringIndexer(inputCols=["day_type", "bin", "station_id"], outputCols=["i_day", "i_bin", "i_station"], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=["i_day", "i_bin", "i_station"], outputCols=["o_day", "o_bin", "o_station"], handleInvalid="keep")
-    spline = [f"t{i}" for i in range(7)] + [f"h{f}{k}" for k in (1, 2, 3) for f in ("sin", "cos")]
-    join = VectorAssembler(inputCols=[*spline, "o_day", "o_bin", "o_station"], outputCol="features")
+    waves = {f"h{f}{k}": getattr(F, f)(F.col("hour") * (2 * pi * k / 24)) for k in (1, 2, 3) for f in ("sin", "cos")}
+    expand = lambda df: df.withColumns({f"t{i}": b for i, b in enumerate(S.spline_basis("temp_mean_c", knots))} | waves)
+    index = StringIndexer(inputCols=CLASSES, outputCols=[f"i_{c}" for c in CLASSES], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"i_{c}" for c in CLASSES], outputCols=[f"o_{c}" for c in CLASSES], handleInvalid="keep")
+    join = VectorAssembler(inputCols=[*[f"t{i}" for i in range(7)], *waves, *[f"o_{c}" for c in CLASSES], "holiday", "doy_sin", "doy_cos"], outputCol="features")
     if counts:
         fit = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, predictionCol="gam", regParam=1e-3, maxIter=25)
     else:
         fit = LinearRegression(labelCol=target, predictionCol="gam", regParam=1.0, elasticNetParam=0.0)
     model = Pipeline(stages=[index, hot, join, fit]).fit(expand(train))
-    return lambda df: model.transform(expand(df))
+    return lambda df: model.transform(expand(df)).select(*df.columns, "gam")
 
 
 GBM_GRID = (dict(maxDepth=5, maxIter=100, stepSize=0.1), dict(maxDepth=5, maxIter=200, stepSize=0.05), dict(maxDepth=6, maxIter=200, stepSize=0.1))
+GBM_SHORT = tuple(kw | {"maxIter": kw["maxIter"] // 10, "stepSize": kw["stepSize"] * 3} for kw in GBM_GRID)
+GBM_FEATURES = ["lat", "lng", "hour_sin", "hour_cos", "i_day_of_week", "temp_mean_c", "precip_mm", "doy_sin", "doy_cos", "holiday", "i_typology_cluster"]
 
 
 def gbm(train: DataFrame, target: str, grid=GBM_GRID):
-    """Boosted trees on squared loss, clipped at 0 (Poisson loss is not in Spark): best of a grid on the recent dates, refitted on all."""
+    """Boosted trees on squared loss, clipped at 0 (Poisson loss is not in Spark): best of a grid on the recent dates, refitted on all.
+
+    Day of week and typology cluster are categories; one not seen in training is a category of its own.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    names = ["hour", "doy_sin", "doy_cos", "hour_sin", "hour_cos", "temp_mean_c", "precip_mm", "i_day"]
-    prepare = [StringIndexer(inputCol="day_type", outputCol="i_day", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="x")]
-    fit = lambda rows, kw: Pipeline(stages=[*prepare, GBTRegressor(featuresCol="x", labelCol=target, predictionCol="raw", seed=C.SEED, **kw)]).fit(rows)
-    split = split_recent(train).persist()
-    score = []
-    for kw in grid:
-        p = fit(split.filter("NOT is_validation"), kw).transform(split.filter("is_validation"))
-        score.append(p.agg(F.avg(F.abs(F.col(target) - F.greatest("raw", F.lit(0.0))))).first()[0])
+    classes = ["day_of_week", "typology_cluster"]
+    vectors = Pipeline(stages=[StringIndexer(inputCols=classes, outputCols=[f"i_{c}" for c in classes], handleInvalid="keep"), VectorAssembler(inputCols=GBM_FEATURES, outputCol="x")]).fit(train)
+    fit = lambda rows, kw: GBTRegressor(featuresCol="x", labelCol=target, predictionCol="raw", seed=C.SEED, **kw).fit(rows)
+    split = split_recent(vectors.transform(train).select("date", "x", target)).persist()
+    past, recent = split.filter("NOT is_validation"), split.filter("is_validation")
+    loss = F.avg(F.abs(F.col(target) - F.greatest("raw", F.lit(0.0))))
+    score = at_once([lambda kw=kw: fit(past, kw).transform(recent).agg(loss).first()[0] for kw in grid])
     best = grid[min(range(len(grid)), key=lambda i: (score[i] if score[i] is not None else float("inf"), i))]
-    model = fit(train, best)
+    model = fit(split, best)
     split.unpersist()
-    return lambda df: model.transform(df).withColumn("gbm", F.greatest("raw", F.lit(0.0)))
+    return lambda df: model.transform(vectors.transform(df)).withColumn("gbm", F.greatest("raw", F.lit(0.0))).select(*df.columns, "gbm")
+
+
+def run_fold(rows: DataFrame, month: str, station_zone: DataFrame, weather: DataFrame, holidays: list[str], grid=GBM_GRID, scale: float = 1.0) -> DataFrame:
+    """The rows of ``month`` with every tier's prediction of net, all models fitted on the other months.
+
+    Typology is refitted on the training months; arrivals and departures have models of their own, and net is their
+    difference; ``tier`` is what the training range of temperatures allows and ``guarded`` that tier's value.
+    """
+    from tidewheel.operators import flows, typology
+
+    held = S.month_key("date") == month
+    labels = cut(typology.refit(rows.filter(~held), scale))
+    frame = cut(featured(rows, station_zone, weather, holidays, labels))
+    train, test = frame.filter(f"month <> '{month}'"), frame.filter(f"month = '{month}'")
+    monthly = flows.monthly_from_daily(rows.filter(~held))
+    out = predict(test, naive(monthly), flat(monthly))
+    targets = ("arrivals_count", "departures_count")
+    models = at_once([lambda t=t: gam(train, t, counts=True) for t in targets] + [lambda t=t: gbm(train, t, grid) for t in targets])
+    for t, additive, trees in zip(targets, models, models[2:]):
+        out = trees(additive(out).withColumnRenamed("gam", f"gam_{t}")).withColumnRenamed("gbm", f"gbm_{t}")
+    out = out.withColumns({t: F.col(f"{t}_arrivals_count") - F.col(f"{t}_departures_count") for t in ("gam", "gbm")})
+    low, high = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
+    return guarded(out, F.lit(low), F.lit(high))
+
+
+def fold_scores(p: DataFrame) -> DataFrame:
+    """(model, grouping, value, n, mae) of a fold's predictions: overall, by season, by cluster and by tier, for net and the two counts."""
+    tiers = {"naive": ("net", "predicted"), "gam": ("net", "gam"), "gbm": ("net", "gbm"), "guarded": ("net", "guarded")}
+    tiers |= {f"{t}_{c}": (f"{c}_count", f"{t}_{c}_count") for t in ("gam", "gbm") for c in ("arrivals", "departures")}
+    errors = F.array(*[F.struct(F.lit(k).alias("model"), F.abs(F.col(y) - F.col(v)).alias("e")) for k, (y, v) in tiers.items()])
+    each = p.select(F.col("typology_cluster").alias("typology"), "tier", S.season("month").alias("season"), F.explode(errors).alias("m")).select("typology", "tier", "season", "m.model", "m.e")
+    model = F.col("model")
+    sets = each.groupingSets([[model], [model, F.col("season")], [model, F.col("typology")], [model, F.col("tier")]], "model", "season", "typology", "tier").agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
+    kinds = ("season", "typology", "tier")
+    grouping = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in kinds], F.lit("overall"))
+    return sets.select("model", grouping.alias("grouping"), F.coalesce(*kinds, F.lit("all")).alias("value"), "n", "mae")
 
 
 def guarded(df: DataFrame, low: Column, high: Column) -> DataFrame:

@@ -1,13 +1,17 @@
 """Shape clustering of weekday curves: normalised vectors, k by silhouette, named clusters."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.operators import flows
+from tidewheel.session import at_once
 
 LOW_SIGNAL = -1
 UNSEEN = -2
+MOST_STATIONS = 100_000
 
 
 def shape_matrix(curves: DataFrame, threshold: float = C.LOW_VOLUME) -> DataFrame:
@@ -17,20 +21,36 @@ def shape_matrix(curves: DataFrame, threshold: float = C.LOW_VOLUME) -> DataFram
 
 
 def silhouette(df: DataFrame, label: str = "label", vector: str = "shape") -> float | None:
-    """Mean Euclidean silhouette.  Vectors of a cluster meet through one distance aggregation per station.
+    """Mean Euclidean silhouette.
 
-    Quadratic in stations (thousands, not trips); the vectors themselves are the bounded side.
+    Every vector is compared with every other, which the measure asks for: rows stay spread, and meet all vectors, in
+    blocks, in each task.  These are a network's stations, some thousands; more than ``MOST_STATIONS`` raise.
     """
-    a = df.select(F.monotonically_increasing_id().alias("i"), F.col(label).alias("l"), F.col(vector).alias("v")).persist()
-    b = a.select(F.col("i").alias("j"), F.col("l").alias("m"), F.col("v").alias("u"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    to = a.join(b).groupBy("i", "l", "m").agg(F.sum(d).alias("s"), F.count("*").alias("n"))
-    mean = to.withColumn("d", F.when(F.col("l") == F.col("m"), F.try_divide("s", F.col("n") - 1)).otherwise(F.col("s") / F.col("n")))
-    each = mean.groupBy("i").agg(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
-    each = each.withColumn("s", F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))))
-    out = each.agg(F.avg("s")).first()[0]
-    a.unpersist()
-    return out
+    rows = df.select(F.col(label).cast("long").alias("l"), F.col(vector).alias("v"))
+    known = rows.toPandas() if rows.count() <= MOST_STATIONS else None
+    if known is None:
+        raise ValueError(f"more than {MOST_STATIONS} stations")
+    labels, at = np.unique(known["l"], return_inverse=True)
+    vectors, size = np.array(known["v"].tolist(), float).reshape(len(known), -1), np.bincount(at, minlength=len(labels))
+
+    def score(frames):
+        for pdf in frames:
+            for start in range(0, len(pdf), 256):
+                part = pdf.iloc[start : start + 256]
+                own = np.searchsorted(labels, part["l"])
+                far = np.sqrt(((np.array(part["v"].tolist(), float)[:, None] - vectors[None]) ** 2).sum(axis=2))
+                total = np.stack([far[:, at == c].sum(axis=1) for c in range(len(labels))], axis=1)
+                i = np.arange(len(part))
+                alone = size[own] == 1
+                a = total[i, own] / np.where(alone, 1, size[own] - 1)
+                mean = total / size
+                mean[i, own] = np.inf
+                b, s = mean.min(axis=1), np.zeros(len(part))
+                some = ~alone & np.isfinite(b) & (np.maximum(a, b) > 0)
+                s[some] = ((b - a) / np.maximum(a, b))[some]
+                yield part.assign(s=s)[["s"]]
+
+    return rows.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
 
 
 def select_k(shapes: DataFrame, k_range=C.K_RANGE, restarts: int = C.RESTARTS):
@@ -38,14 +58,15 @@ def select_k(shapes: DataFrame, k_range=C.K_RANGE, restarts: int = C.RESTARTS):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = shapes.filter("shape IS NOT NULL").withColumn("features", array_to_vector("shape")).persist()
+    rows = shapes.filter("shape IS NOT NULL").withColumn("features", array_to_vector("shape"))
     n, scores, models = rows.count(), {}, {}
-    for k in range(k_range[0], k_range[1] + 1):
-        if k >= n:
-            break
-        fits = [KMeans(k=k, seed=C.SEED + s, featuresCol="features", predictionCol="label", maxIter=50).fit(rows) for s in range(restarts)]
-        models[k] = min(fits, key=lambda m: m.summary.trainingCost)
-        scores[k] = silhouette(models[k].transform(rows))
+    rows = rows.coalesce(max(1, n // 4096)).persist()  # a fit is many passes over few rows
+    ks = [k for k in range(k_range[0], k_range[1] + 1) if k < n]
+    fit = lambda k, s: lambda: KMeans(k=k, seed=C.SEED + s, featuresCol="features", predictionCol="label", maxIter=50, initMode="random").fit(rows)
+    fits = at_once([fit(k, s) for k in ks for s in range(restarts)])
+    for i, k in enumerate(ks):
+        models[k] = min(fits[i * restarts : (i + 1) * restarts], key=lambda m: m.summary.trainingCost)
+    scores = dict(zip(ks, at_once([lambda m=models[k]: silhouette(m.transform(rows)) for k in ks])))
     rows.unpersist()
     if not scores:
         raise ValueError(f"not enough stations ({n}) for any k")
@@ -75,6 +96,18 @@ def assign(shapes: DataFrame, model) -> DataFrame:
     return hit.select("station_id", "cluster", "cluster_name").unionByName(low)
 
 
+def refit(daily: DataFrame, scale: float = 1.0, threshold: float = C.LOW_VOLUME, k_range=C.K_RANGE, restarts: int = C.RESTARTS) -> DataFrame:
+    """station_id, cluster, cluster_name from the mean weekday curves of ``daily`` (date, hour, net) alone.
+
+    An hour without a row is 0.  Where no k can be chosen every station is of low signal.
+    """
+    rows = daily.filter(S.day_type("date") == "weekday").groupBy("station_id", "hour").agg((F.avg("net") * scale).alias("value"))
+    shapes = shape_matrix(flows.curves(rows, "station_id"), threshold)
+    if shapes.filter("NOT is_low").count() <= k_range[0]:
+        return shapes.select("station_id", F.lit(LOW_SIGNAL).alias("cluster"), F.lit("Low signal").alias("cluster_name"))
+    return assign(shapes, select_k(shapes, k_range, restarts)[1])
+
+
 def with_typology(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels.select("station_id", "cluster"), "station_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(UNSEEN)))
 

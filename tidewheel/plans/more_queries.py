@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import briefs, scalars as S
-from tidewheel.operators import availability as A, facts, flows, forecast, geo, stats, typology
+from tidewheel.operators import availability as A, elasticity, facts, flows, forecast, geo, typology
 from tidewheel.plans.registry import query
-from tidewheel.session import prepare_workers, shared_dir
+from tidewheel.session import cut, prepare_workers, shared_dir
 from tidewheel.sources import facilities, files
 from tidewheel.streaming import availability as live
 
@@ -113,83 +113,100 @@ def _(x):
     return r.select("station_id", "text", briefs.violations_udf()("text", "record").alias("violations"))
 
 
-def _rates(x):
-    from tidewheel.plans.space_queries import _joined
+def _roster(x):
+    """Stations of the daily table: curves twenty times as high (their flows are small), type by curve, capacity of the station of that number, trips a day."""
+    curve = x.weekday.select("station_id", F.transform("curve", lambda v: v * 20).alias("curve"))
+    day = x.daily.groupBy("station_id", "date").agg(F.sum(F.col("arrivals_count") + F.col("departures_count")).alias("n")).groupBy("station_id").agg(F.avg("n").alias("throughput"))
+    capacity = x.stations.select((F.col("station_id") - 4000).alias("k"), "capacity")
+    k = F.expr("try_cast(substr(station_id, 2) AS bigint)")
+    s = curve.withColumn("k", k).join(capacity, "k", "left").join(day, "station_id", "left")
+    return s.select("station_id", typology.name_cluster("curve").alias("cluster_name"), S.mean_abs("curve").alias("magnitude"), "capacity", "throughput")
 
-    return _joined(x)
 
+_ROSTER = """(SELECT station_id, list_sum([abs(v * 20) for v in curve]) / 24 AS y, CAST(capacity AS DOUBLE) AS a, CAST(capacity * capacity AS DOUBLE) AS b, throughput AS c FROM wkday
+    JOIN (SELECT station_id - 4000 AS k, capacity FROM stations) ON k = CAST(substr(station_id, 2) AS BIGINT) JOIN (SELECT station_id, avg(n) AS throughput FROM (SELECT station_id, date, sum(arrivals_count + departures_count) AS n FROM daily GROUP BY ALL) GROUP BY station_id) USING (station_id))"""
 
-@query("m3_ml_capacity_curve")
+
+# each regressor is cleared of those before it, then y is regressed on what is left, last to first
+@query("m3_ml_capacity_curve", f"""WITH r AS {_ROSTER}, r1 AS (SELECT *, a - avg(a) OVER () AS p FROM r),
+    r2 AS (SELECT *, b - avg(b) OVER () - p * sum(b * p) OVER () / sum(p * p) OVER () AS q, sum(b * p) OVER () / sum(p * p) OVER () AS bp FROM r1),
+    r3 AS (SELECT *, c - avg(c) OVER () - p * sum(c * p) OVER () / sum(p * p) OVER () - q * sum(c * q) OVER () / sum(q * q) OVER () AS s, sum(c * p) OVER () / sum(p * p) OVER () AS cp, sum(c * q) OVER () / sum(q * q) OVER () AS cq FROM r2),
+    f AS (SELECT sum(y * s) / sum(s * s) AS b3, sum(y * q) / sum(q * q) AS yq, sum(y * p) / sum(p * p) AS yp, any_value(bp) AS bp, any_value(cp) AS cp, any_value(cq) AS cq, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM r3),
+    g AS (SELECT *, yq - b3 * cq AS b2 FROM f), h AS (SELECT *, yp - b2 * bp - b3 * cp AS b1 FROM g)
+SELECT term, round_even(coefficient, 6) + 0.0 AS coefficient FROM (SELECT 'intercept' AS term, my - b1 * ma - b2 * mb - b3 * mc AS coefficient FROM h UNION ALL SELECT 'capacity', b1 FROM h UNION ALL SELECT 'capacity2', b2 FROM h UNION ALL SELECT 'throughput', b3 FROM h)""")
 def _(x):
-    d = _rates(x).withColumn("capacity2", F.col("capacity") * F.col("capacity"))
-    fit = stats.ols(d, "unusable_rate", ["capacity", "capacity2", "demand"]) if d.select("capacity").distinct().count() >= C.MIN_CAPACITIES else None
-    rows = [] if fit is None else [(i, float(b), float(fit["cov"][i, i]) ** 0.5) for i, b in enumerate(fit["beta"])]
-    return x.spark.createDataFrame(rows, "term int, coefficient double, se double")
+    curve = elasticity.capacity_curve(_roster(x))
+    rows = [] if curve is None else [(t, float(b)) for t, b in zip(("intercept", "capacity", "capacity2", "throughput"), curve["beta"])]
+    return x.spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", F.bround("coefficient", 6))
 
 
 @query("m6_ml_elasticities")
 def _(x):
-    mean = x.panel.groupBy("station_id").agg(F.avg("magnitude").alias("m"), F.countDistinct("date").alias("days")).filter((F.col("m") > 0) & (F.col("days") >= C.MIN_DAYS))
-    r = stats.regress2(x.panel, "magnitude", "temp_mean_c", "precip_mm", "station_id").join(mean, "station_id")
-    out = [F.col("station_id")]
-    for name, b, se in (("temp", "b1", "se1"), ("precip", "b2", "se2")):
-        low, high = stats.ci95(F.col(b), F.col(se), F.col("m"))
-        out += [F.bround(F.col(b) / F.col("m"), 4).alias(f"{name}_elasticity"), low.alias(f"{name}_low"), high.alias(f"{name}_high")]
-    return r.select(*out)
+    types, stations = elasticity.elasticities(_roster(x), x.panel)
+    types = types.withColumns({"level": F.lit("typology"), "key": F.col("cluster_name")})
+    return types.unionByName(stations.withColumns({"level": F.lit("station"), "key": F.col("station_id")}), allowMissingColumns=True)
+
+
+def _shapes(x):
+    """Shapes at the operator's own threshold, of curves twenty times as high."""
+    return typology.shape_matrix(x.weekday.select("station_id", F.transform("curve", lambda v: v * 20).alias("curve")))
 
 
 @query("m10_ml_select_k")
 def _(x):
-    k, _, scores = typology.select_k(typology.shape_matrix(x.weekday, 0.01))
+    k, _, scores = typology.select_k(_shapes(x))
     return x.spark.createDataFrame([(i, float(s), i == k) for i, s in scores.items()], "k int, silhouette double, chosen boolean")
 
 
 @query("m12_ml_typology")
 def _(x):
-    shapes = typology.shape_matrix(x.weekday, 0.01)
+    shapes = _shapes(x)
     return typology.assign(shapes, typology.select_k(shapes)[1]).select("station_id", "cluster_name")
 
 
+FOLD_MONTH = "1996-01"
+_HOLIDAYS = ("1990-01-01", "2030-12-31")
+
+
 def _fold(x):
-    """(every other month, the month held out)."""
-    d = forecast.calendar(forecast.with_weather(x.daily, x.zones, x.weather), [])
-    return d.filter("month <> '1996-01'"), d.filter("month = '1996-01'")
+    """(every other month, the month held out), with every feature."""
+    labels = typology.refit(x.daily.filter(S.month_key("date") != FOLD_MONTH), 20.0)
+    d = cut(forecast.featured(x.daily, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), labels))
+    return d.filter(F.col("month") != FOLD_MONTH), d.filter(F.col("month") == FOLD_MONTH)
 
 
 @query("m13_ml_gam")
 def _(x):
     train, test = _fold(x)
-    p = forecast.gam(train, "departures_count", counts=True)(test)
-    return p.groupBy("day_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("departures_count") - F.col("gam"))).alias("mae"))
+    out = None
+    for target in ("departures_count", "arrivals_count", "net"):
+        p = forecast.gam(train, target, counts=target != "net")(test)
+        p = p.groupBy("day_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.col("gam"))).alias("mae")).withColumn("target", F.lit(target))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @query("m14_ml_gbm")
 def _(x):
     train, test = _fold(x)
-    p = forecast.gbm(train, "departures_count")(test)
+    p = forecast.gbm(train, "departures_count", forecast.GBM_SHORT)(test)
     return p.groupBy("day_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("departures_count") - F.col("gbm"))).alias("mae"))
 
 
+def _run_fold(x):
+    return cut(forecast.run_fold(x.daily, FOLD_MONTH, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), forecast.GBM_SHORT, 20.0))
+
+
 @query("m15_ml_recombine_guard")
 def _(x):
-    train, test = _fold(x)
-    for target in ("arrivals_count", "departures_count"):
-        test = forecast.gam(train, target, counts=True)(test).withColumnRenamed("gam", f"gam_{target}").select(*test.columns, f"gam_{target}")
-        test = forecast.gbm(train, target)(test).withColumnRenamed("gbm", f"gbm_{target}").select(*test.columns, f"gbm_{target}")
-    gam, gbm = (F.col(f"{m}_arrivals_count") - F.col(f"{m}_departures_count") for m in ("gam", "gbm"))
-    monthly = x.monthly.filter("month <> '1996-01'")
-    base = forecast.predict(test, forecast.naive(monthly), forecast.flat(monthly)).withColumns({"gam": gam, "gbm": gbm})
-    lo, hi = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
-    g = forecast.guarded(base, F.lit(lo), F.lit(hi))
-    return g.groupBy("tier").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("net") - F.col("guarded"))).alias("mae"))
+    p = _run_fold(x)
+    own = F.when(F.col("tier") == "gbm", F.col("gbm")).when(F.col("tier") == "gam", F.col("gam")).otherwise(F.col("predicted"))
+    return p.groupBy("tier").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("net") - F.col("guarded"))).alias("mae"), F.count_if(F.col("guarded") == own).alias("n_routed"))
 
 
 @query("m16_ml_run_fold")
 def _(x):
-    train, test = _fold(x)
-    monthly = x.monthly.filter("month <> '1996-01'")
-    p = forecast.predict(test, forecast.naive(monthly), forecast.flat(monthly))
-    return forecast.mae(p.withColumn("season", S.season("month")), "season")
+    return forecast.fold_scores(_run_fold(x))
 
 
 def _stream(x):

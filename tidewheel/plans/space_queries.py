@@ -86,11 +86,15 @@ def _(x):
     return n.select("station_id", "nearest", F.bround("dist_m", 3).alias("dist_m"))
 
 
-@query("j10_jn_adjacency_self", f"""SELECT DISTINCT a.station_id FROM (SELECT * FROM v_facilities WHERE ordinal % 2 = 0) f, (SELECT ordinal AS station_id, lat, lng FROM v_facilities) a,
-    (SELECT ordinal AS station_id, lat, lng FROM v_facilities) b WHERE a.station_id <> b.station_id AND {dist('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 9000 AND a.station_id = f.ordinal""")
+# the city a tenth as wide, so that some stations stand within the operator's 500 m
+_DENSE = "(SELECT station_id, CAST(40.7 AS DOUBLE) + (lat - CAST(40.7 AS DOUBLE)) / 10 AS lat, CAST(-73.96 AS DOUBLE) + (lng + CAST(73.96 AS DOUBLE)) / 10 AS lng, bikes_available = 0 OR docks_available = 0 AS bad FROM latest JOIN stations USING (station_id))"
+
+
+@query("j10_jn_adjacency_self", f"SELECT DISTINCT a.station_id FROM {_DENSE} a, {_DENSE} b WHERE a.station_id <> b.station_id AND a.bad AND b.bad AND {dist('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 500")
 def _(x):
-    f = x.facilities.select(F.col("ordinal").alias("station_id"), "lat", "lng")
-    return geo.within(f.filter("station_id % 2 = 0"), f, 9000).filter("station_id <> other_station_id").select("station_id").distinct()
+    near = x.stations.select("station_id", (F.lit(40.7) + (F.col("lat") - F.lit(40.7)) / 10).alias("lat"), (F.lit(-73.96) + (F.col("lng") + F.lit(73.96)) / 10).alias("lng"))
+    bad = A.tag(A.latest(x.snapshots)).filter("unusable").join(near, "station_id").select("station_id", "lat", "lng")
+    return geo.within(bad, bad, C.ADJACENT_M).filter("station_id <> other_station_id").select("station_id").distinct()
 
 
 @query("g1_geo_equity_context", """SELECT h.station_id, CAST(round_even(h.dist_m, 0) AS INT) AS housing_dist_m, CAST(round_even(c.dist_m, 0) AS INT) AS school_dist_m, CAST(round_even(s.dist_m, 0) AS INT) AS subway_dist_m,
@@ -151,9 +155,9 @@ def _(x):
     return x.weekday.select("station_id", F.bround(S.l2_norm("curve"), 6).alias("strength"))
 
 
-@query("f4_fn_l2_normalize", f"SELECT station_id, round_even(curve[9] / {_NORM}, 6) + 0.0 AS at_8 FROM wkday")
+@query("f4_fn_l2_normalize", f"SELECT station_id, CAST(i - 1 AS INT) AS hour, round_even(v / norm, 6) + 0.0 AS value FROM (SELECT station_id, {_NORM} AS norm, unnest(curve) AS v, unnest(range(1, 25)) AS i FROM wkday)")
 def _(x):
-    return x.weekday.select("station_id", F.bround(S.l2_normalize("curve")[8], 6).alias("at_8"))
+    return x.weekday.select("station_id", F.posexplode(S.l2_normalize("curve")).alias("hour", "value")).withColumn("value", F.bround("value", 6))
 
 
 @query("f5_fn_mean_abs", "SELECT station_id, round_even(list_sum([abs(v) for v in curve]) / 24, 6) AS magnitude FROM wkday")
@@ -345,9 +349,15 @@ def _(x):
     return r.select("n", F.bround("rate_per_dock", 9).alias("rate_per_dock"), F.bround("rate_per_dock_se", 9).alias("rate_per_dock_se"), F.bround("reliability_gap_points", 6).alias("reliability_gap_points"), "headline")
 
 
-@query("m9_ml_shape_matrix", f"SELECT station_id, {_NORM} < 1.0 AS is_low FROM wkday")
+_X20 = f"(SELECT station_id, [v * 20 for v in curve] AS curve FROM wkday)"
+
+
+@query("m9_ml_shape_matrix", f"""SELECT station_id, round_even(norm, 6) AS strength, norm < 1.0 AS is_low, CAST(i - 1 AS INT) AS hour, CASE WHEN norm >= 1.0 THEN round_even(v / norm, 6) + 0.0 END AS value
+    FROM (SELECT station_id, {_NORM} AS norm, unnest(curve) AS v, unnest(range(1, 25)) AS i FROM {_X20})""")
 def _(x):
-    return typology.shape_matrix(x.weekday).select("station_id", "is_low")
+    m = typology.shape_matrix(x.weekday.select("station_id", F.transform("curve", lambda v: v * 20).alias("curve")))
+    cell = F.posexplode(F.coalesce("shape", F.array_repeat(F.lit(None).cast("double"), 24)))
+    return m.select("station_id", F.bround("strength", 6).alias("strength"), "is_low", cell.alias("hour", "value")).withColumn("value", F.bround("value", 6))
 
 
 @query("m19_ml_weather_r2", _ols_sql("panel", "magnitude", "temp_mean_c", "precip_mm", "zone,", "zone, round_even(r2, 6) AS r2"))
@@ -391,9 +401,16 @@ def _(x):
     return _scored(x).select("station_id", "date", "hour", F.bround("predicted", 6).alias("predicted"))
 
 
-@query("a20_agg_mae", f"SELECT day_type, count(*) AS n, round_even(avg(abs(net - predicted)), 6) AS mae FROM ({_PRED}) GROUP BY day_type")
+_KIND = "(SELECT station_id, CASE WHEN list_max(curve) = list_min(curve) THEN 'Flat (no rhythm)' WHEN pm - am > 0.15 * (list_max(curve) - list_min(curve)) THEN 'Residential feeder (drains AM, fills PM)' WHEN am - pm > 0.15 * (list_max(curve) - list_min(curve)) THEN 'Commuter core (fills AM, drains PM)' ELSE 'Mixed/flat rhythm' END AS kind FROM (SELECT *, (curve[7] + curve[8] + curve[9] + curve[10]) / 4 AS am, (curve[17] + curve[18] + curve[19] + curve[20]) / 4 AS pm FROM wkday))"
+
+
+@query("a20_agg_mae", f"""SELECT CASE WHEN day_type IS NOT NULL THEN 'day_type' WHEN season IS NOT NULL THEN 'season' WHEN kind IS NOT NULL THEN 'typology' ELSE 'overall' END AS grouping, coalesce(day_type, season, kind, 'all') AS value, count(*) AS n, round_even(avg(abs(net - predicted)), 6) AS mae
+    FROM (SELECT p.*, kind, 'winter' AS season FROM ({_PRED}) p JOIN {_KIND} USING (station_id)) GROUP BY GROUPING SETS ((), (day_type), (season), (kind))""")
 def _(x):
-    return forecast.mae(_scored(x), "day_type").withColumn("mae", F.bround("mae", 6))
+    p = _scored(x).join(x.weekday.select("station_id", typology.name_cluster("curve").alias("kind")), "station_id").withColumn("season", S.season("month"))
+    sets = p.groupingSets([[], [F.col("day_type")], [F.col("season")], [F.col("kind")]], "day_type", "season", "kind").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("net") - F.col("predicted"))).alias("mae"))
+    grouping = F.when(F.col("day_type").isNotNull(), "day_type").when(F.col("season").isNotNull(), "season").when(F.col("kind").isNotNull(), "typology").otherwise("overall")
+    return sets.select(grouping.alias("grouping"), F.coalesce("day_type", "season", "kind", F.lit("all")).alias("value"), "n", F.bround("mae", 6).alias("mae"))
 
 
 @query("a21_agg_value_counts", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN temp_mean_c BETWEEN 0 AND 20 THEN 'gbm' WHEN temp_mean_c BETWEEN -5 AND 25 THEN 'gam' ELSE 'naive' END AS tier FROM daily JOIN zones USING (station_id) JOIN weather USING (zone, date)) GROUP BY tier")
@@ -418,11 +435,22 @@ def _(x):
     return f.groupBy(S.season("fold").alias("season")).agg(F.bround(F.sum(F.col("mae") * F.col("n")) / F.sum("n"), 6).alias("mae"))
 
 
-@query("m18_ml_wilcoxon", f"""SELECT least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS statistic FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r
-    FROM (SELECT round_even(mae, 6) - 0.88 AS d FROM ({_FOLDS})) WHERE d <> 0)""")
+_FLAT = """SELECT fold, avg(abs(net - coalesce(q, 0.0))) AS flat FROM (SELECT *, month AS fold FROM dkeys WHERE month BETWEEN '1995-01' AND '1995-12') t
+    LEFT JOIN (SELECT f.month AS fold, m.station_id, sum(net_per_day * n_days) / sum(n_days) AS q FROM (SELECT DISTINCT month FROM monthly) f, monthly m WHERE m.month <> f.month AND m.month BETWEEN '1995-01' AND '1995-12' GROUP BY ALL) USING (fold, station_id) GROUP BY fold"""
+
+
+# the exact null: every choice of signs of the ranks, at most 2^12 of them
+@query("m18_ml_wilcoxon", f"""WITH d AS (SELECT fold, round_even(mae, 6) - round_even(flat, 6) AS d FROM ({_FOLDS}) JOIN ({_FLAT}) USING (fold)),
+    r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, row_number() OVER (ORDER BY fold) - 1 AS i FROM d WHERE d <> 0),
+    t AS (SELECT least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS statistic, count(*) AS n FROM r),
+    s AS (SELECT g, sum(CASE WHEN (g >> CAST(i AS INT)) & 1 = 1 THEN r ELSE 0 END) AS w FROM (SELECT unnest(range(CAST(pow(2, n) AS BIGINT))) AS g FROM t), r GROUP BY g)
+SELECT statistic, round_even(least(1.0, 2 * (SELECT count(*) FILTER (w <= statistic + 1e-9) FROM s) / pow(2, n)), 9) AS p_value FROM t""")
 def _(x):
-    maes = [r["mae"] for r in forecast.fold_maes(x.monthly, x.daily, _MONTHS).select(F.bround("mae", 6).alias("mae")).collect()]  # one per fold
-    return x.spark.createDataFrame([(float(stats.wilcoxon(maes, [0.88] * len(maes))[0]),)], "statistic double")
+    naive = forecast.fold_maes(x.monthly, x.daily, _MONTHS)
+    only_flat = forecast.fold_maes(x.monthly, x.daily, _MONTHS, by_hour=False).select("fold", F.col("mae").alias("flat"))
+    rows = naive.join(only_flat, "fold").select(F.bround("mae", 6).alias("a"), F.bround("flat", 6).alias("b")).collect()  # one per fold
+    got = stats.wilcoxon([r.a for r in rows], [r.b for r in rows])
+    return x.spark.createDataFrame([tuple(map(float, got))] if got else [], "statistic double, p_value double").withColumn("p_value", F.bround("p_value", 9))
 
 
 _LABELS = f"(SELECT station_id, CASE WHEN {_NORM} < 0.05 THEN -1 ELSE 0 END AS cluster FROM wkday WHERE station_id <> 'N03')"
@@ -548,9 +576,13 @@ def _(x):
     return r.agg(F.bround(part / (F.sum("n_unusable") / F.sum("n_observations")), 9).alias("disparity"))
 
 
-@query("o4_spot_direction", "SELECT 'station direction: ' || station_id AS name, curve[8] + curve[9] + curve[10] > 0 AND curve[18] + curve[19] + curve[20] < 0 AS passed FROM wkday")
+# even stations are expected to fill in the morning, odd ones to drain, and one that is not there to fail
+@query("o4_spot_direction", """SELECT 'station direction: ' || station_id AS name, CASE WHEN CAST(substr(station_id, 3, 1) AS INT) % 2 = 0 THEN am > 0 AND pm < 0 ELSE am < 0 AND pm > 0 END AS passed
+    FROM (SELECT station_id, curve[8] + curve[9] + curve[10] AS am, curve[18] + curve[19] + curve[20] AS pm FROM wkday) UNION ALL SELECT 'station direction: N99', false""")
 def _(x):
-    e = x.weekday.select("station_id", F.lit("fills_am_drains_pm").alias("expect"))
+    odd = F.substring("station_id", 3, 1).cast("int") % 2 == 1
+    e = x.weekday.select("station_id", F.when(odd, "drains_am_fills_pm").otherwise("fills_am_drains_pm").alias("expect"))
+    e = e.unionByName(x.spark.createDataFrame([("N99", "fills_am_drains_pm")], "station_id string, expect string"))
     return facts.direction_checks(x.weekday, e).select("name", "passed")
 
 

@@ -43,3 +43,11 @@ def cut(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def at_once(jobs: list, threads: int = 8) -> list:
+    """Results of calls that each start small Spark jobs, run side by side in the order given."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
