@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tidewheel import constants as C
 from tidewheel.functions import briefs, scalars as S
-from tidewheel.operators import availability as A, facts, flows, forecast, geo, quality, routing, runs, slices, stats, typology
+from tidewheel.operators import availability as A, elasticity, facts, flows, forecast, geo, quality, routing, runs, slices, stats, typology
 from tidewheel.sources import facilities, files
 
 TRIP = "ride_id int, started_at timestamp_ntz, ended_at timestamp_ntz, start_station_id string, end_station_id string, start_station_name string, end_station_name string, start_lat double, start_lng double, end_lat double, end_lng double, rideable_type string"
@@ -423,31 +423,100 @@ def test_registered_k_search_is_the_operators(spark, monkeypatch, name):
 @pytest.mark.parametrize("name, targets", [("m14_ml_gbm", 1), ("m15_ml_recombine_guard", 2)])
 def test_registered_trees_are_the_operators(spark, monkeypatch, name, targets):
     assert [g["maxIter"] for g in forecast.GBM_GRID] == [100, 200, 200]
+    assert [g["maxIter"] for g in forecast.GBM_SHORT] == [10, 20, 20]  # what queries use, as the README says
     calls = []
 
     def gbm(train, target, grid=forecast.GBM_GRID):
-        assert grid is forecast.GBM_GRID
+        assert grid is forecast.GBM_SHORT
         calls.append((target, {r.month for r in train.select("month").distinct().collect()}))
+        assert set(forecast.GBM_FEATURES) - {"i_day_of_week", "i_typology_cluster"} <= set(train.columns) and {"day_of_week", "typology_cluster"} <= set(train.columns)
         return lambda df: df.withColumn("gbm", F.lit(1000.0 if target == "arrivals_count" else 0.0))
 
     monkeypatch.setattr(forecast, "gbm", gbm)
+    monkeypatch.setattr(typology, "select_k", lambda shapes, k_range, restarts: (_ for _ in ()).throw(AssertionError) if (k_range, restarts) != (C.K_RANGE, C.RESTARTS) else real(shapes, (2, 2), 1))
     rows = contract.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert len(calls) == targets and all(len(m) > 13 and "1996-01" not in m for _, m in calls)
     if targets == 2:
-        assert {r.tier: r.mae > 900 for r in rows}["gbm"]
-
-
-SNAP = "station_id long, observed_at timestamp, bikes_available long, docks_available long, is_renting int, is_returning int, event_id long"
+        assert {r.tier: r.mae > 900 for r in rows}["gbm"] and all(r.n == r.n_routed for r in rows)
+
+
+real = typology.select_k
+
+
+def test_fold_scores(spark):
+    cols = "typology_cluster string, tier string, month string, net double, arrivals_count double, departures_count double, predicted double, gam double, gbm double, guarded double, " + ", ".join(f"{m}_{c}_count double" for m in ("gam", "gbm") for c in ("arrivals", "departures"))
+    r = np.random.default_rng(1)
+    rows = [(str(i % 3), ("gbm", "gam", "naive")[i % 2], ("1996-01", "1996-07")[i % 5 == 0], *map(float, r.normal(size=7)), *map(float, r.normal(size=4))) for i in range(40)]
+    got = {(x.model, x.grouping, x.value): (x.n, x.mae) for x in forecast.fold_scores(spark.createDataFrame(rows, cols)).collect()}
+    errors = {"naive": lambda x: x[3] - x[6], "gam": lambda x: x[3] - x[7], "gbm": lambda x: x[3] - x[8], "guarded": lambda x: x[3] - x[9], "gam_arrivals": lambda x: x[4] - x[10], "gbm_departures": lambda x: x[5] - x[13]}
+    for model, e in errors.items():
+        for grouping, of in (("overall", lambda x: "all"), ("season", lambda x: "winter" if x[2] == "1996-01" else "summer"), ("typology", lambda x: x[0]), ("tier", lambda x: x[1])):
+            for value in {of(x) for x in rows}:
+                own = [abs(e(x)) for x in rows if of(x) == value]
+                n, mae = got[model, grouping, value]
+                assert n == len(own) and mae == pytest.approx(np.mean(own))
+
+
+def test_elasticities_against_least_squares(spark):
+    r, kinds = np.random.default_rng(4), elasticity.NAMED
+    roster, panel = [], []
+    for i in range(24):
+        kind = kinds[i % 2] if i < 20 else kinds[2] if i < 22 else "Low signal"
+        roster.append((f"s{i:02d}", kind, 0.0 if i == 3 else float(2 + r.random()), None if i == 5 else 10 + 3 * i, float(5 + 2 * r.random())))
+        for d in range(30 if i != 7 else 9):
+            panel.append((f"s{i:02d}", date(2026, 1, 1) + timedelta(days=d), float(r.random() + 0.01 * d), float(d % 11), float(d % 4)))
+    a = spark.createDataFrame(roster, "station_id string, cluster_name string, magnitude double, capacity long, throughput double")
+    b = spark.createDataFrame(panel, "station_id string, date date, magnitude double, temp_mean_c double, precip_mm double")
+    types, stations = elasticity.elasticities(a, b)
+    types, stations = {x.cluster_name: x for x in types.collect()}, {x.station_id: x for x in stations.collect()}
+
+    def fit(x, y):
+        beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+        return beta, ((y - x @ beta) ** 2).sum() / (len(y) - x.shape[1]) * np.linalg.inv(x.T @ x)
+
+    assert "s03" not in stations and not {"s22", "s23"} & set(stations) and set(types) == set(kinds[:3])
+    assert stations["s07"].temp_elasticity is None and stations["s07"].n_obs == 9 and stations["s05"].capacity_elasticity is None
+    for kind in kinds[:2]:
+        own = [x for x in roster if x[1] == kind]
+        m = np.mean([x[2] for x in own])
+        rows = np.array([p[2:] for p in panel if p[0] in {x[0] for x in own}])
+        beta, cov = fit(np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0])
+        assert types[kind].temp_elasticity == pytest.approx(beta[1] / m, abs=1e-4) and types[kind].precip_high == pytest.approx((beta[2] + 1.96 * cov[2, 2] ** 0.5) / m, abs=1e-4)
+        known = [x for x in own if x[3]]
+        c, t = np.array([float(x[3]) for x in known]), np.array([x[4] for x in known])
+        beta, cov = fit(np.column_stack([np.ones(len(c)), c, c * c, t]), np.array([x[2] for x in known]))
+        at = lambda v: (beta[1] + 2 * beta[2] * v, (cov[1, 1] + 4 * v * v * cov[2, 2] + 4 * v * cov[1, 2]) ** 0.5)  # noqa: B023, E731
+        assert types[kind].capacity_elasticity == pytest.approx(at(c.mean())[0] / m, abs=1e-4) and types[kind].n_stations_with_capacity == len(known)
+        one = next(x for x in known if x[2] > 0)
+        slope, se = at(float(one[3]))
+        assert stations[one[0]].capacity_elasticity == pytest.approx(slope / one[2], abs=1e-4) and stations[one[0]].capacity_low == pytest.approx((slope - 1.96 * se) / one[2], abs=1e-4)
+    assert types[kinds[2]].capacity_elasticity is None  # two capacities make no curve
+
+
+def test_silhouette_against_plain_loops(spark):
+    r = np.random.default_rng(2)
+    v, label = r.normal(size=(25, 4)), [0] * 12 + [1] * 12 + [2]
+    d, out = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), []
+    for i in range(25):
+        by = {c: [d[i, j] for j in range(25) if label[j] == c and j != i] for c in set(label)}
+        a = np.mean(by[label[i]]) if by[label[i]] else None
+        b = min(np.mean(x) for c, x in by.items() if c != label[i])
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    rows = spark.createDataFrame([(c, [float(x) for x in y]) for c, y in zip(label, v)], "label int, shape array<double>")
+    assert typology.silhouette(rows) == pytest.approx(np.mean(out))
+
+
+READINGS = "station_id long, observed_at timestamp, bikes_available long, docks_available long, is_renting int, is_returning int, event_id long"
 
 
 def _stream_files(spark, tmp_path, batches):
     """A stream of one file a batch, in the order given."""
     for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, SNAP).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        spark.createDataFrame(rows, READINGS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
         import time
 
         time.sleep(1.1)  # files are taken by age
-    return spark.readStream.schema(SNAP).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    return spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
 
 
 def _reading(station, minute, bikes, event):

@@ -24,7 +24,7 @@ def capacity_curve(roster: DataFrame) -> dict | None:
 
 def _weather(fits: DataFrame, key: str, days: Column, magnitude: Column) -> DataFrame:
     """Elasticities and bounds of every key; null where there are too few days or no fit."""
-    out = [F.col(key)]
+    out, magnitude = [F.col(key)], F.nullif(magnitude, F.lit(0.0))
     for name, b, se in (("temp", "b1", "se1"), ("precip", "b2", "se2")):
         ok = (days >= C.MIN_DAYS) & F.col(b).isNotNull()
         low, high = stats.ci95(F.col(b), F.col(se), magnitude)
@@ -34,7 +34,7 @@ def _weather(fits: DataFrame, key: str, days: Column, magnitude: Column) -> Data
 
 def _at(curve: dict, capacity, magnitude) -> tuple[Column, Column, Column]:
     """Capacity elasticity of a fitted curve at a capacity, and its bounds."""
-    b, v = curve["beta"], curve["cov"]
+    b, v, magnitude = curve["beta"], curve["cov"], F.nullif(magnitude, F.lit(0.0))
     slope = stats.local_slope(F.lit(float(b[1])), F.lit(float(b[2])), capacity)
     se = stats.local_slope_se(F.lit(float(v[1, 1])), F.lit(float(v[2, 2])), F.lit(float(v[1, 2])), capacity)
     return F.bround(slope / magnitude, 4), *stats.ci95(slope, se, magnitude)

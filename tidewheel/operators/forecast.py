@@ -121,6 +121,7 @@ def gam(train: DataFrame, target: str, counts: bool):
 
 GBM_GRID = (dict(maxDepth=5, maxIter=100, stepSize=0.1), dict(maxDepth=5, maxIter=200, stepSize=0.05), dict(maxDepth=6, maxIter=200, stepSize=0.1))
 GBM_SHORT = tuple(kw | {"maxIter": kw["maxIter"] // 10, "stepSize": kw["stepSize"] * 3} for kw in GBM_GRID)
+ROWS_A_TASK = 50_000
 GBM_FEATURES = ["lat", "lng", "hour_sin", "hour_cos", "i_day_of_week", "temp_mean_c", "precip_mm", "doy_sin", "doy_cos", "holiday", "i_typology_cluster"]
 
 
@@ -136,7 +137,8 @@ def gbm(train: DataFrame, target: str, grid=GBM_GRID):
     classes = ["day_of_week", "typology_cluster"]
     vectors = Pipeline(stages=[StringIndexer(inputCols=classes, outputCols=[f"i_{c}" for c in classes], handleInvalid="keep"), VectorAssembler(inputCols=GBM_FEATURES, outputCol="x")]).fit(train)
     fit = lambda rows, kw: GBTRegressor(featuresCol="x", labelCol=target, predictionCol="raw", seed=C.SEED, **kw).fit(rows)
-    split = split_recent(vectors.transform(train).select("date", "x", target)).persist()
+    split = split_recent(vectors.transform(train).select("date", "x", target))
+    split = split.coalesce(max(1, split.count() // ROWS_A_TASK)).persist()  # a tree is a pass over all rows for each of its levels
     past, recent = split.filter("NOT is_validation"), split.filter("is_validation")
     loss = F.avg(F.abs(F.col(target) - F.greatest("raw", F.lit(0.0))))
     score = at_once([lambda kw=kw: fit(past, kw).transform(recent).agg(loss).first()[0] for kw in grid])
