@@ -480,6 +480,7 @@ def test_runs_cross_ranges_and_heads(monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAD", 5)
     r, levels = random.Random(2), 3
     paths = sorted((r.choice([1, 1, 1, 2, 3]), r.choice([1, 2]), r.choice([1, 1, 2]), nid) for nid in range(200))
+    where = {p[3]: i for i, p in enumerate(paths)}
     for cuts in ([], [50, 51, 120], [1, 2, 3, 199]):
         parent = list(range(200))
 
@@ -493,12 +494,12 @@ def test_runs_cross_ranges_and_heads(monkeypatch):
             w = jaccard_join._Walk(part, levels)
             for s in range(a, b, 7):
                 own = np.array(paths[s : min(s + 7, b)], np.int64)
-                for nid, firsts, before, after in zip(*(x if isinstance(x, list) else x.tolist() for x in w.step(own[:, :3], own[:, 3]) or ([],) * 4)):
-                    for f in firsts:
-                        parent[find(nid)] = find(f)
-            for nid, firsts, *_ in zip(*(x if isinstance(x, list) else x.tolist() for x in w.step(np.zeros((0, 3), np.int64), np.zeros(0, np.int64), True))):
-                for f in firsts:
-                    parent[find(nid)] = find(f)
+                for got in (w.step(own[:, :3], own[:, 3], s + 7 >= b)):
+                    for nid, firsts, before, after in zip(got[0].tolist(), got[1], got[2].to_pylist(), got[3].to_pylist()):
+                        for f in [*firsts, *(x for x in (before, after) if x is not None)]:
+                            assert paths[where[nid]][0] == paths[where[f]][0]
+                        for f in firsts:
+                            parent[find(nid)] = find(f)
             assert len(w.edges) == 2
             edges += w.edges
 

@@ -6,8 +6,8 @@
    of rows, which may cross ranges: a prefix that a third of all nodes share is no single task's.
    From the full depth upwards a node meets the first node of each subtrie it belongs to: matched
    prefixes get shorter until ``depth_for`` says that a pair at the least similarity meets in some
-   tree with the target recall.  Every ``HEAD`` rows, and where a range begins, a run gets a new first,
-   which meets the one before it, so no first meets more than ``HEAD`` nodes of a tree.
+   tree with the target recall.  A run is cut every ``HEAD`` rows, and where a range ends; the first of each piece (its
+   least node) meets that of the piece before, so none meets more than ``HEAD`` nodes of a tree.
 3. A meeting whose one-byte sketches put the similarity far below the bound is dropped, and the
    node meets its neighbours in that tree's sorted trie instead, those of the longest common
    prefixes.  What is left makes groups (connected components), so no pair of a group is spelled out.
@@ -38,7 +38,7 @@ from tidewheel.llm.components import components
 TREES, DEPTH = 24, 8
 RECALL = 0.9995
 SLACK = 0.15  # five standard errors of the sketch's estimate
-HEAD = 1024
+HEAD = 4096
 SPREAD = 6
 BLOCK_BYTES = 1 << 26  # of texts, whose differences one block holds
 TILE = 1024
@@ -126,49 +126,57 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 class _Walk:
-    """Goes through the sorted paths of one range and names each node's firsts and neighbours."""
+    """Goes through the sorted paths of one range, in blocks of ``HEAD`` rows, and names each node's firsts and neighbours.
+
+    A subtrie's first in a block is its least node there: the trees of like nodes then agree on few firsts.
+    """
 
     def __init__(self, part: int, levels: int):
         self.part, self.levels = part, levels
-        self.at = 0  # rows given out
         self.before = None  # (path, nid, firsts) of the last row given out
-        self.held = np.zeros((0, levels), np.int64), np.zeros(0, np.int64)  # the row that waits for the next one
+        self.held = [np.zeros((0, levels), np.int64)], [np.zeros(0, np.int64)]
         self.edges: list[bytes] = []  # first and last row: part, which, nid, path, firsts
 
     def _edge(self, last: int, nid: int, path: np.ndarray, firsts: np.ndarray) -> None:
         self.edges.append(np.concatenate([[self.part, last, nid], path, firsts]).astype(np.int64).tobytes())
 
     def step(self, path: np.ndarray, nid: np.ndarray, end: bool = False):
-        """(nid, what it meets, before, after) of the rows that meet some, up to the last but one."""
-        path, nid = np.concatenate([self.held[0], path]), np.concatenate([self.held[1], nid])
+        """Yields (nid, what it meets, before, after) of the rows that meet some, whole blocks at a time."""
+        self.held[0].append(path)
+        self.held[1].append(nid)
+        if not end and sum(map(len, self.held[1])) <= HEAD:
+            return
+        path, nid = np.concatenate(self.held[0]), np.concatenate(self.held[1])
+        at = 0
+        while len(nid) - at > HEAD or end and at < len(nid):
+            to = min(at + HEAD, len(nid))
+            yield self._block(path[at:to], nid[at:to], path[to : to + 1], nid[to : to + 1])
+            at = to
+        self.held = [path[at:]], [nid[at:]]
+        if end and self.before is not None:
+            path, nid, firsts = self.before
+            self._edge(1, nid, path, firsts)
+
+    def _block(self, path: np.ndarray, nid: np.ndarray, next_path: np.ndarray, next_nid: np.ndarray):
         n = len(nid)
-        if not n:
-            return None
-        old_path, old_nid, old_firsts = self.before or (None, 0, np.zeros(self.levels, np.int64))
         new = np.ones((n, self.levels), bool)  # a new subtrie at this level
-        new[1:] = path[1:] != path[:-1]
-        new[0] = True if old_path is None else path[0] != old_path
-        new = np.logical_or.accumulate(new, axis=1)
-        head = (self.at + np.arange(n)) % HEAD == 0
-        since = np.maximum.accumulate(np.where(new | head[:, None], np.arange(n)[:, None], -1), axis=0)
-        firsts = np.where(since >= 0, nid[np.maximum(since, 0)], old_firsts)
-        past = np.concatenate([old_firsts[None], firsts[:-1]])
-        meet = np.where(head[:, None] & ~new, past, firsts)
-        before = np.concatenate([[old_nid], nid[:-1]])
+        new[1:] = np.logical_or.accumulate(path[1:] != path[:-1], axis=1)
+        firsts = np.stack([np.minimum.reduceat(nid, np.flatnonzero(new[:, i]))[np.cumsum(new[:, i]) - 1] for i in range(self.levels)], axis=1)
+        old_path, old_nid, old_firsts = self.before or (path[0] + 1, 0, firsts[0])
+        goes_on = np.logical_and.accumulate(path[0] == old_path)
+        before, after = np.append(old_nid, nid[:-1]), np.append(nid[1:], next_nid if len(next_nid) else 0)
+        no_before = np.append(not goes_on[0], new[1:, 0])
+        no_after = np.append(new[1:, 0], not (len(next_nid) and next_path[0, 0] == path[-1, 0]))
         if not self.edges:
             self._edge(0, int(nid[0]), path[0], firsts[0])
-        if end:
-            self._edge(1, int(nid[-1]), path[-1], firsts[-1])
-        k = n if end else n - 1
-        self.held = path[k:], nid[k:]
-        if k:
-            self.before = path[k - 1], int(nid[k - 1]), firsts[k - 1]
-        self.at += k
-        has_after = np.append(~new[1:, 0], False)
-        after = np.append(nid[1:], 0)
-        some = np.flatnonzero((meet[:k] != nid[:k, None]).any(axis=1))
-        rows = [sorted(set(m) - {a}) for m, a in zip(meet[some].tolist(), nid[some].tolist())]
-        return nid[some], rows, pa.array(before[some], pa.int64(), mask=new[some, 0]), pa.array(after[some], pa.int64(), mask=~has_after[some])
+        self.before = path[-1], int(nid[-1]), firsts[-1]
+        some = np.flatnonzero((firsts != nid[:, None]).any(axis=1))
+        rows = [sorted(set(m) - {a}) for m, a in zip(firsts[some].tolist(), nid[some].tolist())]
+        links = [(int(x), int(y)) for x, y, go in zip(firsts[0], old_firsts, goes_on) if go and x != y]  # a run that goes on from the block before
+        who = np.append(nid[some], np.array([x for x, _ in links], np.int64))
+        alone = np.ones(len(links), bool)
+        return who, rows + [[y] for _, y in links], *(
+            pa.array(np.append(v[some], np.zeros(len(links), np.int64)), pa.int64(), mask=np.append(no[some], alone)) for v, no in ((before, no_before), (after, no_after)))
 
 
 def tries(node: DataFrame, least_depth: int) -> DataFrame:
@@ -201,10 +209,8 @@ def tries(node: DataFrame, least_depth: int) -> DataFrame:
 
         for batch in batches:
             path = np.stack([batch.column(i + 1).to_numpy() for i in range(levels)], axis=1)
-            if (found := w.step(path, batch.column(0).to_numpy())) is not None:
-                yield batch_of(found)
-        if (found := w.step(np.zeros((0, levels), np.int64), np.zeros(0, np.int64), True)) is not None:
-            yield batch_of(found)
+            yield from map(batch_of, w.step(path, batch.column(0).to_numpy()))
+        yield from map(batch_of, w.step(np.zeros((0, levels), np.int64), np.zeros(0, np.int64), True))
         k = len(w.edges)
         cols = [pa.array([0] * k, pa.int64()), pa.array([[]] * k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(w.edges, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["nid", "firsts", "before", "after", "edge"])
@@ -216,11 +222,10 @@ def across(rows: DataFrame, levels: int) -> DataFrame:
     """(a, b) that a run's first row in a range meets in the range before; two rows of each range reach the driver."""
     edges = sorted(np.frombuffer(r.edge, np.int64).tolist() for r in rows.filter("edge IS NOT NULL").select("edge").collect())
     pairs = set()
-    for (_, _, _, *last), (_, _, nid, *first) in zip(edges[1::2], edges[2::2]):
+    for (_, _, end, *last), (_, _, nid, *first) in zip(edges[1::2], edges[2::2]):
         for i in range(levels):
             if first[: i + 1] == last[: i + 1]:
-                pairs.add((nid, last[levels + i]))
-    for (_, _, end, *last), (_, _, nid, *first) in zip(edges[1::2], edges[2::2]):
+                pairs.add((first[levels + i], last[levels + i]))
         if first[0] == last[0]:
             pairs.add((nid, end))
     return rows.sparkSession.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "a long, b long")
