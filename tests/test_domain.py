@@ -422,17 +422,16 @@ def test_registered_k_search_is_the_operators(spark, monkeypatch, name):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no generated tables here")
 @pytest.mark.parametrize("name, targets", [("m14_ml_gbm", 1), ("m15_ml_recombine_guard", 2)])
 def test_registered_trees_are_the_operators(spark, monkeypatch, name, targets):
-    assert [g["maxIter"] for g in forecast.GBM_GRID] == [100, 200, 200]
-    assert [g["maxIter"] for g in forecast.GBM_SHORT] == [10, 20, 20]  # what queries use, as the README says
+    assert [(g.max_iter, g.learning_rate, g.max_depth) for g in forecast.GBM_GRID] == [(100, 0.1, None), (200, 0.05, None), (200, 0.1, 6)]
     calls = []
 
-    def gbm(train, target, grid=forecast.GBM_GRID):
-        assert grid is forecast.GBM_SHORT
-        calls.append((target, {r.month for r in train.select("month").distinct().collect()}))
-        assert set(forecast.GBM_FEATURES) - {"i_day_of_week", "i_typology_cluster"} <= set(train.columns) and {"day_of_week", "typology_cluster"} <= set(train.columns)
-        return lambda df: df.withColumn("gbm", F.lit(1000.0 if target == "arrivals_count" else 0.0))
+    def gbm_many(train, of, grid=forecast.GBM_GRID):
+        assert grid is forecast.GBM_GRID and all(of.values())
+        calls.extend((t, {r.month for r in train.select("month").distinct().collect()}) for t in of)
+        assert {*forecast.GBM_NUMERIC, *forecast.GBM_CLASSES, *forecast.ROW_KEYS} <= set(train.columns)
+        return {t: (lambda df, t=t: df.withColumn("gbm", F.lit(1000.0 if t == "arrivals_count" else 0.0)), grid[0], 0.0) for t in of}
 
-    monkeypatch.setattr(forecast, "gbm", gbm)
+    monkeypatch.setattr(forecast, "gbm_many", gbm_many)
     monkeypatch.setattr(typology, "select_k", lambda shapes, k_range, restarts: (_ for _ in ()).throw(AssertionError) if (k_range, restarts) != (C.K_RANGE, C.RESTARTS) else real(shapes, (2, 2), 1))
     rows = contract.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert len(calls) == targets and all(len(m) > 13 and "1996-01" not in m for _, m in calls)

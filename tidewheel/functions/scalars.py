@@ -129,7 +129,7 @@ def spline_basis(x, knots: list[float], degree: int = 3) -> list[Column]:
     step = knots[1] - knots[0]
     t = [knots[0] - step * (degree - i) for i in range(degree)] + list(knots) + [knots[-1] + step * (i + 1) for i in range(degree)]
     last = degree + len(knots) - 2
-    basis = [F.when((x >= F.lit(t[i])) & ((x < F.lit(t[i + 1])) | (F.lit(i == last) & (x <= F.lit(t[i + 1])))), 1.0).otherwise(0.0) for i in range(len(t) - 1)]
+    basis = [F.when((x >= F.lit(t[i])) & ((x < F.lit(t[i + 1])) | F.lit(i == last)), 1.0).otherwise(0.0) if i <= last else F.lit(0.0) for i in range(len(t) - 1)]
     for d in range(1, degree + 1):
         basis = [(x - F.lit(t[i])) / F.lit(t[i + d] - t[i]) * basis[i] + (F.lit(t[i + d + 1]) - x) / F.lit(t[i + d + 1] - t[i + 1]) * basis[i + 1] for i in range(len(t) - d - 1)]
     return basis

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.operators import additive, boosting
 from tidewheel.session import at_once, cut
 
 KEYS = ["station_id", "day_type", "hour"]
@@ -90,62 +91,50 @@ def featured(daily: DataFrame, station_zone: DataFrame, weather: DataFrame, holi
     from tidewheel.operators import typology
 
     rows = typology.with_typology(calendar(with_weather(daily, station_zone, weather), holidays), labels)
-    return rows.withColumns({"typology_cluster": F.col("cluster").cast("string"), "holiday": F.col("is_holiday").cast("double"), "bin": F.coalesce(S.precip_bin("precip_mm"), F.lit("dry"))}).drop("cluster")
+    return rows.withColumns({"typology_cluster": F.col("cluster").cast("string"), "holiday": F.col("is_holiday").cast("double"), "bin": F.coalesce(S.precip_bin("precip_mm"), F.lit("nan"))}).drop("cluster")
 
 
-def gam(train: DataFrame, target: str, counts: bool):
+def gam(train: DataFrame, target: str, counts: bool, alpha: float = 1.0):
     """A spline and one-hot model: Poisson with log link for counts, ridge for net; returns a function that scores a frame.
 
-    Temperature has 5 even knots between the training extremes, hour 6 periodic ones (as sine and cosine
-    pairs of the first three harmonics, the same periodic smooth family); day of week, typology cluster and rain
-    class are one-hot, the holiday and the day of the year pass through.  A class not seen in training adds nothing.
+    Temperature has 5 even knots between the training extremes and is constant beyond them, hour 6 periodic ones; day of
+    week, typology cluster and rain class are one-hot, the holiday and the day of the year pass through.  A class not seen in training adds nothing.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-
-    lo, hi = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
-    knots = [lo + (hi - lo) * i / 4 for i in range(5)] if hi is not None and hi > lo else [0.0, 1.0, 2.0, 3.0, 4.0]
-    waves = {f"h{f}{k}": getattr(F, f)(F.col("hour") * (2 * pi * k / 24)) for k in (1, 2, 3) for f in ("sin", "cos")}
-    expand = lambda df: df.withColumns({f"t{i}": b for i, b in enumerate(S.spline_basis("temp_mean_c", knots))} | waves)
-    index = StringIndexer(inputCols=CLASSES, outputCols=[f"i_{c}" for c in CLASSES], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=[f"i_{c}" for c in CLASSES], outputCols=[f"o_{c}" for c in CLASSES], handleInvalid="keep")
-    join = VectorAssembler(inputCols=[*[f"t{i}" for i in range(7)], *waves, *[f"o_{c}" for c in CLASSES], "holiday", "doy_sin", "doy_cos"], outputCol="features")
-    if counts:
-        fit = GeneralizedLinearRegression(family="poisson", link="log", labelCol=target, predictionCol="gam", regParam=1e-3, maxIter=25)
-    else:
-        fit = LinearRegression(labelCol=target, predictionCol="gam", regParam=1.0, elasticNetParam=0.0)
-    model = Pipeline(stages=[index, hot, join, fit]).fit(expand(train))
-    return lambda df: model.transform(expand(df)).select(*df.columns, "gam")
-
-
-GBM_GRID = (dict(maxDepth=5, maxIter=100, stepSize=0.1), dict(maxDepth=5, maxIter=200, stepSize=0.05), dict(maxDepth=6, maxIter=200, stepSize=0.1))
-GBM_SHORT = tuple(kw | {"maxIter": kw["maxIter"] // 10, "stepSize": kw["stepSize"] * 3} for kw in GBM_GRID)
-ROWS_A_TASK = 50_000
-GBM_FEATURES = ["lat", "lng", "hour_sin", "hour_cos", "i_day_of_week", "temp_mean_c", "precip_mm", "doy_sin", "doy_cos", "holiday", "i_typology_cluster"]
-
-
-def gbm(train: DataFrame, target: str, grid=GBM_GRID):
-    """Boosted trees on squared loss, clipped at 0 (Poisson loss is not in Spark): best of a grid on the recent dates, refitted on all.
-
-    Day of week and typology cluster are categories; one not seen in training is a category of its own.
+    how = additive.design(train, "temp_mean_c", "hour", CLASSES, ["holiday", "doy_sin", "doy_cos"])
+    model = additive.fit(train, target, how, counts, alpha)
+    return lambda df: df.withColumn("gam", model.column())
+
+
+GBM_GRID = (boosting.Setting(max_iter=100, learning_rate=0.1), boosting.Setting(max_iter=200, learning_rate=0.05), boosting.Setting(max_iter=200, learning_rate=0.1, max_depth=6))
+GBM_NUMERIC = ["lat", "lng", "hour_sin", "hour_cos", "temp_mean_c", "precip_mm", "doy_sin", "doy_cos", "holiday"]
+GBM_CLASSES = ["day_of_week", "typology_cluster"]
+ROW_KEYS = ["station_id", "date", "hour"]
+
+
+def gbm_many(train: DataFrame, targets: dict[str, bool], grid=GBM_GRID) -> dict[str, tuple]:
+    """For each target (True: counts, with Poisson loss; else squared loss): (function that scores a frame, setting, its error).
+
+    The setting of the least mean absolute error on the recent dates wins and is refitted on all; all settings and
+    targets grow in the same passes over the rows.  Rows put aside to stop early are a tenth by a hash of their key.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    classes = ["day_of_week", "typology_cluster"]
-    vectors = Pipeline(stages=[StringIndexer(inputCols=classes, outputCols=[f"i_{c}" for c in classes], handleInvalid="keep"), VectorAssembler(inputCols=GBM_FEATURES, outputCol="x")]).fit(train)
-    fit = lambda rows, kw: GBTRegressor(featuresCol="x", labelCol=target, predictionCol="raw", seed=C.SEED, **kw).fit(rows)
-    split = split_recent(vectors.transform(train).select("date", "x", target))
-    split = split.coalesce(max(1, split.count() // ROWS_A_TASK)).persist()  # a tree is a pass over all rows for each of its levels
-    past, recent = split.filter("NOT is_validation"), split.filter("is_validation")
-    loss = F.avg(F.abs(F.col(target) - F.greatest("raw", F.lit(0.0))))
-    score = at_once([lambda kw=kw: fit(past, kw).transform(recent).agg(loss).first()[0] for kw in grid])
-    best = grid[min(range(len(grid)), key=lambda i: (score[i] if score[i] is not None else float("inf"), i))]
-    model = fit(split, best)
-    split.unpersist()
-    return lambda df: model.transform(vectors.transform(df)).withColumn("gbm", F.greatest("raw", F.lit(0.0))).select(*df.columns, "gbm")
+    names = list(targets)
+    split = split_recent(train.select(*dict.fromkeys([*ROW_KEYS, *GBM_NUMERIC, *GBM_CLASSES, *names])))
+    aside = F.pmod(F.xxhash64(*ROW_KEYS), F.lit(10)) == 0
+    rows = boosting.Boost(split, GBM_NUMERIC, GBM_CLASSES, names, F.col("is_validation"), aside)
+    loss = {t: "poisson" if counts else "squared" for t, counts in targets.items()}
+    jobs = [boosting.Job(i, loss[t], s, False) for i, t in enumerate(names) for s in grid]
+    _, errors = rows.fit(jobs)
+    best = []
+    for i in range(len(names)):
+        own = errors[i * len(grid) : (i + 1) * len(grid)]
+        best.append(min(range(len(grid)), key=lambda k: (own[k] if own[k] is not None else float("inf"), k)))
+    models, _ = rows.fit([boosting.Job(i, loss[t], grid[k], True) for i, (t, k) in enumerate(zip(names, best))])
+    return {t: (lambda df, m=m: m.transform(df, "gbm"), grid[k], errors[i * len(grid) + k]) for i, (t, m, k) in enumerate(zip(names, models, best))}
+
+
+def gbm(train: DataFrame, target: str, grid=GBM_GRID, counts: bool = True):
+    """Boosted trees of one target; a function that scores a frame.  See :func:`gbm_many`."""
+    return gbm_many(train, {target: counts}, grid)[target][0]
 
 
 def run_fold(rows: DataFrame, month: str, station_zone: DataFrame, weather: DataFrame, holidays: list[str], grid=GBM_GRID, scale: float = 1.0) -> DataFrame:
@@ -163,9 +152,9 @@ def run_fold(rows: DataFrame, month: str, station_zone: DataFrame, weather: Data
     monthly = flows.monthly_from_daily(rows.filter(~held))
     out = predict(test, naive(monthly), flat(monthly))
     targets = ("arrivals_count", "departures_count")
-    models = at_once([lambda t=t: gam(train, t, counts=True) for t in targets] + [lambda t=t: gbm(train, t, grid) for t in targets])
-    for t, additive, trees in zip(targets, models, models[2:]):
-        out = trees(additive(out).withColumnRenamed("gam", f"gam_{t}")).withColumnRenamed("gbm", f"gbm_{t}")
+    *smooth, trees = at_once([lambda t=t: gam(train, t, counts=True) for t in targets] + [lambda: gbm_many(train, dict.fromkeys(targets, True), grid)])
+    for t, gam_of in zip(targets, smooth):
+        out = trees[t][0](gam_of(out).withColumnRenamed("gam", f"gam_{t}")).withColumnRenamed("gbm", f"gbm_{t}")
     out = out.withColumns({t: F.col(f"{t}_arrivals_count") - F.col(f"{t}_departures_count") for t in ("gam", "gbm")})
     low, high = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
     return guarded(out, F.lit(low), F.lit(high))

@@ -189,12 +189,12 @@ def _(x):
 @query("m14_ml_gbm")
 def _(x):
     train, test = _fold(x)
-    p = forecast.gbm(train, "departures_count", forecast.GBM_SHORT)(test)
+    p = forecast.gbm(train, "departures_count")(test)
     return p.groupBy("day_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("departures_count") - F.col("gbm"))).alias("mae"))
 
 
 def _run_fold(x):
-    return cut(forecast.run_fold(x.daily, FOLD_MONTH, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), forecast.GBM_SHORT, 20.0))
+    return cut(forecast.run_fold(x.daily, FOLD_MONTH, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), scale=20.0))
 
 
 @query("m15_ml_recombine_guard")
