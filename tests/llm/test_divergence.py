@@ -40,7 +40,7 @@ def rows_of(n=260):
     return rows + [(900, None, "en", "s1", 0), (901, "", "xx", "alone", 0), (902, "rare words", "xx", "other", 0), (903, "rare", "yy", "single", 0), (904, "1234 !!", "en", "wordless", 0), rows[5], rows[5]]
 
 
-@pytest.mark.parametrize("least,segment,width", [(30, 4096, None), (3, 16, 2), (30, 5, 3), (1, 4096, 1)])
+@pytest.mark.parametrize("least,segment,width", [(30, 1024, None), (3, 16, 2), (30, 5, 3), (1, 4096, 1)])
 def test_divergence(spark, least, segment, width):
     rows = rows_of()
     got = dv.divergence(documents(spark, rows), least=least, segment=segment, width=width)

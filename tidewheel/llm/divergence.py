@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidewheel.llm import shared
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # in UTF-8 every byte of a character beyond ASCII is 0x80 or more
-SEGMENT = 4096
+SEGMENT = 1024
 LANGUAGE, RESIDENT = -2, -1  # what comes to a block before round 0
 HELD = 300_000  # counters of a task before they are passed on
 PIECE = 1 << 16
