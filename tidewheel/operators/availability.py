@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel import constants as C
+from tidewheel.operators.ordered import ordered, quantile
 
 
 def tag(snapshots: DataFrame) -> DataFrame:
@@ -29,25 +30,25 @@ def by_station(snapshots: DataFrame) -> DataFrame:
 
 def summary(snapshots: DataFrame, floor: int = C.RANKABLE) -> DataFrame:
     rate = F.when(F.col("n_observations") >= floor, F.col("unusable_rate"))
-    return by_station(snapshots).agg(F.count("*").alias("n_stations"), F.count(rate).alias("n_rankable"), F.median(rate).alias("median_rate"), F.max(rate).alias("max_rate"))
+    stations = by_station(snapshots)
+    out = stations.agg(F.count("*").alias("n_stations"), F.count(rate).alias("n_rankable"), F.max(rate).alias("max_rate"))
+    return out.join(quantile(stations, rate, 0.5, name="median_rate")).select("n_stations", "n_rankable", "median_rate", "max_rate")  # one-row frames
 
 
 def gaps(snapshots: DataFrame, column: str = "observed_at") -> DataFrame:
-    """(start, end, minutes) between consecutive distinct snapshot times, offline rows included.
-
-    Times are few (one per poll), so one ordered window over them is the plan.
-    """
-    times = snapshots.select(F.col(column).alias("start")).distinct()
-    nxt = times.withColumn("end", F.lead("start").over(W.orderBy("start"))).filter("end IS NOT NULL")
+    """(start, end, minutes) between consecutive distinct snapshot times, offline rows included."""
+    times = snapshots.select(F.col(column).alias("start")).filter("start IS NOT NULL").distinct()
+    nxt = ordered(times, ["start"], nexts={"end": "start"}).filter("end IS NOT NULL")
     return nxt.withColumn("minutes", (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / F.lit(60e6))
 
 
 def window(snapshots: DataFrame, column: str = "observed_at") -> DataFrame:
-    g = gaps(snapshots, column).agg(F.median("minutes").alias("median_gap_min"), F.max("minutes").alias("max_gap_min"),
+    each = gaps(snapshots, column)
+    g = each.agg(F.max("minutes").alias("max_gap_min"),
                                     F.max_by("start", F.struct(F.col("minutes"), -F.unix_micros(F.col("start").cast("timestamp")))).alias("longest_gap_start"))
     t = snapshots.agg(F.min(column).alias("first_at"), F.max(column).alias("last_at"), F.countDistinct(column).alias("n_snapshots"), F.countDistinct(F.to_date(column)).alias("n_days_with_data"))
     t = t.withColumn("span_days", F.datediff(F.to_date("last_at"), F.to_date("first_at")) + 1)
-    return t.join(g)  # two one-row frames
+    return t.join(g).join(quantile(each, "minutes", 0.5, name="median_gap_min"))  # one-row frames
 
 
 def persistence(snapshots: DataFrame, minutes: int = C.PERSISTENCE_MINUTES) -> DataFrame:

@@ -1,21 +1,21 @@
 """Ranks, labels, facts records, ground-truth checks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
+from tidewheel.operators.ordered import ordered
 
 
 def rank_unusable(stations: DataFrame, floor: int = C.RANKABLE) -> DataFrame:
     """Competition rank of the unusable rate, 1 = worst, among stations with enough observations.
 
-    Ranks come from counts per distinct rate; only these are ordered in one place.
+    Ranks come from counts per distinct rate, added up over ranges of rates.
     """
     rows = stations.filter(F.col("n_observations") >= floor)
     n = rows.groupBy("unusable_rate").agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(W.orderBy(F.desc("unusable_rate")).rowsBetween(W.unboundedPreceding, -1))
-    ranks = n.select("unusable_rate", (F.coalesce(above, F.lit(0)) + 1).cast("int").alias("rank"))
+    ranks = ordered(n, [F.desc("unusable_rate")], sums={"_upto": "_n"}).select("unusable_rate", (F.col("_upto") - F.col("_n") + 1).cast("int").alias("rank"))
     return rows.join(ranks, "unusable_rate").select("station_id", "unusable_rate", "rank")
 
 

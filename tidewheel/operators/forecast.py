@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
 from tidewheel.operators import additive, boosting
+from tidewheel.operators.ordered import ordered
 from tidewheel.session import at_once, cut
 
 KEYS = ["station_id", "day_type", "hour"]
@@ -78,9 +79,9 @@ def fold_maes(monthly: DataFrame, daily: DataFrame, months: list[str], by_hour:
 def split_recent(df: DataFrame, fraction: float = C.VALIDATION_FRACTION) -> DataFrame:
     """``df`` with ``is_validation``: the most recent dates, from index floor(n * (1 - fraction))."""
     dates = df.select("date").distinct()
-    order = W.orderBy("date")
-    dates = dates.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(W.partitionBy())})
-    return df.join(F.broadcast(dates.select("date", (F.col("i") >= F.floor(F.col("n") * (1 - F.lit(fraction)))).alias("is_validation"))), "date")  # dates are few
+    dates = ordered(dates, ["date"], number="place")
+    n = dates.count()
+    return df.join(dates.select("date", (F.col("place") - 1 >= F.floor(F.lit(n) * (1 - F.lit(fraction)))).alias("is_validation")), "date")
 
 
 CLASSES = ["day_of_week", "bin", "typology_cluster"]

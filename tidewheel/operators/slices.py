@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewheel.operators.ordered import quantile
+
 
 def totals(points: DataFrame) -> DataFrame:
     """Per (period, day type, hour): bikes out of place, bikes to move, stations covered; summed in whole thousandths."""
@@ -17,7 +19,7 @@ def buckets(points: DataFrame, inner: float = 1.0) -> DataFrame:
 
     The inner cut is this library's choice; the original cut points are not available.
     """
-    end = points.groupBy("period", "day_type", "hour").agg(F.percentile(F.abs(F.col("value")), 0.95).alias("scale_end"))
+    end = quantile(points, F.abs(F.col("value")), 0.95, ["period", "day_type", "hour"], "scale_end")
     v, half = F.col("value"), F.col("scale_end") / 2
     name = (F.when(v.between(-inner, inner), "near_balanced").when(v <= -F.greatest(half, F.lit(inner)), "big_deficit").when(v < 0, "deficit")
             .when(v >= F.greatest(half, F.lit(inner)), "big_surplus").otherwise("surplus"))

@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
+from tidewheel.operators.ordered import ordered
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> dict | None:
@@ -77,14 +78,13 @@ def ci95(slope: Column, se: Column, denominator: Column) -> tuple[Column, Column
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks on ties; null with fewer than three pairs.
 
-    Ranks come from counts per distinct value, so the ordered pass is over values, not rows.
+    Ranks come from counts per distinct value, added up over ranges of values.
     """
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
 
     def ranks(c: str) -> DataFrame:
         n = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow))
-        return n.select(c, (below - F.col("n") + (F.col("n") + 1) / 2).alias(f"_{c}"))
+        return ordered(n, [c], sums={"upto": "n"}).select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"_{c}"))
 
     r = rows.join(ranks(a), a).join(ranks(b), b)
     return r.agg(F.when(F.count("*") >= 3, F.corr(f"_{a}", f"_{b}")).alias("rho"), F.count("*").alias("n"))

@@ -1,11 +1,12 @@
 """Queries of availability, space, statistics, facts, forecasts and slices."""
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
 from tidewheel.operators import availability as A, facts, flows, forecast, geo, routing, slices, stats, typology
+from tidewheel.operators.ordered import ordered
 from tidewheel.plans.registry import dist, query
 
 
@@ -252,7 +253,8 @@ def _(x):
 
 @query("f24_fn_custom_id", "SELECT station_id, 's' || lpad(CAST(row_number() OVER (ORDER BY station_id) - 1 AS VARCHAR), 5, '0') AS custom_id FROM stations")
 def _(x):
-    return x.stations.select("station_id", F.concat(F.lit("s"), F.lpad((F.row_number().over(W.orderBy("station_id")) - 1).cast("string"), 5, "0")).alias("custom_id"))  # a batch's stations
+    numbered = ordered(x.stations.select("station_id"), ["station_id"], number="place")
+    return numbered.select("station_id", F.concat(F.lit("s"), F.lpad((F.col("place") - 1).cast("string"), 5, "0")).alias("custom_id"))
 
 
 @query("f27_fn_cost", "SELECT p_partkey, round_even(p_size * 3.0 / 1000000 + p_partkey * 15.0 / 1000000, 6) AS cost FROM part")

@@ -1,10 +1,11 @@
 """Queries of trips and flows: sources, quality, joins, aggregation, set operations."""
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from tidewheel.functions import scalars as S
 from tidewheel.operators import flows, forecast, quality
+from tidewheel.operators.ordered import quantile
 from tidewheel.plans.registry import query
 from tidewheel.sources import tables
 
@@ -253,7 +254,7 @@ def _(x):
 
 @query("a31_agg_quantile_clip", "SELECT ride_id, round_even(least(duration_s, (SELECT quantile_cont(duration_s, 0.99) FROM clean)), 6) AS clipped_s FROM clean")
 def _(x):
-    top = x.clean.agg(F.percentile("duration_s", 0.99).alias("top"))
+    top = quantile(x.clean, "duration_s", 0.99, name="top")
     return x.clean.join(F.broadcast(top)).select("ride_id", F.bround(F.least("duration_s", "top"), 6).alias("clipped_s"))  # one row
 
 
@@ -301,8 +302,8 @@ def _(x):
     from tidewheel.operators import routing
 
     c = routing.candidates(x.weekday).filter("kind = 'deficit'").select(F.col("magnitude").cast("long").alias("m"), "station_id")
-    r = c.withColumn("rn", F.row_number().over(W.orderBy(F.desc("m"), "station_id")))  # a city's stations
-    return r.agg(F.sum(F.when(F.col("rn") <= 20, F.col("m")).otherwise(0)).alias("top_deficit"), F.sum("m").alias("total_deficit"))
+    top = c.orderBy(F.desc("m"), "station_id").limit(20).agg(F.sum("m").alias("top_deficit"))
+    return top.join(c.agg(F.sum("m").alias("total_deficit")))  # one-row frames
 
 
 @query("w10_split_recent", """SELECT date, count(*) AS n, i >= floor(k * 0.85) AS is_validation FROM daily JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT date FROM daily)) USING (date) GROUP BY ALL""", days=("date",))
