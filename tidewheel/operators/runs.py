@@ -3,33 +3,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidewheel.functions import scalars as S
-from tidewheel.sources import files
+from tidewheel.sources import versions
 
 
 def run_all(spark: SparkSession, steps: list[tuple[str, Callable[[], DataFrame]]], skip: tuple[str, ...] = (), write: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
-    """Run named steps in order: (step, name, status, n_rows); the first failure ends the run.
+    """Run named steps in order: (step, name, status, n_rows, message); the first failure ends the run, its message is kept.
 
-    A step builds its frame lazily; it is written by ``write`` (name, frame), or only counted.  ``skip`` names steps
-    whose results are there already (the download, say); a name that is no step raises before anything runs.
+    A step builds its frame lazily; it is written by ``write`` (name, frame) and its rows are counted on the way, or it is only
+    counted: computed once either way.  ``skip`` names steps whose results are there already (the download, say); a name that is no step raises before anything runs.
     """
     if unknown := set(skip) - {name for name, _ in steps}:
         raise ValueError(f"no such step: {sorted(unknown)}")
     rows, failed = [], False
     for number, (name, build) in enumerate(steps, 1):
-        status, n = "not run" if failed else "skipped" if name in skip else "done", None
+        status, n, message = "not run" if failed else "skipped" if name in skip else "done", None, None
         if status == "done":
             try:
                 frame = build()
                 if write is not None:
-                    write(name, frame)
-                n = frame.count()
-            except Exception:  # noqa: BLE001  whatever a step raises is its failure
-                status, failed = "failed", True
-        rows.append((number, name, status, n))
-    return spark.createDataFrame(rows, "step int, name string, status string, n_rows long")
+                    seen = Observation()
+                    write(name, frame.observe(seen, F.count(F.lit(1)).alias("n")))
+                    n = seen.get["n"]
+                else:
+                    n = frame.count()
+            except Exception as e:  # noqa: BLE001  whatever a step raises is its failure
+                status, failed, message = "failed", True, f"{type(e).__name__}: {e}"
+        rows.append((number, name, status, n, message))
+    return spark.createDataFrame(rows, "step int, name string, status string, n_rows long, message string")
 
 
 def manifest(daily: DataFrame) -> DataFrame:
@@ -41,14 +44,9 @@ def manifest(daily: DataFrame) -> DataFrame:
 
 
 def roll_window(spark: SparkSession, path: str, new: DataFrame) -> list[str]:
-    """A stored daily table (by month) takes the months of ``new``; as many of its oldest ones go.  Returns its months.
+    """A versioned daily table takes the months of ``new``, and as many of its oldest ones go, in one step.  Returns its months.
 
-    Only the partitions of these months are written or deleted.
+    See :mod:`tidewheel.sources.versions`: a run that is killed leaves the old table, readers keep the version they opened.
     """
-    files.write_daily(new, path)
-    fresh = {r.month for r in new.select(S.month_key("date").alias("month")).distinct().collect()}
-    have = sorted(files.partitions(spark, path, "month"))
-    leave = [m for m in have if m not in fresh][: len(fresh)]
-    for m in leave:
-        files.delete(spark, f"{path}/month={m}")
-    return [m for m in have if m not in leave]
+    versions.change(spark, path, new, lambda have, fresh: [m for m in have if m not in fresh][: len(fresh)])
+    return list(versions.current(spark, path)[1])

@@ -13,7 +13,7 @@ from tidewheel.functions import scalars as S
 from tidewheel.operators import availability as A, facts, flows, geo, quality, runs
 from tidewheel.plans.registry import query
 from tidewheel.session import prepare_workers, shared_dir
-from tidewheel.sources import files
+from tidewheel.sources import files, versions
 
 
 def _land(x, name: str, content: bytes) -> str:
@@ -138,12 +138,12 @@ def _(x):
 _STEPS = ("download", "flows", "typology", "reliability", "context", "elasticities", "checks")
 
 
-@query("o1_run_all", """SELECT * FROM (VALUES (1, 'download', 'skipped', NULL), (2, 'flows', 'done', (SELECT count(*) FROM points)), (3, 'typology', 'done', (SELECT count(*) FROM wkday)), (4, 'reliability', 'done', (SELECT count(*) FROM rel)),
+@query("o1_run_all", """SELECT *, CASE WHEN status = 'failed' THEN 'PATH_NOT_FOUND' END AS message FROM (VALUES (1, 'download', 'skipped', NULL), (2, 'flows', 'done', (SELECT count(*) FROM points)), (3, 'typology', 'done', (SELECT count(*) FROM wkday)), (4, 'reliability', 'done', (SELECT count(*) FROM rel)),
     (5, 'context', 'done', (SELECT count(*) FROM stations)), (6, 'elasticities', 'failed', NULL), (7, 'checks', 'not run', NULL)) t(step, name, status, n_rows)""")
 def _(x):
     steps = {"download": lambda: x.raw_trips, "flows": lambda: x.points, "typology": lambda: x.weekday, "reliability": lambda: A.by_station(x.snapshots),
              "context": lambda: geo.context(x.stations, x.facilities), "elasticities": lambda: x.spark.read.parquet(f"{shared_dir(x.spark)}/tidewheel/no-such-table"), "checks": lambda: facts.preset_check(x.weather)}
-    return runs.run_all(x.spark, [(n, steps[n]) for n in _STEPS], skip=("download",))
+    return runs.run_all(x.spark, [(n, steps[n]) for n in _STEPS], skip=("download",)).withColumn("message", F.regexp_extract("message", "PATH_NOT_FOUND", 0))
 
 
 @query("o2_manifest", """SELECT array_to_string(list_sort((SELECT list(DISTINCT month) FROM dkeys)), ',') AS months, count(*) AS n_any, count(*) FILTER (n = (SELECT count(DISTINCT month) FROM dkeys)) AS n_full
@@ -156,11 +156,12 @@ def _(x):
     UNION ALL SELECT strftime(date + INTERVAL 84 MONTH, '%Y-%m'), net FROM dkeys WHERE month = (SELECT min(month) FROM dkeys)) GROUP BY month""")
 def _(x):
     path = f"{shared_dir(x.spark)}/tidewheel/window-{uuid.uuid4().hex}"
-    files.write_daily(x.daily, path)
+    versions.change(x.spark, path, x.daily)
     first = x.daily.agg(F.min(S.month_key("date"))).first()[0]
     new = x.daily.filter(S.month_key("date") == first).withColumn("date", F.add_months("date", 84))
     runs.roll_window(x.spark, path, new)
-    return x.spark.read.parquet(path).groupBy(S.month_key("date").alias("month")).agg(F.count("*").alias("n"), F.sum("net").alias("net"))
+    versions.vacuum(x.spark, path, 1)
+    return versions.read(x.spark, path).groupBy("month").agg(F.count("*").alias("n"), F.sum("net").alias("net"))
 
 
 @query("o8_report_facts", """SELECT * FROM (VALUES

@@ -55,6 +55,38 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+file_system = _fs
+
+
+def get(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes (manifests, feeds' headers)."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, hidden files too; none if it is not there."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def rename_new(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file to a name that must not be taken: False (and the file deleted) if it is.
+
+    Object stores and HDFS refuse the second of two such renames; a local file system would let it win, so the name is also looked at first.
+    """
+    fs, p = _fs(spark, path)
+    _, t = _fs(spark, to)
+    if not fs.exists(t) and fs.rename(p, t):
+        return True
+    fs.delete(p, False)
+    return False
+
+
 def as_uri(path: str) -> str:
     return path if ":" in path.split("/")[0] else "file://" + os.path.abspath(path)
 
