@@ -339,25 +339,6 @@ def test_archives_and_logs(spark, tmp_path):
     (tmp_path / "log/snapshots_1.csv").write_text(line)
     (tmp_path / "log/other.csv").write_text(line)
     assert files.read_snapshot_log(spark, str(tmp_path / "log")).count() == 1
-    calls = []
-
-    class Reply:
-        def __init__(self, url):
-            calls.append(url)
-            self.parts = [b"ab", b"c", b""]
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *a):
-            return False
-
-        def read(self, _):
-            return self.parts.pop(0)
-
-    to = str(tmp_path / "x/y.zip")
-    assert files.download("u", to, Reply) == files.download("u", to, Reply) == to
-    assert open(to, "rb").read() == b"abc" and len(calls) == 1
 
 
 def test_feeds_and_paged_source(spark, tmp_path):
@@ -390,10 +371,6 @@ def test_feeds_and_paged_source(spark, tmp_path):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}/"
     try:
-        rows = files.read_paged(spark, base + "?o={offset}&n={limit}", 25, ["name", "geo"], page=10).collect()
-        assert sorted(r.name for r in rows) == sorted(f"r{i}" for i in range(25)) and rows[0].geo.startswith("[")
-        with pytest.raises(ValueError):
-            files.read_paged(spark, base + "?o={offset}&n={limit}", 26, ["name"], page=10)
         w = files.read_weather(spark, base + "?lat={lat}&lng={lng}&s={start}&e={end}", [(40.5, -74.0), (41.0, -73.0)], "2026-01-01", "2026-01-01").collect()
         assert sorted((r.zone, r.temp_mean_c, r.precip_mm) for r in w) == [(0, 40.5, None), (1, 41.0, None)]
     finally:

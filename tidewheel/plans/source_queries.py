@@ -2,29 +2,35 @@
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
 from tidewheel.operators import availability as A, facts, flows, geo, quality, runs
+from tidewheel.operators.ordered import ordered
 from tidewheel.plans.registry import query
 from tidewheel.session import prepare_workers, shared_dir
-from tidewheel.sources import files, versions
+from tidewheel.sources import files, landing, versions
 
 
-def _land(x, name: str, content: bytes) -> str:
-    """Bytes in a fresh file of the shared folder."""
-    path = f"{shared_dir(x.spark)}/tidewheel/feeds-{uuid.uuid4().hex}/{name}"
-    files.put(x.spark, path, content)
-    return path
+def _folder(x, name: str) -> str:
+    """A fresh folder of the shared one."""
+    return f"{files.as_uri(shared_dir(x.spark))}/tidewheel/{name}-{uuid.uuid4().hex}"
 
 
-def _csv(df) -> str:
-    return df.toPandas().to_csv(index=False, lineterminator="\n")
+def _csv_rows(df):
+    """``df`` with its row as a CSV line."""
+    return df.withColumn("line", F.to_csv(F.struct(*df.columns)))
+
+
+def _csv(df, name: str, order: str, head: str = ""):
+    """(name, content): all rows as one CSV text with a header, in the order of a column."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "line"))), lambda r: r["line"])
+    return _csv_rows(df).agg(F.concat(F.lit(",".join(df.columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("content")).select(F.lit(name).alias("name"), "content")
 
 
 def _trip_rows(x):
@@ -37,71 +43,78 @@ def _trip_rows(x):
         F.col("lat").alias("start_lat"), F.col("lng").alias("start_lng"), F.col("lat").alias("end_lat"), F.col("lng").alias("end_lng"), F.lit("member").alias("member_casual"))
 
 
-@query("s1_src_trip_zip", """SELECT 'R' || (station_id - 4000) AS ride_id, station_id || '.10' AS start_station_id, station_id || '.1' AS end_station_id, CAST(7200 AS DOUBLE) AS seconds, '202401-trips.zip' AS archive FROM stations""")
+@query("s1_src_trip_zip", """SELECT 'R' || (station_id - 4000) AS ride_id, station_id || '.10' AS start_station_id, station_id || '.1' AS end_station_id, CAST(7200 AS DOUBLE) AS seconds, '20240' || (1 + station_id % 4) || '-trips.zip' AS archive FROM stations""")
 def _(x):
+    """Four archives, each packed by a task of its own: two members, a folder and a file that are none."""
     prepare_workers(x.spark)
-    rows = _csv(_trip_rows(x)).splitlines(keepends=True)
-    packed, half = io.BytesIO(), len(rows) // 2
-    with zipfile.ZipFile(packed, "w") as z:
-        z.writestr("202401-trips_2.csv", "".join([rows[0], *rows[half + 1 :]]))
-        z.writestr("202401-trips_1.csv", "".join(rows[: half + 1]))
-        z.writestr("__MACOSX/202401-trips_1.csv", "no trips")
-        z.writestr("readme.txt", "no trips")
-    t = files.read_trip_zip(x.spark, _land(x, "202401-trips.zip", packed.getvalue()))
+    columns = files.TRIP_COLUMNS
+
+    def pack(key, pdf):
+        pdf, packed = pdf.sort_values("ride_id"), io.BytesIO()
+        half = len(pdf) // 2
+        with zipfile.ZipFile(packed, "w") as z:
+            for number, part in ((2, pdf[half:]), (1, pdf[:half])):
+                z.writestr(f"trips_{number}.csv", part[columns].to_csv(index=False))
+            z.writestr("__MACOSX/trips_1.csv", "no trips")
+            z.writestr("readme.txt", "no trips")
+        return pd.DataFrame({"name": [f"20240{key[0]}-trips.zip"], "content": [packed.getvalue()]})
+
+    rows = _trip_rows(x).select(*[F.col(c).cast("string").alias(c) for c in columns], (1 + F.regexp_extract("ride_id", "[0-9]+", 0).cast("int") % 4).alias("month"))
+    folder = landing.write_files(rows.groupBy("month").applyInPandas(pack, "name string, content binary"), _folder(x, "archives"))
+    t = files.read_trip_zip(x.spark, f"{folder}/*.zip")
     return quality.tag(t).select("ride_id", "start_station_id", "end_station_id", F.col("duration_s").alias("seconds"), "archive")
 
 
 @query("s2_src_http_archive", "SELECT station_id, name, CAST(1 AS BIGINT) AS fetches FROM stations")
 def _(x):
-    body, fetches = _csv(x.stations.select("station_id", "name")).encode(), []
-    to = _land(x, "there.csv", b"").replace("there.csv", "archive.csv")
-
-    def opener(url):
-        fetches.append(url)
-        return io.BytesIO(body)
-
+    there = landing.write_files(_csv(x.stations.select("station_id", "name"), "there.csv", "station_id"), _folder(x, "feeds"))
+    to, fetches = _folder(x, "landed"), 0
     for _ in range(2):  # the second call finds the file
-        files.download("http://feed.invalid/archive.csv", to, opener, block=512, spark=x.spark)
-    return x.spark.read.schema("station_id long, name string").csv(to, header=True).withColumn("fetches", F.lit(len(fetches)).cast("long"))
+        fetches += landing.land(x.spark, [(f"{there}/there.csv", "archive.csv")], to, block=512).filter("fetched").count()
+    return x.spark.read.schema("station_id long, name string").csv(f"{to}/archive.csv", header=True).withColumn("fetches", F.lit(fetches).cast("long"))
 
 
 @query("s3_src_socrata_paged", "SELECT CAST(station_id AS VARCHAR) AS station_id, name FROM stations")
 def _(x):
     prepare_workers(x.spark)
-    rows = [r.asDict() for r in x.stations.orderBy("station_id").select(F.col("station_id").cast("string").alias("station_id"), "name").collect()]  # a city's stations
-    page, folder = 16, _land(x, "page-0.json", json.dumps(rows[:16]).encode()).rsplit("/", 1)[0]
-    for i in range(page, len(rows), page):
-        files.put(x.spark, f"{folder}/page-{i}.json", json.dumps(rows[i : i + page]).encode())
-    return files.read_paged(x.spark, f"{files.as_uri(folder)}/page-{{offset}}.json", len(rows), ["station_id", "name"], page)
+    page = 16
+    rows = ordered(x.stations.select(F.col("station_id").cast("string").alias("station_id"), "name"), ["station_id"], number="place").withColumn("page", F.floor((F.col("place") - 1) / page) * page)
+    pages = rows.groupBy("page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "station_id", "name"))), lambda r: F.struct(r["station_id"].alias("station_id"), r["name"].alias("name")))).alias("content"))
+    count = rows.agg(F.to_json(F.array(F.struct(F.count("*").cast("string").alias("count")))).alias("content")).select(F.lit("count.json").alias("name"), "content")
+    folder = landing.write_files(pages.select(F.format_string("page-%d.json", "page").alias("name"), "content").unionByName(count), _folder(x, "pages"))
+    return landing.land_paged(x.spark, f"{folder}/page-{{offset}}.json", f"{folder}/count.json", ["station_id", "name"], f"{folder}/table", page)
 
 
-@query("s4_src_weather_api", "SELECT CAST(zone AS INT) AS zone, date, temp_mean_c, precip_mm FROM weather WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'", days=("date",))
+@query("s4_src_weather_api", "SELECT CAST(zone AS INT) AS zone, date, temp_mean_c, precip_mm FROM weather", days=("date",))
 def _(x):
     prepare_workers(x.spark)
-    rows = x.weather.filter(F.col("date").between("1995-01-01", "1995-12-31")).groupBy("zone").agg(F.array_sort(F.collect_list(F.struct(F.col("date").cast("string").alias("day"), "temp_mean_c", "precip_mm"))).alias("d"))
-    zones, folder = [], None
-    for r in sorted(rows.collect(), key=lambda r: r.zone):  # a year of each zone
-        day = {"time": [d.day for d in r.d], "temperature_2m_mean": [d.temp_mean_c for d in r.d], "precipitation_sum": [d.precip_mm for d in r.d]}
-        content = json.dumps({"daily": day}).encode()
-        if folder is None:
-            folder = _land(x, f"{r.zone}-0.json", content).rsplit("/", 1)[0]
-        else:
-            files.put(x.spark, f"{folder}/{r.zone}-0.json", content)
-        zones.append((r.zone, 0))
-    cache = f"{folder}/cache"
+    day = F.array_sort(F.collect_list(F.struct(F.col("date").cast("string").alias("day"), "temp_mean_c", "precip_mm")))
+    of = lambda c: F.transform("d", lambda r: r[c])
+    body = F.struct(F.struct(of("day").alias("time"), of("temp_mean_c").alias("temperature_2m_mean"), of("precip_mm").alias("precipitation_sum")).alias("daily"))
+    docs = x.weather.groupBy("zone").agg(day.alias("d")).select(F.format_string("%d-0.json", F.col("zone").cast("int")).alias("name"), F.to_json(body, {"ignoreNullFields": "false"}).alias("content"))
+    folder = landing.write_files(docs, _folder(x, "weather"))
+    zones = sorted((int(n.split("-")[0]), 0) for n in files.names(x.spark, folder) if n.endswith("-0.json"))
+    first, last = x.weather.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
     for _ in range(2):  # the second read comes from the cache
-        w = files.read_weather(x.spark, f"{files.as_uri(folder)}/{{lat}}-{{lng}}.json", zones, "1995-01-01", "1995-12-31", cache)
+        w = files.read_weather(x.spark, f"{folder}/{{lat}}-{{lng}}.json", zones, first, last, f"{folder}/cache")
     return w.select(F.col("zone").cast("int").alias("zone"), "date", "temp_mean_c", "precip_mm")
 
 
+def _feed_documents(x):
+    """(name, content) of a status and an information feed over the latest readings; each is one document, as the feeds are."""
+    last, stations = A.latest(x.snapshots), x.stations
+    feed = F.concat(F.lit("f"), F.col("station_id").cast("string")).alias("station_id")
+    one = F.struct(feed, F.col("bikes_available").alias("num_bikes_available"), F.col("docks_available").alias("num_docks_available"), "is_renting", "is_returning")
+    status = last.agg(F.struct(F.lit(1700000000).alias("last_updated"), F.struct(F.collect_list(one).alias("stations")).alias("data")).alias("d"))
+    info = stations.agg(F.struct(F.struct(F.collect_list(F.struct(feed, F.col("station_id").cast("string").alias("short_name"), "capacity")).alias("stations")).alias("data")).alias("d"))
+    document = lambda df, name: df.select(F.lit(name).alias("name"), F.to_json("d", {"ignoreNullFields": "false"}).alias("content"))
+    return document(status, "status.json").unionByName(document(info, "information.json"))
+
+
 @query("s5_src_gbfs", "SELECT s.station_id, s.capacity, l.bikes_available, l.docks_available, l.is_renting, l.is_returning, '2023-11-14 22:13:20' AS at FROM latest l JOIN stations s USING (station_id)")
 def _(x):
-    last = A.latest(x.snapshots).collect()  # a city's stations
-    status = [{"station_id": f"f{r.station_id}", "num_bikes_available": r.bikes_available, "num_docks_available": r.docks_available, "is_renting": r.is_renting, "is_returning": r.is_returning} for r in last]
-    info = [{"station_id": f"f{r.station_id}", "short_name": str(r.station_id), "capacity": r.capacity} for r in x.stations.collect()]
-    a = _land(x, "status.json", json.dumps({"last_updated": 1700000000, "data": {"stations": status}}, indent=1).encode())
-    b = _land(x, "information.json", json.dumps({"data": {"stations": info}}, indent=1).encode())
-    s, i = files.read_feed(x.spark, a, b)
+    folder = landing.write_files(_feed_documents(x), _folder(x, "feeds"))
+    s, i = files.read_feed(x.spark, f"{folder}/status.json", f"{folder}/information.json")
     j = s.join(i, "feed_id")
     return j.select(F.col("station_id").cast("long").alias("station_id"), F.col("capacity").cast("long").alias("capacity"), *[F.col(c).cast("long" if c.endswith("available") else "int").alias(c) for c in ("bikes_available", "docks_available", "is_renting", "is_returning")],
                     F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
@@ -111,7 +124,7 @@ def _(x):
 def _(x):
     cols = [F.col(c).cast("int").alias(c) for c in ("bikes_available", "docks_available", "is_renting", "is_returning")]
     rows = x.snapshots.select(F.col("station_id").cast("string").alias("station_id"), F.col("observed_at").cast("timestamp").alias("timestamp"), *cols)
-    folder = f"{shared_dir(x.spark)}/tidewheel/logs-{uuid.uuid4().hex}"
+    folder = _folder(x, "logs")
     rows.write.option("header", True).csv(f"{folder}/written")
     files.rename_all(x.spark, f"{folder}/written", f"{folder}/log", lambda i: f"snapshots_{i:05d}.csv")
     files.put(x.spark, f"{folder}/log/other.csv", b"station_id,timestamp\nX,2024-01-01\n")
@@ -120,14 +133,17 @@ def _(x):
 
 @query("s8_src_json_doc", "SELECT station_id, name, capacity FROM stations")
 def _(x):
-    made = json.dumps({"stations": {str(r.station_id): {"name": r.name, "capacity": r.capacity} for r in x.stations.collect()}}, indent=1)  # one document
-    d = files.read_document(x.spark, _land(x, "stations.json", made.encode()), "stations map<string, struct<name: string, capacity: long>>")
+    each = F.map_from_entries(F.collect_list(F.struct(F.col("station_id").cast("string"), F.struct("name", "capacity"))))
+    made = x.stations.agg(F.to_json(F.struct(each.alias("stations"))).alias("content")).select(F.lit("stations.json").alias("name"), "content")  # one document
+    folder = landing.write_files(made, _folder(x, "document"))
+    d = files.read_document(x.spark, f"{folder}/stations.json", "stations map<string, struct<name: string, capacity: long>>")
     return d.select(F.explode("stations").alias("id", "s")).select(F.col("id").cast("long").alias("station_id"), "s.name", "s.capacity")
 
 
 @query("s12_snk_delete_raw", "SELECT 'landed' AS file, true AS before, false AS after UNION ALL SELECT 'kept', true, true")
 def _(x):
-    paths = {name: _land(x, f"{name}.zip", b"x") for name in ("landed", "kept")}
+    folder = landing.write_files(x.spark.createDataFrame([("landed.zip", "x"), ("kept.zip", "x")], "name string, content string"), _folder(x, "raw"))
+    paths = {name: f"{folder}/{name}.zip" for name in ("landed", "kept")}
     there = lambda: {n: files.exists(x.spark, p) for n, p in paths.items()}
     before = there()
     files.delete_raw([paths["landed"], paths["landed"] + ".gone"], x.spark)

@@ -74,6 +74,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def make(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def length(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
 def rename_new(spark: SparkSession, path: str, to: str) -> bool:
     """Rename a file to a name that must not be taken: False (and the file deleted) if it is.
 
@@ -130,25 +140,6 @@ def partitions(spark: SparkSession, path: str, column: str) -> list[str]:
     return [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
 
 
-def download(url: str, to: str, opener: Callable = urllib.request.urlopen, block: int = 1 << 20, spark: SparkSession | None = None) -> str:
-    """A landed file, fetched in blocks and moved into place when whole; one that is there is not fetched again.
-
-    With ``spark`` the place is of the cluster's file system, else of this machine's.
-    """
-    if exists(spark, to) if spark else os.path.exists(to):
-        return to
-    with opener(url) as r:
-        blocks = iter(lambda: r.read(block), b"")
-        if spark:
-            put(spark, to, blocks)
-            return to
-        os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
-        with open(to + ".part", "wb") as f:
-            f.writelines(blocks)
-    os.replace(to + ".part", to)
-    return to
-
-
 def delete_raw(paths: list[str], spark: SparkSession | None = None) -> None:
     """Landed archives go once their month is aggregated; one that is gone already is no fault."""
     for p in paths:
@@ -186,6 +177,8 @@ class _PagedReader(DataSourceReader):
         return [_Page((i, size)) for i in range(0, count, size)]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # no page: Spark asks for one empty partition
+            return
         offset, limit = partition.value
         with urllib.request.urlopen(self.o["url"].replace("{offset}", str(offset)).replace("{limit}", str(limit))) as r:
             for row in json.load(r):
@@ -226,14 +219,10 @@ class _WeatherReader(DataSourceReader):
             yield zone, date.fromisoformat(day), None if t is None else float(t), None if p is None else float(p)
 
 
-def read_paged(spark: SparkSession, url: str, count: int, columns: list[str], page: int = 1000) -> DataFrame:
-    """All rows of a paged endpoint; raises if their number is not ``count``."""
+def paged(spark: SparkSession, url: str, count: int, columns: list[str], page: int = 1000) -> DataFrame:
+    """Rows of the pages that hold ``count`` rows, a page a task; unchecked (see ``landing.land_paged``)."""
     spark.dataSource.register(PagedSource)
-    df = spark.read.format("paged_json").options(url=url, count=str(count), page=str(page), columns=",".join(columns)).load()
-    got = df.count()
-    if got != count:
-        raise ValueError(f"expected {count} rows, got {got}")
-    return df
+    return spark.read.format("paged_json").options(url=url, count=str(count), page=str(page), columns=",".join(columns)).load()
 
 
 def read_weather(spark: SparkSession, url: str, points: list[tuple[float, float]], start: str, end: str, cache: str | None = None) -> DataFrame:
