@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
-from tidewheel.functions import scalars as S
+from tidewheel.functions import canonical, scalars as S
 from tidewheel.operators.ordered import ordered
 
 
@@ -62,10 +62,9 @@ def station_facts(stations: DataFrame, reliability: DataFrame, context: DataFram
         ok(F.bround(system_rate * 100, 1)).alias("system_unusable_pct"), *[c for c in context.columns if c != "station_id"])
 
 
-def facts_hash(columns: list[str]) -> Column:
-    """SHA-256 of a record as compact JSON with sorted keys and nulls kept."""
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
-    return F.sha2(body, 256)
+def facts_hash(facts: DataFrame, columns: list[str]) -> DataFrame:
+    """(station_id, facts_hash): SHA-256 of each record as compact JSON with keys sorted at every level and nulls kept."""
+    return facts.select("station_id", canonical.record_hash(facts, columns).alias("facts_hash"))
 
 
 def changed_only(facts: DataFrame, stored: DataFrame) -> DataFrame:

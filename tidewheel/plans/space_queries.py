@@ -603,9 +603,24 @@ def _(x):
     return facts.preset_check(x.weather)
 
 
-@query("o5_facts", "SELECT s.station_id, name, 'ok' AS status, round_even(unusable_rate * 100, 1) AS unusable_pct, CAST(rank() OVER (ORDER BY unusable_rate DESC) AS INT) AS rank, subway_nearest FROM stations s JOIN rel USING (station_id) JOIN (SELECT station_id, nearest AS subway_nearest FROM near WHERE layer = 'subway') USING (station_id)")
-def _(x):
+_O5 = "SELECT s.station_id, name, 'ok' AS status, round_even(unusable_rate * 100, 1) AS unusable_pct, CAST(rank() OVER (ORDER BY unusable_rate DESC) AS INT) AS rank, subway_nearest FROM stations s JOIN rel USING (station_id) JOIN (SELECT station_id, nearest AS subway_nearest FROM near WHERE layer = 'subway') USING (station_id)"
+
+
+def _o5(x):
     curve = F.array(*[F.sin(F.col("station_id") + h) for h in range(24)])
     s = x.stations.select("station_id", "name", curve.alias("weekday"), curve.alias("weekend"), F.lit(0).alias("cluster"), F.lit("Mixed/flat rhythm").alias("cluster_name"))
     f = facts.station_facts(s, A.by_station(x.snapshots), geo.context(x.stations, x.facilities), F.lit(0.2))
     return f.select("station_id", "name", "status", "unusable_pct", "rank", "subway_nearest")
+
+
+@query("o5_facts", _O5)
+def _(x):
+    return _o5(x)
+
+
+@query("f15_canonical_hash", f"""SELECT station_id, sha256(CAST(to_json({{'context': {{'nearest_subway': subway_nearest, 'none': NULL, 'tags': [status, name]}}, 'name': name, 'reliability': {{'rank': rank, 'status': status, 'unusable_pct': unusable_pct}}}}) AS VARCHAR)) AS facts_hash FROM ({_O5})""")
+def _(x):
+    nested = _o5(x).select("station_id", F.struct("unusable_pct", "rank", "status").alias("reliability"), "name",
+                           F.struct(F.array("status", "name").alias("tags"), F.lit(None).cast("string").alias("none"), F.col("subway_nearest").alias("nearest_subway")).alias("context"))
+    return facts.facts_hash(nested, ["reliability", "name", "context"])
+
