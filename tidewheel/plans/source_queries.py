@@ -13,8 +13,9 @@ from tidewheel.functions import scalars as S
 from tidewheel.operators import availability as A, facts, flows, geo, quality, runs
 from tidewheel.operators.ordered import ordered
 from tidewheel.plans.registry import query
-from tidewheel.session import prepare_workers, shared_dir
+from tidewheel.session import cut, prepare_workers, shared_dir
 from tidewheel.sources import files, landing, versions
+from tidewheel.streaming import feed
 
 
 def _folder(x, name: str) -> str:
@@ -120,6 +121,24 @@ def _(x):
                     F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("s5_feed_stream", "SELECT CAST(station_id AS VARCHAR) AS station_id, count(*) AS n, CAST(sum(bikes_available) AS BIGINT) AS bikes, count(DISTINCT observed_at) AS n_polls FROM v_snapshots GROUP BY station_id")
+def _(x):
+    """Every snapshot time is a poll: spooled by tasks, read as a stream that is started twice, joined with the information feed."""
+    rows = x.snapshots.withColumn("at", F.unix_seconds(F.col("observed_at").cast("timestamp")))
+    number = ordered(rows.select("at").distinct(), ["at"], number="poll")
+    one = F.struct(F.concat(F.lit("f"), F.col("station_id").cast("string")).alias("station_id"), F.col("bikes_available").alias("num_bikes_available"), F.col("docks_available").alias("num_docks_available"), "is_renting", "is_returning")
+    polls = rows.groupBy("at").agg(F.collect_list(one).alias("stations")).join(number, "at")  # a poll is one document, as the feed is
+    polls = polls.select("poll", F.format_string("%012d-%d.json", "poll", "at").alias("name"), F.to_json(F.struct(F.col("at").alias("last_updated"), F.struct("stations").alias("data")), {"ignoreNullFields": "false"}).alias("content"))
+    polls, folder, half = cut(polls), _folder(x, "feed"), number.count() // 2
+    for part in (polls.filter(F.col("poll") <= half), polls.filter(F.col("poll") > half)):
+        landing.write_files(part, f"{folder}/spool")
+        stream = feed.readings(x.spark, f"{folder}/spool").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    info = x.stations.select(F.concat(F.lit("f"), F.col("station_id").cast("string")).alias("feed_id"), F.col("station_id").cast("string").alias("station_id"))
+    got = feed.crosswalk(x.spark.read.schema(feed.READINGS).parquet(f"{folder}/out"), info)
+    return got.groupBy("station_id").agg(F.count("*").alias("n"), F.sum("bikes_available").alias("bikes"), F.countDistinct("timestamp").alias("n_polls"))
+
+
 @query("s7_src_log_glob", "SELECT CAST(station_id AS VARCHAR) AS station_id, count(*) AS n, CAST(sum(bikes_available) AS BIGINT) AS bikes FROM v_snapshots GROUP BY station_id")
 def _(x):
     cols = [F.col(c).cast("int").alias(c) for c in ("bikes_available", "docks_available", "is_renting", "is_returning")]
