@@ -1,7 +1,6 @@
 """Queries of raw records, sinks, models, text and streams."""
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -107,14 +106,11 @@ def _(x):
 
 @query("f21_fn_template_text")
 def _(x):
-    prepare_workers(x.spark)
-
-    @F.pandas_udf("string")
-    def write(r):
-        return r.map(lambda s: briefs.plain_text(json.loads(s)))
-
-    r = _as_record(_facts(x)).withColumn("text", write("record"))
-    return r.select("station_id", "text", briefs.violations_udf()("text", "record").alias("violations"))
+    r = _records(_facts(x))
+    r = r.select("station_id", F.struct(*[c for c in r.columns if c != "station_id"]).alias("record"))
+    kind, record = r.schema["record"].dataType, F.col("record")
+    written = r.withColumn("text", briefs.plain_text(record, kind))
+    return written.select("station_id", "text", briefs.violations(F.col("text"), record, kind).alias("violations"))
 
 
 def _roster(x):

@@ -1,18 +1,14 @@
 """Queries of figures in texts, what a record allows, sentences and rules; SQL states what each built text must give."""
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from tidewheel.functions import briefs, scalars as S
+from tidewheel.functions import briefs, figures, scalars as S
 from tidewheel.plans.registry import query
-from tidewheel.session import prepare_workers
 
 
 def _per_station(x, forms: list[tuple[str, str]], column: str):
     """Every station with every form: (station_id, form, ``column``); a form is a Spark SQL expression over capacity and name."""
-    prepare_workers(x.spark)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.expr(e).alias(column)) for f, e in forms]))
     return x.stations.withColumn("e", each).select("station_id", "name", "capacity", "e.form", f"e.{column}")
 
@@ -28,18 +24,16 @@ _FIGURES = [
 ]
 
 
+def _written(tokens):
+    return F.transform(tokens, lambda t: F.concat(t["kind"], F.lit(":"), F.coalesce(t["said"], t["value"].cast("string"))))
+
+
 @query("f16_fn_extract_numbers", """SELECT station_id, e.form AS form, e.tokens AS tokens FROM (SELECT station_id, unnest([
     {'form': 'clock', 'tokens': 'time:' || (capacity % 12 + 1) || ' AM,time:' || (capacity % 12 + 1) || ' PM'}, {'form': 'noon', 'tokens': 'time:12 PM,time:12 AM'},
     {'form': 'percent', 'tokens': 'percent:' || capacity || '.5,percent:' || capacity || '.0'}, {'form': 'metres', 'tokens': 'meters:' || capacity || '200.0,meters:' || capacity || '.0,number:' || capacity || '.5'},
     {'form': 'ordinal', 'tokens': 'number:' || capacity || '.0,number:2507.0,number:3.0'}, {'form': 'plain', 'tokens': 'number:-' || capacity || '.0,number:20.0'}, {'form': 'none', 'tokens': ''}]) AS e FROM stations)""")
 def _(x):
-    rows = _per_station(x, _FIGURES, "text")
-
-    @F.pandas_udf("string")
-    def tokens(t):
-        return t.map(lambda s: ",".join(f"{k.kind}:{k.value}" for k in briefs.scan(s)))
-
-    return rows.select("station_id", "form", tokens("text").alias("tokens"))
+    return _per_station(x, _FIGURES, "text").select("station_id", "form", F.array_join(_written(figures.scan(F.col("text"))), ",").alias("tokens"))
 
 
 _RECORD = """SELECT *, station_id - 4000 AS k FROM stations"""
@@ -47,18 +41,14 @@ _RECORD = """SELECT *, station_id - 4000 AS k FROM stations"""
 
 def _records(x):
     r = F.struct("name", "capacity", (F.col("capacity") + F.lit(0.5)).alias("unusable_pct"), F.array((F.col("capacity") * 100).alias("x")).alias("subway_distance_m"), F.lit(True).alias("open"), F.lit("opens at 8 a.m., 3rd of 7").alias("note"))
-    prepare_workers(x.spark)
-    return x.stations.select("station_id", "capacity", F.to_json(r).alias("record"))
+    return x.stations.select("station_id", "capacity", r.alias("record"))
 
 
 @query("f17_fn_allowed_values", f"""SELECT station_id, array_to_string(list_sort(list_distinct(['number:' || k || '.0', 'number:' || capacity || '.0', 'number:' || capacity || '.5', 'percent:' || capacity || '.5',
     'number:' || (capacity * 100) || '.0', 'meters:' || (capacity * 100) || '.0', 'time:8 AM', 'number:3.0', 'number:7.0'])), ',') AS allowed FROM ({_RECORD})""")
 def _(x):
-    @F.pandas_udf("string")
-    def allowed(r):
-        return r.map(lambda s: ",".join(sorted(f"{k}:{v}" for k, vs in briefs.Vocabulary(json.loads(s)).by_kind.items() for v in vs)))
-
-    return _records(x).select("station_id", allowed("record").alias("allowed"))
+    rows = _records(x)
+    return rows.select("station_id", F.array_join(F.array_sort(_written(figures.vocabulary(F.col("record"), rows.schema["record"].dataType))), ",").alias("allowed"))
 
 
 @query("f18_fn_number_allowed", """SELECT station_id, e.form AS form, e.allowed AS allowed FROM (SELECT station_id, unnest([{'form': 'same', 'allowed': true}, {'form': 'whole', 'allowed': true}, {'form': 'one place', 'allowed': true}, {'form': 'cut', 'allowed': false},
@@ -67,25 +57,14 @@ def _(x):
     forms = [("same", "'.26'"), ("whole", "'.0'"), ("one place", "'.3'"), ("cut", "'.2'"), ("next", "'1.0'"), ("finer", "'.261'")]
     rows = _per_station(x, [(f, f"concat(CASE WHEN '{f}' = 'next' THEN capacity + 1 ELSE capacity END, {'substr(' + e + ', 2)' if f == 'next' else e})") for f, e in forms], "written")
 
-    @F.pandas_udf("boolean")
-    def allowed(written, capacity):
-        import pandas as pd
-
-        return pd.Series([briefs.rounds_to(float(w), [float(f"{c}.26")]) for w, c in zip(written, capacity)])
-
-    return rows.select("station_id", "form", allowed("written", "capacity").alias("allowed"))
+    known = F.array(F.concat("capacity", F.lit(".26")).cast("double"))
+    return rows.select("station_id", "form", figures.rounds_to(F.col("written").cast("double"), known).alias("allowed"))
 
 
 @query("f19_fn_split_sentences", "SELECT station_id, 'Opened by St. Nicholas at 8 a.m. Monday.|' || name || ' is next! |It has 5 p.m. trips to P.S. Shuang and Ave. C?|Yes.' AS sentences FROM (SELECT station_id, name FROM stations)".replace("! |", "!|"))
 def _(x):
-    prepare_workers(x.spark)
-
-    @F.pandas_udf("string")
-    def split(t):
-        return t.map(lambda s: "|".join(briefs.sentences(s)))
-
     text = F.concat(F.lit("Opened by St. Nicholas at 8 a.m. Monday. "), "name", F.lit(" is next!  It has 5 p.m. trips to P.S. Shuang and Ave. C? Yes."))
-    return x.stations.select("station_id", split(text).alias("sentences"))
+    return x.stations.select("station_id", F.array_join(figures.sentences(text), "|").alias("sentences"))
 
 
 # what is said, and the rules it breaks, of a station that fills most at 8 AM and lacks bikes in 13.0 % of readings (12.5 % being usual), and whose type its peaks contradict
@@ -100,30 +79,21 @@ _SAID = [
 
 @query("f20_fn_check", "SELECT station_id, e.form AS form, e.broken AS broken FROM (SELECT station_id, unnest([" + ", ".join(f"{{'form': '{f}', 'broken': '{b}'}}" for f, _, b in [*_SAID, ("other name", "", "name")]) + "]) AS e FROM stations)")
 def _(x):
-    record = {"typology": "Commuter core (fills AM, drains PM)", "typology_matches_peak": False, "weekend_differs": False, "weekday_flow": {"low_signal": False, "fill_peak_hour": "8 AM", "drain_peak_hour": "5 PM"},
-              "reliability": {"status": "ok", "unusable_pct": 13.0, "system_unusable_pct": 12.5}, "context": {"school_name": "Night and Day High School", "housing_name": "P.S. 40", "school_threshold_m": 300}}
-    rows = _per_station(x, [*((f, f"concat(name, ' {t}')") for f, t, _ in _SAID), ("other name", "'The stop by the park is grouped with none.'")], "text")
-
-    @F.pandas_udf("string")
-    def broken(text, name):
-        import pandas as pd
-
-        return pd.Series([",".join(dict.fromkeys(v.split(":")[0] for v in briefs.violations(t, {"name": n} | record))) for t, n in zip(text, name)])
-
-    return rows.select("station_id", "form", broken("text", "name").alias("broken"))
+    word = lambda t, name: F.lit(t).alias(name)
+    record = F.struct(
+        "name", word("Commuter core (fills AM, drains PM)", "typology"), word(False, "typology_matches_peak"), word(False, "weekend_differs"),
+        F.struct(word(False, "low_signal"), word("8 AM", "fill_peak_hour"), word("5 PM", "drain_peak_hour")).alias("weekday_flow"),
+        F.struct(word("ok", "status"), word(13.0, "unusable_pct"), word(12.5, "system_unusable_pct")).alias("reliability"),
+        F.struct(word("Night and Day High School", "school_name"), word("P.S. 40", "housing_name"), word(300, "school_threshold_m")).alias("context"))
+    rows = _per_station(x, [*((f, f"concat(name, ' {t}')") for f, t, _ in _SAID), ("other name", "'The stop by the park is grouped with none.'")], "text").withColumn("record", record)
+    broken = F.array_distinct(F.transform(briefs.violations(F.col("text"), F.col("record"), rows.schema["record"].dataType), lambda v: F.substring_index(v, ":", 1)))
+    return rows.select("station_id", "form", F.array_join(broken, ",").alias("broken"))
 
 
 @query("f22_fn_fill_template", "SELECT station_id, name || ' holds ' || capacity || ' (' || name || ')' AS text FROM stations")
 def _(x):
-    prepare_workers(x.spark)
-
-    @F.pandas_udf("string")
-    def fill(name, capacity):
-        import pandas as pd
-
-        return pd.Series([briefs.fill_template("{{name}} holds {{docks}} ({{name}})", {"name": n, "docks": c}) for n, c in zip(name, capacity)])
 
-    return x.stations.select("station_id", fill("name", "capacity").alias("text"))
+    return x.stations.select("station_id", figures.fill_template("{{name}} holds {{docks}} ({{name}})", {"name": F.col("name"), "docks": F.col("capacity")}).alias("text"))
 
 
 @query("f28_fn_escape_html", "SELECT station_id, 'A &amp; B &lt;' || name || '&gt; &quot;x&quot; &#39;y&#39;' AS text FROM stations")
