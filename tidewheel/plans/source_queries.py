@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewheel import constants as C
-from tidewheel.functions import scalars as S
-from tidewheel.operators import availability as A, facts, flows, geo, quality, runs
+from tidewheel.functions import canonical, scalars as S
+from tidewheel.operators import availability as A, batch, facts, flows, geo, quality, runs
 from tidewheel.operators.ordered import ordered
 from tidewheel.plans.registry import query
 from tidewheel.session import cut, prepare_workers, shared_dir
@@ -199,6 +199,26 @@ def _(x):
     return versions.read(x.spark, path).groupBy("month").agg(F.count("*").alias("n"), F.sum("net").alias("net"))
 
 
+@query("o7_resumable_batch", """SELECT CAST(c_custkey AS VARCHAR) AS station_id, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_acctbal < 0 THEN c_name || ' owes' ELSE c_name || ' owes nothing' END AS text,
+    CASE WHEN c_custkey % 7 = 0 THEN 'template' ELSE 'first' END AS source, CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS BIGINT) AS batch FROM customer WHERE c_custkey % 10 <> 0""")
+def _(x):
+    """A text for every customer: the first batch stops half-way and is taken up again, the second one sends those who owe by then; some have no answer but the plain one, some are gone."""
+    path, customers = _folder(x, "batch"), x.table("customer", "c_custkey", "c_name", "c_acctbal")
+
+    def records(owes):
+        r = customers.select(F.col("c_custkey").cast("string").alias("station_id"), F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), owes.alias("owes")).alias("record"))
+        return r.withColumn("facts_hash", canonical.record_hash(r, ["record"]))
+
+    answer = lambda r: r.filter("record.key % 7 <> 0").select("part", "custom_id", F.concat("record.name", F.when(F.col("record.owes"), " owes").otherwise(" owes nothing")).alias("text"), F.lit("first").alias("source"))
+    plain = lambda r: r.select("part", "custom_id", F.col("record.name").alias("text"), F.lit("template").alias("source"))
+    before = records(F.lit(False))
+    batch.plan(x.spark, path, before)
+    batch.work(x.spark, path, lambda r: answer(r).filter("part % 2 = 0"))
+    batch.run(x.spark, path, before, [answer, plain])
+    later = records(F.col("c_acctbal") < 0).filter("record.key % 10 <> 0")
+    return batch.run(x.spark, path, later, [answer, plain]).select("station_id", "text", "source", "batch")
+
+
 @query("o8_report_facts", """SELECT * FROM (VALUES
     ('trip_first_month', (SELECT min(month) FROM dkeys)), ('trip_last_month', (SELECT max(month) FROM dkeys)), ('trip_n_months', (SELECT CAST(count(DISTINCT month) AS VARCHAR) FROM dkeys)), ('n_stations', (SELECT CAST(count(DISTINCT station_id) AS VARCHAR) FROM dkeys)),
     ('n_stations_full', (SELECT CAST(count(*) AS VARCHAR) FROM (SELECT station_id FROM dkeys GROUP BY station_id HAVING count(DISTINCT month) = (SELECT count(DISTINCT month) FROM dkeys)))),
