@@ -659,6 +659,14 @@ def test_wrappers_keep_whole_articles(spark):
     assert _extracted(spark, copies) == {i: f"date {i}\nthe same article" for i in range(2)}
 
 
+def test_wrappers_read_on_after_icons_and_scripts(spark):
+    """An svg element that closes itself swallows nothing; elements without texts part no block."""
+    pages = ["<article><p>one <svg class='i'/> two</p><p>three <svg viewBox='0 0 1 1'><title>icon</title></svg>four</p></article>",
+             "<article><p>one <svg/></p><p>two</p></article>", "<article><p>one <script>var a = '<p>x</p>';</script>two <!-- c -->three</p></article>",
+             "<article><p>one</p><script>x</script><p>two</p></article>", "<article><p>one <svg", "<article><p>one <svg>two"]
+    assert _extracted(spark, pages) == {0: "one two\nthree four", 1: "one\ntwo", 2: "one two three", 3: "one\ntwo", 4: "one <svg", 5: "one"}
+
+
 def test_pipeline(spark, tmp_path, whole):
     import corpus_pipeline
 

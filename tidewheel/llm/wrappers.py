@@ -56,7 +56,7 @@ REPLIES = frozenset("comment comments commentlist disqus replies reply respond r
 WHOLE = frozenset("article main story content post entry hentry".split())  # with one of these, parts of other class names do not count
 WITHOUT = frozenset("has no with without".split())  # what follows is about other elements
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!svg\b[^>]*/>)(?P<raw>" + RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -111,12 +111,10 @@ class Page:
                 self._text(source[last : m.start()], stack, links, block)
             last = m.end()
             name = m["name"]
-            if name is None:
-                if m["raw"] is not None:
-                    block += m["raw"].lower() not in INLINE
+            if name is None:  # a comment or an element without texts: inside a block it parts nothing
                 continue
             name = name.lower()
-            if name not in INLINE:
+            if name not in INLINE and name != "svg":  # one that closes itself: an icon
                 block += 1
             if m["end"]:
                 for k in range(len(stack) - 1, -1, -1):
