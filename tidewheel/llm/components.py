@@ -9,23 +9,32 @@ from tidewheel.llm import shared
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a long, b long); the label is the least node of its component.
 
-    Each round a node takes the least label among itself and its neighbours, then its label's
-    label, so chains halve; star-shaped input ends after two or three rounds.  Every round is a
-    written table, so lost executors cost one round at most.  Only a count reaches the driver.
+    Each round a node goes to the least of itself and its neighbours, by a hash of node and round, and
+    the edges are drawn anew between where their ends went: nodes and edges shrink by a constant
+    share a round, chains and stars alike, so all rounds together join a few times the edges.  Going back, the rounds' steps
+    are put together.  Every round is a written table, so lost executors cost one round at most.  Only a count reaches the driver.
     """
-    spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = shared.materialise(both, "edges")
-    labels = shared.materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
-        jump = new.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        new = new.join(jump, "to").select("node", F.least("to", "far").alias("label"), "old")
-        new = shared.materialise(new, "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        shared.drop_table(labels)
-        labels = new
-        if not changed:
-            shared.drop_table(both)
-            return labels.select("node", "label")
+    left = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = shared.materialise(left, "edges")
+    steps = []
+    while not steps or left.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("h"), F.col(c).alias("v"))
+        both = left.select("a", rank("b").alias("r")).union(left.select("b", rank("a").alias("r"))).groupBy("a").agg(F.min("r").alias("r"))
+        step = shared.materialise(both.select(F.col("a").alias("node"), F.least("r", rank("a"))["v"].alias("to")), "steps")
+        drawn = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        drawn = drawn.join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+        drawn = shared.materialise(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        shared.drop_table(left)
+        left = drawn
+        steps.append(step)
+    shared.drop_table(left)
+    ends = steps[-1]
+    for step in reversed(steps[:-1]):
+        ends = step.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    ends = shared.materialise(ends, "ends")
+    for step in steps:
+        shared.drop_table(step)
+    named = ends.groupBy("to").agg(F.min("node").alias("label"))
+    labels = shared.materialise(ends.join(named, "to").select("node", "label"), "labels")
+    shared.drop_table(ends)
+    return labels

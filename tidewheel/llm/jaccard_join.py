@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest, completed by an exact prefix index, with exact verification.
 
 1. Texts are grouped by digest; everything else works on distinct texts ("nodes").
 2. A node's set of word shingles gives ``TREES * DEPTH`` minima; each tree's minima, in order, are
@@ -11,12 +11,16 @@
 3. A meeting whose one-byte sketches put the similarity far below the bound is dropped, and the
    node meets its neighbours in that tree's sorted trie instead, those of the longest common
    prefixes.  What is left makes groups (connected components), so no pair of a group is spelled out.
-4. Within a group all pairs are verified exactly.  Each text is shuffled once, to its block of the group,
+4. What the forest did not bring together is completed exactly.  Shingles have one order for all nodes (commonest last,
+   then by hash); two sets of size n and m at ``least`` or more share one of their first n - ceil(least * n) + 1 and
+   m - ceil(least * m) + 1 shingles.  Nodes of different groups that meet there, and that neither sizes, places nor parity
+   bitmaps rule out (all three bounds hold for every link), join their groups: no link is left between two groups.
+5. Within a group all pairs are verified exactly.  Each text is shuffled once, to its block of the group,
    where its shingle set becomes the difference from that of the group's first node; only differences meet:
    |A & B| = |R| - |R - A| - |R - B| + |(A ^ R) & (B ^ R)|.  A group of m nodes has about sqrt(m) / ``SPREAD``
    blocks, so a difference is copied as often.  Blocks report each node's number of links and one
    tree edge per node.
-5. Components of the verified edges are the classes.
+6. Components of the verified edges are the classes.
 
 Documents of fewer than ``words`` words have one shingle, all their words.  Texts without words
 have no shingle and only equal texts as partners.  Null texts count as empty, repeated rows as
@@ -43,6 +47,8 @@ SPREAD = 6
 BLOCK_BYTES = 1 << 26  # of texts, whose differences one block holds
 TILE = 1024
 HOT, FEW = 1 << 16, 100_000
+COMMON, MOST_COMMON = 16, 200_000  # repeats that make a shingle common, and how many of these are told to every task
+RUN = 1024
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -97,26 +103,83 @@ def paths(sig: np.ndarray, least_depth: int) -> np.ndarray:
     return np.stack(out, axis=2)
 
 
-def nodes(docs: DataFrame, words: int, least_depth: int) -> DataFrame:
-    """Distinct texts: (nid, key, doc_id, copies, bytes, sketch, labels); labels and sketch are null without shingles."""
+def common(docs: DataFrame, words: int) -> np.ndarray:
+    """The commonest shingles, sorted by hash: they come last in the order of prefixes, which decides its cost and not its result.
+
+    Counted are repeats within a task's texts, of all texts.
+    """
     shared.prepare(docs.sparkSession)
 
+    def count(batches):
+        def told(held):
+            sh, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(sh[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["sh", "n"])
+
+        held, size = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for _, _, raw, offs in tx.chunks(batch.column(0)):
+                held.append(shingles(raw, offs, words)[0])
+                size += len(held[-1])
+            if size > 1 << 22:
+                yield told(held)
+                held, size = held[:1], 0
+        yield told(held)
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "sh long, n long")
+    top = rows.groupBy("sh").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "sh").limit(MOST_COMMON)
+    return np.sort(top.select("sh").toArrow()["sh"].to_numpy().view(np.uint64))
+
+
+def prefixes(sh: np.ndarray, at: np.ndarray, last: np.ndarray, least: float) -> tuple[list, list, list]:
+    """(set size, first shingles in the common order, parity bitmap) of every document; ``last`` are the sorted common ones."""
+    n = len(at) - 1
+    who = np.repeat(np.arange(n), np.diff(at))
+    rank = np.zeros(len(sh), bool)
+    if len(last):
+        rank = last[np.minimum(np.searchsorted(last, sh), len(last) - 1)] == sh
+    order = np.lexsort((sh, rank, who))
+    sh, who = sh[order], who[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (who[1:] != who[:-1])
+    sh, who = sh[new], who[new]
+    to = np.searchsorted(who, np.arange(n + 1))
+    sizes, first, bits = np.diff(to).tolist(), [], []
+    for i, size in enumerate(sizes):
+        own = sh[to[i] : to[i + 1]]
+        first.append(own[: size - int(np.ceil(least * size - 1e-9)) + 1].tobytes() if size else None)
+        width = 256
+        while width < 4 * size:
+            width *= 2
+        odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+        bits.append(np.packbits(odd.astype(np.uint8)).tobytes() if size else None)
+    return sizes, first, bits
+
+
+def nodes(docs: DataFrame, words: int, least_depth: int, least: float = 0.8) -> DataFrame:
+    """Distinct texts: (nid, key, doc_id, copies, bytes, sketch, labels, size, first, bits); all but size are null without shingles."""
+    shared.prepare(docs.sparkSession)
+    last = docs.sparkSession.sparkContext.broadcast(common(docs, words))  # 200,000 numbers at most
+
     def look(batches):
         for batch in batches:
-            sketch, label = [], []
+            sketch, label, size, first, bits = [], [], [], [], []
             for _, _, raw, offs in tx.chunks(batch.column(2)):
                 sh, at = shingles(raw, offs, words)
+                for out, own in zip((size, first, bits), prefixes(sh, at, last.value, least)):
+                    out += own
                 sig = signatures(sh, at)
                 p = paths(sig, least_depth)
                 some = np.diff(at) > 0
                 low = (sig & 255).astype(np.uint8)
                 sketch += [low[i].tobytes() if some[i] else None for i in range(len(some))]
                 label += [p[i].tobytes() if some[i] else None for i in range(len(some))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sketch, pa.binary()), pa.array(label, pa.binary())], names=["doc_id", "key", "bytes", "sketch", "labels"])
+            cols = [pa.array(sketch, pa.binary()), pa.array(label, pa.binary()), pa.array(size, pa.int64()), pa.array(first, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *cols], names=["doc_id", "key", "bytes", *held])
 
     rows = keyed(docs).select("doc_id", "key", "text", F.octet_length("text").cast("long").alias("bytes"))
-    rows = rows.mapInArrow(look, "doc_id long, key binary, bytes long, sketch binary, labels binary")
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch"), F.first("labels").alias("labels"))
+    held = ["sketch", "labels", "size", "first", "bits"]
+    rows = rows.mapInArrow(look, "doc_id long, key binary, bytes long, sketch binary, labels binary, size long, first binary, bits binary")
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), *[F.first(c).alias(c) for c in held])
     return shared.materialise(one.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
 
@@ -264,6 +327,109 @@ def likely(node: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(keep, "a long, b long")
 
 
+class _Runs:
+    """Goes through rows (shingle, size, nid, cluster, place) sorted in this order and pairs nodes of different clusters.
+
+    Held is one shingle's rows of sizes that still matter: at least ``least`` times the size at hand.
+    """
+
+    def __init__(self, least: float):
+        self.least = least
+        self.last = np.zeros((0, 5), np.int64)  # a run that may go on
+        self.paired = 0  # how many of its rows have been paired with each other
+
+    def step(self, rows: np.ndarray):
+        """Yields (n x 2) pairs, the smaller nid first; pass no rows at the end."""
+        old = len(self.last)
+        end = not len(rows)
+        rows = np.concatenate([self.last, rows])
+        if not len(rows):
+            return
+        start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        stop = np.append(start[1:], len(rows))
+        for s, e in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist()):
+            own = rows[s:e]
+            if e <= old or (own[:, 3] == own[0, 3]).all():
+                continue
+            yield from self._pairs(own, self.paired if s == 0 else 0)
+        s = start[-1]
+        self.paired = 0
+        self.last = rows[:0]
+        if not end:
+            own = rows[s:]
+            self.last = own[own[:, 1] >= self.least * own[-1, 1] - 1e-6]
+            if not (self.last[:, 3] == self.last[0, 3]).all():
+                self.paired = len(self.last)
+
+    def _pairs(self, own: np.ndarray, paired: int):
+        size, nid, cluster, place = own[:, 1:].T
+        for i in range(paired, len(own), RUN):
+            me = slice(i, min(i + RUN, len(own)))
+            low = int(np.searchsorted(size, self.least * size[i] - 1e-6))
+            for j in range(low, me.stop, RUN):
+                to = slice(j, min(j + RUN, me.stop))
+                total = size[me, None] + size[None, to]
+                most = np.minimum((size - place)[me, None], (size - place)[None, to])
+                ok = (cluster[me, None] != cluster[None, to]) & (size[None, to] >= self.least * size[me, None] - 1e-6)
+                ok &= (most >= self.least / (1 + self.least) * total - 1e-6) & (np.arange(to.start, to.stop)[None] < np.arange(me.start, me.stop)[:, None])
+                x, y = np.nonzero(ok)
+                if len(x):
+                    both = np.stack([nid[me][x], nid[to][y]], axis=1)
+                    yield np.sort(both, axis=1)
+
+
+def unmet(node: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b) of nodes in different groups, every link between groups among them: prefixes that meet, within the bounds of sizes, places and bitmaps."""
+    spark = node.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = node.filter("size > 0").select("nid", "size", "first").join(groups.select(F.col("node").alias("nid"), "label"), "nid", "left")
+    placed = placed.select("nid", F.coalesce("label", "nid").alias("cluster"), "size", "first")
+
+    def deal(batches):
+        for batch in batches:
+            first = batch.column(3).to_pylist()
+            count = np.array([len(f) // 8 for f in first], np.int64)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            cols = [np.frombuffer(b"".join(first), np.int64), *(np.repeat(batch.column(i).to_numpy(), count) for i in (1, 0, 2)), place]
+            sh, cluster, nid, size, place = cols
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (sh, size, nid, cluster, place)], names=names)
+
+    names = ["sh", "size", "nid", "cluster", "place"]
+    rows = placed.mapInArrow(deal, ", ".join(f"{c} long" for c in names)).repartition(n, "sh").sortWithinPartitions("sh", "size", "nid")
+
+    def meet(batches):
+        def batch_of(p):
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        runs = _Runs(least)
+        for batch in batches:
+            yield from map(batch_of, runs.step(np.stack([c.to_numpy() for c in batch.columns], axis=1)))
+        yield from map(batch_of, runs.step(np.zeros((0, 5), np.int64)))
+
+    pairs = rows.mapInArrow(meet, "a long, b long").distinct()
+    own = node.filter("size > 0").select("nid", "size", "bits")
+    pairs = pairs.join(own.select(F.col("nid").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x")), "a")
+    pairs = pairs.join(own.select(F.col("nid").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y")), "b").select("a", "b", "n", "m", "x", "y")
+
+    def keep(batches):
+        for batch in batches:
+            most = (1 - least) / (1 + least) * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-6
+            apart = [differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return shared.materialise(pairs.mapInArrow(keep, "a long, b long"), "unmet")
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, at most the size of the sets' difference; the wider one is folded."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sorted sets, all of ``a`` with all of ``b``, by products of incidence matrices."""
     out = np.zeros((len(a), len(b)), np.float32)
@@ -418,9 +584,13 @@ def verified(docs: DataFrame, node: DataFrame, groups: DataFrame, words: int, le
 def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per distinct text: key, doc_id (its least), label (its class), class_id, n_links, n_copies."""
     depth = depth_for(least)
-    node = nodes(docs, words, depth)
+    node = nodes(docs, words, depth, least)
     met = meetings(node, depth, least)
     groups = components(met)
+    more = unmet(node, groups, least)
+    if more.limit(1).count():
+        first, groups = groups, components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        shared.drop_table(first)
     proof = shared.materialise(verified(docs, node, groups, words, least), "links")
     links = proof.groupBy("nid").agg(F.sum("links").alias("n_links"))
     found = components(proof.select(F.col("nid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "nid")
@@ -428,7 +598,7 @@ def classes(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     placed = placed.select("key", "doc_id", F.coalesce("label", "nid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = shared.materialise(placed.join(named, "label"), "classes")
-    for t in (met, groups, proof, found, node):
+    for t in (met, more, groups, proof, found, node):
         shared.drop_table(t)
     return out
 
