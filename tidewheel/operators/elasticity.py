@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.operators import stats
+from tidewheel.session import cut
 
 NAMED = ("Commuter core (fills AM, drains PM)", "Residential feeder (drains AM, fills PM)", "Mixed/flat rhythm", "Flat (no rhythm)")
 WEATHER = "temp_elasticity double, temp_low double, temp_high double, precip_elasticity double, precip_low double, precip_high double"
@@ -47,8 +48,8 @@ def elasticities(roster: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFr
     or the station no capacity.  ``rank_correlation`` is between the stations' capacities and these, ``ceiling`` whether it
     shows that capacity bounds the flow.  The types are four, so their curves are fitted one by one.
     """
-    roster = roster.filter(F.col("cluster_name").isin(*NAMED))
-    rows = panel.join(roster.select("station_id", "cluster_name"), "station_id")
+    roster = cut(roster.filter(F.col("cluster_name").isin(*NAMED)))  # some thirty fits and counts read these
+    rows = cut(panel.join(roster.select("station_id", "cluster_name"), "station_id"))
     fits = stats.regress2(rows, "magnitude", "temp_mean_c", "precip_mm", "station_id")
     station = _weather(fits.join(roster.select("station_id", F.col("magnitude").alias("m")), "station_id"), "station_id", F.col("n"), F.col("m"))
     counts = rows.groupBy("station_id").agg(F.count("*").alias("n_obs"))
@@ -63,7 +64,7 @@ def elasticities(roster: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFr
                 cells = [F.when(here, new).otherwise(old) for new, old in zip(_at(curve, capacity, magnitude), cells)]
         return {f"capacity_{c}": v for c, v in zip(("elasticity", "low", "high"), cells)}
 
-    station = station.withColumns(placed(F.col("capacity").cast("double"), F.col("magnitude")))
+    station = cut(station.withColumns(placed(F.col("capacity").cast("double"), F.col("magnitude"))))
     known = (F.col("capacity") > 0) & F.col("throughput").isNotNull()
     group = roster.groupBy("cluster_name").agg(
         F.count("*").alias("n_stations"), F.count_if(known).alias("n_stations_with_capacity"), F.avg("magnitude").alias("m"), F.avg(F.when(known, F.col("capacity").cast("double"))).alias("c"),
