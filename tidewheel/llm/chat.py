@@ -1,12 +1,12 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context, only
-that reply is trainable.  Spelling every context out would take space with the square of a
-conversation's length, so the output is two tables: ``turns`` holds each rendered turn once
-(``segment``, with the characters of the conversation before it), and ``examples`` one row per
-assistant turn: its context is the conversation's first ``context_chars`` characters, that is the
-segments of positions 1 to ``position - 1``; the trainable span is ``loss_start`` to ``loss_end`` in the
-example's own text, context and target together.  :func:`spell_out` puts texts in place of both.
+that reply is trainable.  The output is two tables.  ``turns`` holds each rendered turn once
+(``segment``, with the characters of the conversation before it).  The second one has a row per assistant turn with
+the example's whole ``text``, context before target (:func:`spell_out`), and ``loss_start`` to ``loss_end``, the
+trainable span in it; losses are read from these texts.  Spelled-out contexts take space with the square of a conversation's
+turns, as the method does; they are made row by row, so a task holds one conversation and one example.
+:func:`examples` gives the spans alone.
 
 Template of a turn: ``<s>[INST role]``, line feed, text, ``[/INST]</s>``, line feed.  Inside
 texts and roles a backslash is doubled, and the first character of anything that reads as a
@@ -66,21 +66,20 @@ def examples(formatted: DataFrame) -> DataFrame:
 
 def spell_out(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
     """(conv_id, position, text, loss_start, loss_end): each example's whole text, its context before its target."""
-    past = formatted.select(F.col("conv_id").alias("conv"), F.col("position").alias("at"), "segment")
-    joined = expanded.join(past, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("at") <= F.col("position")))
-    parts = F.array_sort(F.collect_list(F.struct("at", "segment")))
-    text = F.array_join(F.transform(parts, lambda s: s["segment"]), "")
-    return joined.groupBy("conv_id", "position", "loss_start", "loss_end").agg(text.alias("text")).select("conv_id", "position", "text", "loss_start", "loss_end")
+    whole = formatted.groupBy(F.col("conv_id").alias("conv")).agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("at"), "segment"))).alias("turns"))
+    joined = expanded.join(whole, F.col("conv_id").eqNullSafe(F.col("conv")))
+    text = F.array_join(F.slice(F.col("turns")["segment"], F.lit(1), F.col("position").cast("int")), "")
+    return joined.select("conv_id", "position", text.alias("text"), "loss_start", "loss_end")
 
 
 def read_back(formatted: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Digests per conversation: turns from the segments, the loss text from the examples and the segments their spans lie in."""
+    """Digests per conversation: turns from the segments, the loss text from the spelled-out examples."""
     said = F.expr("substring(segment, cast(text_start + 1 as int), cast(text_chars as int))")
     role = unescape(F.expr("substring(segment, 10, cast(text_start - 11 as int))"))
-    spans = expanded.select(F.col("conv_id").alias("conv"), F.col("position").alias("at"), F.col("context_chars").alias("skip"), "loss_start", "loss_end")
-    rows = formatted.join(spans, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("position") == F.col("at")), "left")
-    learnt = unescape(F.expr("substring(segment, cast(loss_start - skip + 1 as int), cast(loss_end - loss_start as int))"))
-    turns = rows.select("conv_id", F.struct("position", role.alias("role"), unescape(said).alias("text"), F.coalesce(learnt, F.lit("")).alias("loss")).alias("t"),
+    learnt = unescape(F.expr("substring(text, cast(loss_start + 1 as int), cast(loss_end - loss_start as int))"))
+    learnt = expanded.select(F.col("conv_id").alias("conv"), F.col("position").alias("at"), learnt.alias("loss"))
+    rows = formatted.join(learnt, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("position") == F.col("at")), "left")
+    turns = rows.select("conv_id", F.struct("position", role.alias("role"), unescape(said).alias("text"), F.coalesce("loss", F.lit("")).alias("loss")).alias("t"),
                         F.length("segment").cast("long").alias("chars"), F.col("at").isNotNull().alias("example"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_turns"), F.count_if("example").alias("n_examples"))
     said = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -98,6 +97,6 @@ def added_turns(spark: SparkSession) -> DataFrame:
 
 
 def format_and_read(turns: DataFrame) -> DataFrame:
-    """Write turns and examples to the shared folder and derive the digests from what was written."""
+    """Write turns and spelled-out examples to the shared folder and derive the digests from what was written."""
     formatted = shared.materialise(format_chat(turns), "chat-turns")
-    return read_back(formatted, shared.materialise(examples(formatted), "chat-examples"))
+    return read_back(formatted, shared.materialise(spell_out(formatted, examples(formatted)), "chat-examples"))
