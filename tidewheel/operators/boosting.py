@@ -4,8 +4,9 @@ Features become bin numbers of one byte (at most 255 bins, the last number for m
 bytes that stay cached where they are.  A pass over the blocks adds up gradients, hessians and counts by (model, node, feature, bin);
 partial sums of a task are shuffled by (model, node) and the reducer answers with the node's best split, so the driver sees
 some hundred bytes a node and never a row.  Trees grow best-first, as far as ``max_leaf_nodes`` goes: a pass serves every
-node that could still be reached, so that a tree takes about as many passes as it is deep.  Several models (settings, targets)
-grow in the same passes.  Passes are RDD jobs over the cached blocks: as DataFrame plans, hundreds of small jobs took 0.3 s
+node that could still be reached.  A node of at most ``SMALL`` rows is not asked level by level: its rows (bin numbers, gradient, hessian) are shuffled to
+one reducer, which answers with the splits of everything below it, so a tree takes as many passes as its large nodes are deep, and one.
+Several models (settings, targets) grow in the same passes.  Passes are RDD jobs over the cached blocks: as DataFrame plans, hundreds of small jobs took 0.3 s
 each on this box, most of it planning.
 
 A split sends a set of bins to the left: a numeric one all up to a bin, with missing values on the side that gains more; a categorical one
@@ -36,6 +37,7 @@ FEW_ROWS, MANY_ROWS = 16_384, 500_000  # of a task: less is not worth one, more
 LEAST_CATEGORY = 10
 LEAST_HESSIAN = 1e-3
 KEPT_ROUNDS = 16  # rounds between written states
+SMALL = MANY_ROWS  # rows of a node whose subtree is grown by one reducer, no more than a task holds anyway (27 bytes a row with 11 features)
 
 
 @dataclass(frozen=True)
@@ -133,6 +135,12 @@ class Tree:
     value: np.ndarray
     depth: int
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"goes_left": np.packbits(self.goes_left, axis=1)}  # plans hold the trees of some rounds
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, goes_left=np.unpackbits(state["goes_left"], axis=1).astype(bool))
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf number of each row of ``x`` (features x rows)."""
         at, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
@@ -229,40 +237,95 @@ class Grower:
 
 def best_split(hist: np.ndarray, categorical: int, least_rows: int, l2: float) -> Node:
     """The best split of a node from its sums ``hist`` (features x bins x (gradient, hessian, rows)); features from ``categorical`` on are classes."""
-    g, h, n = (float(v) for v in hist[0].sum(axis=0))
+    total = hist[0].sum(axis=0)
+    g, h, n = (float(v) for v in total)
     node = Node(g, h, n, 0.0)
-    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2 + 1e-15)
-    total = np.array([g, h, n])
+    if n < 2 * least_rows:
+        return node
+    base = g * g / (h + l2 + 1e-15)
+
+    def gains(left: np.ndarray) -> np.ndarray:
+        """Gains of sums to the left, -inf where a side is too small."""
+        right = total - left
+        ok = (np.minimum(left[..., 2], right[..., 2]) >= least_rows) & (np.minimum(left[..., 1], right[..., 1]) >= LEAST_HESSIAN)
+        found = left[..., 0] ** 2 / (left[..., 1] + l2 + 1e-15) + right[..., 0] ** 2 / (right[..., 1] + l2 + 1e-15) - base
+        return np.where(ok, found, -np.inf)
+
+    upto = np.cumsum(hist[:categorical, :MISSING], axis=1)
+    tries = {(f, False): v for f, v in enumerate(gains(upto))}
+    gaps = [f for f in range(categorical) if hist[f, MISSING, 2]]
+    with_gap = upto[gaps] + hist[gaps, MISSING][:, None]
+    tries |= {(f, True): v for f, v in zip(gaps, gains(with_gap))}
     for f, bins in enumerate(hist):
         gap = bins[MISSING]
-        if f < categorical:
-            last = int(np.flatnonzero(bins[:MISSING, 2]).max(initial=0))
-            order = np.arange(MISSING)
-            sums = np.cumsum(bins[:MISSING], axis=0)[:last]
-            tries = [(sums, False)] + ([(np.cumsum(bins[:MISSING], axis=0)[: last + 1], False), (sums + gap, True)] if gap[2] else [])
-        else:
+        if f >= categorical:
             some = np.flatnonzero(bins[:, 2] >= LEAST_CATEGORY)
             order = some[np.argsort(bins[some, 0] / (bins[some, 1] + LEAST_CATEGORY), kind="stable")]
-            tries = [(np.cumsum(bins[order], axis=0), None)]
-        for left, with_gap in tries:
-            right = total - left
-            ok = (left[:, 2] >= least_rows) & (right[:, 2] >= least_rows) & (left[:, 1] >= LEAST_HESSIAN) & (right[:, 1] >= LEAST_HESSIAN)
-            if not ok.any():
+            classes = np.cumsum(bins[order], axis=0)
+            tries[f, False] = gains(classes)
+        for missing_left in (False, True):
+            gain = tries.get((f, missing_left))
+            if gain is None or not len(gain):
                 continue
-            gain = np.where(ok, score(left) + score(right) - g * g / (h + l2 + 1e-15), -np.inf)
             i = int(gain.argmax())
             if gain[i] > node.gain + 1e-12 * abs(node.gain) and gain[i] > 1e-12:
                 mask = np.zeros(BINS, bool)
-                mask[order[: i + 1]] = True
+                if f < categorical:
+                    mask[: i + 1] = True
+                    left = with_gap[gaps.index(f), i] if missing_left else upto[f, i]
+                else:
+                    mask[order[: i + 1]] = True
+                    left = classes[i]
                 if gap[2] == 0:
-                    unseen = np.flatnonzero(bins[:, 2] == 0) if with_gap is None else np.array([MISSING])
-                    mask[unseen] = left[i, 2] > right[i, 2]  # with the larger side
-                elif with_gap is not None:
-                    mask[MISSING] = with_gap
-                node = Node(g, h, n, float(gain[i]), f, mask, tuple(float(v) for v in left[i]))
+                    unseen = np.flatnonzero(bins[:, 2] == 0) if f >= categorical else np.array([MISSING])
+                    mask[unseen] = left[2] > n - left[2]  # with the larger side
+                elif f < categorical:
+                    mask[MISSING] = missing_left
+                node = Node(g, h, n, float(gain[i]), f, mask, tuple(float(v) for v in left))
     return node
 
 
+def _sums(at: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, slot=0) -> np.ndarray:
+    """(features x slots x bins x (gradient, hessian, rows)) of rows with bins ``at`` (features x rows) in the slots ``slot``."""
+    size = slots * BINS
+    out = np.empty((len(at), size, 3))
+    for f, own in enumerate(at):
+        own = own.astype(np.intp) + slot * BINS if slots > 1 else own.astype(np.intp)
+        out[f, :, 0], out[f, :, 1], out[f, :, 2] = np.bincount(own, g, size), np.bincount(own, h, size), np.bincount(own, minlength=size)
+    return out.reshape(len(at), slots, BINS, 3)
+
+
+def subtree(path: str, x: np.ndarray, g: np.ndarray, h: np.ndarray, categorical: int, s: Setting) -> list[tuple[str, Node]]:
+    """(path, answer) of the node ``path`` and of those below it that a best-first tree could reach, parents first.
+
+    What a tree takes below a node is the start of the node's own best-first order, at most one split less for each node above.
+    The sums of a larger child are its parent's less the smaller one's; bins without rows are 0 then too.
+    """
+    found, heap, splits = [], [], s.max_leaf_nodes - 1 - len(path)
+
+    def offer(p: str, rows: np.ndarray, hist: np.ndarray) -> None:
+        node = best_split(hist, categorical, s.min_samples_leaf, s.l2)
+        found.append((p, node))
+        if node.gain:
+            heapq.heappush(heap, (-node.gain, p, rows, node, hist))
+
+    offer(path, np.arange(len(g)), _sums(x, g, h, 1)[:, 0])
+    while heap and splits > 0:
+        _, p, rows, node, hist = heapq.heappop(heap)
+        splits -= 1
+        if splits and len(rows) >= 2 * s.min_samples_leaf and (s.max_depth is None or len(p) + 1 < s.max_depth):
+            goes = node.left[x[node.feature][rows]]
+            few, many = sorted(((p + "L", rows[goes]), (p + "R", rows[~goes])), key=lambda c: len(c[1]))
+            if len(many[1]) >= 2 * s.min_samples_leaf:
+                own = _sums(x[:, few[1]], g[few[1]], h[few[1]], 1)[:, 0]
+                rest = hist - own
+                rest[rest[..., 2] == 0] = 0
+                for c, sums in sorted([(few, own), (many, rest)], key=lambda c: c[0][0]):
+                    if len(c[1]) >= 2 * s.min_samples_leaf:
+                        offer(*c, sums)
+    return found
+
+
 # --- blocks and passes ---------------------------------------------------------------------------------------------------------
 
 _STATE = "x binary, y binary, part binary, raw binary"
@@ -365,28 +428,55 @@ class Boost:
         tasks = max(min(n // FEW_ROWS, self.spark.sparkContext.defaultParallelism), n // MANY_ROWS, 1)
         self.rows = cut(_blocks(train.repartition(tasks), self.bins, targets, F.lit(False) if recent is None else recent, F.lit(False) if aside is None else aside)).rdd.map(tuple)
 
-    def _summed(self, state, run, parts: int) -> list[tuple]:
-        """(model, node, sums, split) of tasks' sums, added up by (model, node); ``run`` gives the sums of a block."""
-        categorical = len(self.bins.numeric)
+    def _summed(self, state, run, jobs: list[Job], weights: dict[tuple, float]) -> list[tuple]:
+        """(model, node, answer): tasks' sums added up by (model, node), or splits; ``run`` gives what a block adds.
+
+        ``weights`` has the keys (model, node) with their rows: they are dealt to the reducers by these.  Nodes are 'n' and a path where sums
+        come, 'r' and a path where rows do.
+        """
+        categorical, features, keep = len(self.bins.numeric), len(self.bins.columns), self._keep()
+        load = [0.0] * max(1, min(len(weights), max(self.spark.sparkContext.defaultParallelism, int(sum(weights.values()) // MANY_ROWS))))
+        place = {}
+        for key, rows in sorted(weights.items(), key=lambda kv: (-kv[1], kv[0])):
+            place[key] = load.index(min(load))
+            load[place[key]] += rows + 1
 
         def tasks(number, blocks):
             total = {}
-            for block in blocks:
+            for i, block in enumerate(blocks):
                 for key, v in run(block):
-                    total[key] = total[key] + v if key in total else v
-            return [(key, [(number, v)]) for key, v in total.items()]
+                    if key[1][0] == "r":
+                        total.setdefault(key, []).append((number, i, v))
+                    elif key in total:
+                        total[key] = [(number, 0, total[key][0][2] + v)]
+                    else:
+                        total[key] = [(number, 0, v)]
+            return list(total.items())
 
         def answer(pair):
-            (model, node, least, l2), sums = pair[0], sum(v for _, v in sorted(pair[1], key=lambda p: p[0]))
-            return model, node, sums if node[0] != "n" else best_split(sums.reshape(-1, BINS, 3), categorical, least, l2)
-
-        # at most a task's sums for each of these keys meet in a list; equal order of addition, so equal sums in every run
-        return state.mapPartitionsWithIndex(tasks).reduceByKey(lambda a, b: _few(a + b), parts).map(answer).collect()  # some hundred bytes for each node asked about
+            (model, node), parts = pair[0], [v for *_, v in sorted(pair[1], key=lambda p: p[:2])]
+            if node[0] == "r":
+                x, g, h = (np.concatenate(c, axis=-1) for c in zip(*parts))
+                return model, node, subtree(node[1:], x, g, h, categorical, jobs[model].setting)
+            if node[0] == "n":
+                hist = np.zeros((features * BINS, 3))
+                hist[keep] = sum(parts)
+                return model, node, [(node[1:], best_split(hist.reshape(features, BINS, 3), categorical, jobs[model].setting.min_samples_leaf, jobs[model].setting.l2))]
+            return model, node, sum(parts)
+
+        # at most a task's sums for each of these keys meet in a list, or SMALL rows; equal order of addition, so equal sums in every run
+        met = state.mapPartitionsWithIndex(tasks).reduceByKey(lambda a, b: _few(a + b), len(load), lambda key: place.get(key, 0))
+        return met.map(answer).collect()  # some hundred bytes for each node asked about
+
+    def _keep(self) -> np.ndarray:
+        """Places, among features x BINS, of the bins that rows can have."""
+        used = [len(v) + (not self.bins.categorical(f)) for f, v in enumerate([*self.bins.numeric.values(), *self.bins.classes.values()])]
+        return np.concatenate([f * BINS + np.append(np.arange(min(n, MISSING)), MISSING) for f, n in enumerate(used)])
 
     def fit(self, jobs: list[Job]) -> tuple[list[Model], list[float | None]]:
         """Models of all jobs and their mean absolute errors on the recent rows (None without such rows)."""
         k, t, m = len(self.bins.columns), len(self.targets), len(jobs)
-        parts = min(self.spark.sparkContext.defaultParallelism, m + 1)
+        one = lambda kind: {(j, kind): 1 for j in range(m)}
 
         def counts(r):
             _, y, flags, _ = _open(r, k, t, m)
@@ -394,9 +484,9 @@ class Boost:
                 rows, recent = _used(job, False, flags, y[job.target])[0], (flags & RECENT) != 0
                 learnt = rows & ((flags & ASIDE) == 0)
                 own = y[job.target]
-                yield (j, "counts", 0, 0.0), np.array([rows.sum(), own[rows].sum(), learnt.sum(), own[learnt].sum(), (recent & ~np.isnan(own)).sum()], float)
+                yield (j, "counts"), np.array([rows.sum(), own[rows].sum(), learnt.sum(), own[learnt].sum(), (recent & ~np.isnan(own)).sum()], float)
 
-        known = {j: v for j, _, v in self._summed(self.rows, counts, parts)}
+        known = {j: v for j, _, v in self._summed(self.rows, counts, jobs, one("counts"))}
         known = [known.get(j, np.zeros(5)) for j in range(m)]
         stops = [c[0] > job.setting.stop_from and c[0] > c[2] > 0 for c, job in zip(known, jobs)]
         models = []
@@ -415,18 +505,22 @@ class Boost:
             if rounds and rounds % KEPT_ROUNDS == 0:
                 state.checkpoint()  # written by the pass below: lineage is this many rounds at most
             growers = {j: Grower(jobs[j].setting) for j in live}
+            learnt = {j: known[j][2 if stops[j] else 0] for j in live}
             ask, first, left_out = {j: [""] for j in live}, True, set()
             while ask:
-                plans = {}
+                plans, weights = {}, {(j, "loss"): 1 for j in live if first and stops[j]}
                 for j, paths in ask.items():
-                    known_splits = {p: v for p, v in growers[j].nodes.items() if v.gain}
-                    tree, order = _tree(known_splits, {})
-                    plans[j] = (tree, [paths.index(p) if p in paths else -1 for p in order], paths)
-                for j, node, found in self._summed(state, _histograms(jobs, stops, plans, k, t, m, first), parts):
+                    nodes = growers[j].nodes
+                    rows = {p: nodes[p].n if p in nodes else learnt[j] for p in paths}
+                    above = {p[:i]: (nodes[p[:i]].feature, nodes[p[:i]].left) for p in paths for i in range(len(p))}
+                    plans[j] = ({p: ("r" if n <= SMALL else "n") + p for p, n in rows.items()}, above)
+                    weights |= {(j, plans[j][0][p]): n if n <= SMALL else 0 for p, n in rows.items()}
+                for j, node, found in self._summed(state, _asked(jobs, stops, plans, k, t, m, first, self._keep()), jobs, weights):
                     if node == "loss":
                         losses[j].append(-found[0] / max(found[1], 1.0))
                     else:
-                        growers[j].tell(node[1:], found)
+                        for path, split in found:
+                            growers[j].tell(path, split)
                 if first:
                     left_out = {j for j in live if stops[j] and _settled(losses[j], jobs[j].setting)}
                 first = False
@@ -449,9 +543,9 @@ class Boost:
             for j, job in enumerate(jobs):
                 rows = ((flags & RECENT) != 0) & ~np.isnan(y[job.target])
                 mean = np.exp(raw[j][rows]) if job.loss == "poisson" else raw[j][rows]
-                yield (j, "error", 0, 0.0), np.array([np.abs(mean - y[job.target][rows]).sum(), rows.sum()], float)
+                yield (j, "error"), np.array([np.abs(mean - y[job.target][rows]).sum(), rows.sum()], float)
 
-        found = {j: v for j, _, v in self._summed(state, errors, parts)}
+        found = {j: v for j, _, v in self._summed(state, errors, jobs, one("error"))}
         if held is not None:
             held.unpersist()
         return models, [float(found[j][0] / found[j][1]) if j in found and found[j][1] else None for j in range(m)]
@@ -472,34 +566,47 @@ def _add(features: int, targets: int, models: int, start: list[float] | None, tr
 
 
 def _few(parts: list[tuple]) -> list[tuple]:
-    """Tasks' sums by number, neighbours added once there are many: memory of a key stays that of some sums."""
-    if len(parts) <= 64:
+    """Tasks' sums by number, neighbours added once there are many: memory of a key stays that of some sums.  Rows stay as they are."""
+    if len(parts) <= 64 or isinstance(parts[0][2], tuple):
         return parts
-    parts = sorted(parts, key=lambda p: p[0])
-    return [(parts[i][0], sum(v for _, v in parts[i : i + 8])) for i in range(0, len(parts), 8)]
-
-
-def _histograms(jobs: list[Job], stops: list[bool], plans: dict, features: int, targets: int, models: int, first: bool):
-    """A block's sums for the asked nodes of each model, and in a round's first pass its loss on the rows put aside."""
+    parts = sorted(parts, key=lambda p: p[:2])
+    return [(*parts[i][:2], sum(v for *_, v in parts[i : i + 8])) for i in range(0, len(parts), 8)]
+
+
+def _reached(x: np.ndarray, rows: np.ndarray, paths, above: dict) -> dict[str, np.ndarray]:
+    """Which of ``rows`` are in each node of ``paths``; ``above`` has (feature, bins that go left) of the nodes above them."""
+    out, open_ = {}, [("", rows)]
+    while open_:
+        p, own = open_.pop()
+        if p in paths:
+            out[p] = own
+        elif p in above:
+            feature, left = above[p]
+            goes = left[x[feature][own]]
+            open_ += [(p + "L", own[goes]), (p + "R", own[~goes])]
+    return out
+
+
+def _asked(jobs: list[Job], stops: list[bool], plans: dict, features: int, targets: int, models: int, first: bool, keep: np.ndarray):
+    """A block's sums for the large asked nodes of each model, its rows in the small ones, and in a round's first pass its loss on the rows put aside."""
     def run(r):
         x, y, flags, raw = _open(r, features, targets, models)
-        for j, (tree, slots, paths) in plans.items():
+        for j, (paths, above) in plans.items():
             job, own = jobs[j], y[jobs[j].target]
             used, aside = _used(job, stops[j], flags, own)
             if first and stops[j]:
-                yield (j, "loss", 0, 0.0), np.array([_loss(job.loss, raw[j][aside], own[aside]), aside.sum()], float)
-            slot = np.array(slots)[tree.leaves(x)]
-            rows = np.flatnonzero(used & (slot >= 0))
-            g, h = _derivatives(job.loss, raw[j][rows], own[rows])
-            base, size = slot[rows] * BINS, len(paths) * BINS
-            hist = np.empty((features, size, 3))
-            for f in range(features):
-                at = base + x[f][rows]
-                for i, w in enumerate((g, h, None)):
-                    hist[f, :, i] = np.bincount(at, w, size)
-            hist = hist.reshape(features, len(paths), BINS, 3)
-            for i, p in enumerate(paths):
-                yield (j, "n" + p, job.setting.min_samples_leaf, job.setting.l2), hist[:, i].reshape(-1)
+                yield (j, "loss"), np.array([_loss(job.loss, raw[j][aside], own[aside]), aside.sum()], float)
+            reached = {p: rows for p, rows in _reached(x, np.flatnonzero(used), paths, above).items() if len(rows)}
+            large = [p for p in reached if paths[p][0] == "n"]
+            for p in reached:
+                if paths[p][0] == "r":
+                    rows = reached[p]
+                    yield (j, paths[p]), (x[:, rows], *_derivatives(job.loss, raw[j][rows], own[rows]))
+            if large:
+                rows, slot = np.concatenate([reached[p] for p in large]), np.repeat(np.arange(len(large)), [len(reached[p]) for p in large])
+                sums = _sums(x[:, rows], *_derivatives(job.loss, raw[j][rows], own[rows]), len(large), slot)
+                for i, p in enumerate(large):
+                    yield (j, paths[p]), sums[:, i].reshape(-1, 3)[keep]
 
     return run
 

@@ -119,7 +119,7 @@ def gbm_many(train: DataFrame, targets: dict[str, bool], grid=GBM_GRID) -> dict[
     targets grow in the same passes over the rows.  Rows put aside to stop early are a tenth by a hash of their key.
     """
     names = list(targets)
-    split = split_recent(train.select(*dict.fromkeys([*ROW_KEYS, *GBM_NUMERIC, *GBM_CLASSES, *names])))
+    split = cut(split_recent(train.select(*dict.fromkeys([*ROW_KEYS, *GBM_NUMERIC, *GBM_CLASSES, *names]))))  # read once for each feature's bins, and for the blocks
     aside = F.pmod(F.xxhash64(*ROW_KEYS), F.lit(10)) == 0
     rows = boosting.Boost(split, GBM_NUMERIC, GBM_CLASSES, names, F.col("is_validation"), aside)
     loss = {t: "poisson" if counts else "squared" for t, counts in targets.items()}
