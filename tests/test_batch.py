@@ -86,3 +86,17 @@ def test_planned_but_not_opened(spark, tmp_path):
     assert batch.state(spark, path) == (0, False)
     assert batch.run(spark, path, records(spark, 0), [fallback]).count() == 0 and batch.state(spark, path) == (0, False)
     assert batch.run(spark, path, records(spark, 3), [fallback]).count() == 3 and batch.state(spark, path) == (1, False)
+
+
+def test_many_parts_share_tasks(spark, tmp_path):
+    """A task's fixed cost is not paid for each part; each part still is a file of its own."""
+    path, tracker = str(tmp_path / "b"), spark.sparkContext.statusTracker()
+    batch.plan(spark, path, records(spark, 100), rows_per_part=2)
+    spark.sparkContext.setJobGroup("many parts", "")
+    assert batch.work(spark, path, fallback) == 0
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many parts") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext._jsc.clearJobGroup()
+    assert max(s.numTasks for s in stages if s) <= batch.PARTS_AT_ONCE * spark.sparkContext.defaultParallelism < 50
+    files = glob.glob(f"{path}/00000001/results/part-*.parquet")
+    assert len(files) == 50 and sorted(os.path.basename(f)[:13] for f in files) == [f"part-{i:08d}" for i in range(50)]
+    assert batch.results(spark, path, 1).count() == 100

@@ -31,6 +31,7 @@ from tidewheel.sources.landing import arrow_fs
 
 STORED = "station_id string, text string, source string, facts_hash string, batch long"
 RESULT = "part int, custom_id string, text string, source string"
+PARTS_AT_ONCE = 4
 OPENED, CLOSED = "opened.json", "closed.json"
 
 
@@ -170,7 +171,8 @@ def work(spark: SparkSession, path: str, answer: Callable[[DataFrame], DataFrame
     """Answer what the open batch still waits for; returns how many requests are left then.
 
     ``answer`` takes requests and returns part, custom_id, text, source.  It works row by row or partition by partition (columns, ``mapInPandas``): a shuffle inside would
-    hold every answer back until all are there.  A part is one partition.
+    hold every answer back until all are there.  A part lies whole in one partition; a partition has the parts that follow one another, some
+    ``PARTS_AT_ONCE`` partitions a core at most, since each is a task and a Python worker's start.
     """
     number, is_open = state(spark, path)
     if not is_open:
@@ -179,7 +181,9 @@ def work(spark: SparkSession, path: str, answer: Callable[[DataFrame], DataFrame
     spark.dataSource.register(Results)
     folder = _folder(path, number)
     before = [int(n.split("-")[2]) for n in files.names(spark, f"{folder}/results") if n.startswith("part-")]
-    todo = pending(spark, path, number).repartitionById(_said(spark, folder, OPENED)["n_parts"], F.col("part"))
+    parts = _said(spark, folder, OPENED)["n_parts"]
+    tasks = min(parts, PARTS_AT_ONCE * spark.sparkContext.defaultParallelism)
+    todo = pending(spark, path, number).repartitionById(tasks, F.floor(F.col("part").cast("long") * tasks / parts).cast("int")).sortWithinPartitions("part")
     answered = answer(todo).filter("text IS NOT NULL").selectExpr("CAST(part AS INT) AS part", "custom_id", "text", "source")
     answered.write.format("batch_results").mode("append").option("folder", files.as_uri(f"{folder}/results")).option("round", max(before, default=0) + 1).save()
     return pending(spark, path, number).count()
