@@ -2,16 +2,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel import constants as C
 from tidewheel.functions import scalars as S
 from tidewheel.operators import flows
-from tidewheel.session import at_once
+from tidewheel.session import at_once, cut
 
 LOW_SIGNAL = -1
 UNSEEN = -2
-MOST_STATIONS = 100_000
+BLOCK = 1024  # stations of a block: two blocks and their distances are what a task holds
 
 
 def shape_matrix(curves: DataFrame, threshold: float = C.LOW_VOLUME) -> DataFrame:
@@ -23,34 +24,54 @@ def shape_matrix(curves: DataFrame, threshold: float = C.LOW_VOLUME) -> DataFram
 def silhouette(df: DataFrame, label: str = "label", vector: str = "shape") -> float | None:
     """Mean Euclidean silhouette.
 
-    Every vector is compared with every other, which the measure asks for: rows stay spread, and meet all vectors, in
-    blocks, in each task.  These are a network's stations, some thousands; more than ``MOST_STATIONS`` raise.
+    Every vector is compared with every other, which the measure asks for: blocks of ``BLOCK`` rows meet in pairs, a pair a row,
+    and each answers with its rows' summed distances to the clusters of the other.  So the work grows with the square
+    of the rows, and a task's memory does not; the driver sees cluster sizes.
     """
     rows = df.select(F.col(label).cast("long").alias("l"), F.col(vector).alias("v"))
-    known = rows.toPandas() if rows.count() <= MOST_STATIONS else None
-    if known is None:
-        raise ValueError(f"more than {MOST_STATIONS} stations")
-    labels, at = np.unique(known["l"], return_inverse=True)
-    vectors, size = np.array(known["v"].tolist(), float).reshape(len(known), -1), np.bincount(at, minlength=len(labels))
+    size = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each cluster
+    if not size:
+        return None
+    labels, sizes = np.array(sorted(size)), np.array([size[c] for c in sorted(size)])
 
-    def score(frames):
+    def pack(frames):
         for pdf in frames:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start : start + 256]
-                own = np.searchsorted(labels, part["l"])
-                far = np.sqrt(((np.array(part["v"].tolist(), float)[:, None] - vectors[None]) ** 2).sum(axis=2))
-                total = np.stack([far[:, at == c].sum(axis=1) for c in range(len(labels))], axis=1)
-                i = np.arange(len(part))
-                alone = size[own] == 1
-                a = total[i, own] / np.where(alone, 1, size[own] - 1)
-                mean = total / size
-                mean[i, own] = np.inf
-                b, s = mean.min(axis=1), np.zeros(len(part))
-                some = ~alone & np.isfinite(b) & (np.maximum(a, b) > 0)
-                s[some] = ((b - a) / np.maximum(a, b))[some]
-                yield part.assign(s=s)[["s"]]
-
-    return rows.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
+            for start in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[start : start + BLOCK]
+                yield pd.DataFrame({"l": [part["l"].to_numpy(np.int64).tobytes()], "v": [np.array(part["v"].tolist(), float).tobytes()]})
+
+    def opened(l: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(labels, np.frombuffer(l, np.int64))
+        return at, np.frombuffer(v, float).reshape(len(at), -1)
+
+    def distances(frames):
+        for pdf in frames:
+            for r in pdf.itertuples():
+                (own, x), (at, y) = opened(r.l, r.v), opened(r.l2, r.v2)
+                total = np.zeros((len(own), len(labels)))
+                for start in range(0, len(own), 64):
+                    far = np.sqrt(((x[start : start + 64, None] - y[None]) ** 2).sum(axis=2))
+                    for c in np.unique(at):
+                        total[start : start + 64, c] = far[:, at == c].sum(axis=1)
+                yield pd.DataFrame({"b": [r.b], "l": [r.l], "b2": [r.b2], "total": [total.tobytes()]})
+
+    def score(pdf):  # a block's sums from every other block
+        own = np.searchsorted(labels, np.frombuffer(pdf["l"].iloc[0], np.int64))
+        total = sum(np.frombuffer(t, float).reshape(len(own), -1) for t in pdf.sort_values("b2")["total"])
+        i, alone = np.arange(len(own)), sizes[own] == 1
+        a = total[i, own] / np.where(alone, 1, sizes[own] - 1)
+        mean = total / sizes
+        mean[i, own] = np.inf
+        b, s = mean.min(axis=1), np.zeros(len(own))
+        some = ~alone & np.isfinite(b) & (np.maximum(a, b) > 0)
+        s[some] = ((b - a) / np.maximum(a, b))[some]
+        return pd.DataFrame({"s": s})
+
+    blocks = cut(rows.mapInPandas(pack, "l binary, v binary").withColumn("b", F.monotonically_increasing_id()))
+    tasks = -(-(blocks.count() ** 2) // 32)  # some 32 pairs in a task
+    pairs = blocks.crossJoin(blocks.select(F.col("b").alias("b2"), F.col("l").alias("l2"), F.col("v").alias("v2"))).repartition(tasks, "b", "b2")
+    totals = pairs.mapInPandas(distances, "b long, l binary, b2 long, total binary")
+    return totals.groupBy("b").applyInPandas(score, "s double").agg(F.avg("s")).first()[0]
 
 
 def select_k(shapes: DataFrame, k_range=C.K_RANGE, restarts: int = C.RESTARTS):
@@ -58,9 +79,10 @@ def select_k(shapes: DataFrame, k_range=C.K_RANGE, restarts: int = C.RESTARTS):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = shapes.filter("shape IS NOT NULL").withColumn("features", array_to_vector("shape"))
+    rows = cut(shapes.filter("shape IS NOT NULL").withColumn("features", array_to_vector("shape")))  # the curves are computed once, for counting, fits and scores
     n, scores, models = rows.count(), {}, {}
-    rows = rows.coalesce(max(1, n // 4096)).persist()  # a fit is many passes over few rows
+    rows = rows.orderBy("station_id").coalesce(max(1, n // 4096)).persist()  # a fit is many passes over few rows; it starts from rows drawn by their place, so places are fixed
+    rows.count()  # held before fits ask for it side by side
     ks = [k for k in range(k_range[0], k_range[1] + 1) if k < n]
     fit = lambda k, s: lambda: KMeans(k=k, seed=C.SEED + s, featuresCol="features", predictionCol="label", maxIter=50, initMode="random").fit(rows)
     fits = at_once([fit(k, s) for k in ks for s in range(restarts)])

@@ -50,7 +50,7 @@ class Frames:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return flows.monthly_from_daily(self.daily)
+        return flows.monthly_from_daily(cut(self.daily))  # read twice, for sums and for days
 
     @cached_property
     def points(self) -> DataFrame:
