@@ -103,6 +103,16 @@ def paths(sig: np.ndarray, least_depth: int) -> np.ndarray:
     return np.stack(out, axis=2)
 
 
+def repeats(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values that ``sh`` has more than once, how often each), in order; ``sh`` is sorted in place, since copies of millions would fill a worker."""
+    sh.sort()
+    same = np.zeros(len(sh) + 1, bool)  # as the one before
+    same[1:-1] = sh[1:] == sh[:-1]
+    first = np.flatnonzero(same[1:] & ~same[:-1])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return sh[first], last - first + 1
+
+
 def common(docs: DataFrame, words: int) -> np.ndarray:
     """The commonest shingles, sorted by hash: they come last in the order of prefixes, which decides its cost and not its result.
 
@@ -112,8 +122,10 @@ def common(docs: DataFrame, words: int) -> np.ndarray:
 
     def count(batches):
         def told(held):
-            sh, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(sh[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["sh", "n"])
+            sh = np.concatenate(held)
+            held.clear()
+            sh, n = repeats(sh)
+            return pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(n)], names=["sh", "n"])
 
         held, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
@@ -122,7 +134,7 @@ def common(docs: DataFrame, words: int) -> np.ndarray:
                 size += len(held[-1])
             if size > 1 << 22:
                 yield told(held)
-                held, size = held[:1], 0
+                held, size = [np.zeros(0, np.uint64)], 0
         yield told(held)
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "sh long, n long")
@@ -291,7 +303,9 @@ def across(rows: DataFrame, levels: int) -> DataFrame:
                 pairs.add((first[levels + i], last[levels + i]))
         if first[0] == last[0]:
             pairs.add((nid, end))
-    return rows.sparkSession.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "a long, b long")
+    both = np.array(sorted(p for p in pairs if p[0] != p[1]), np.int64).reshape(-1, 2)
+    # from Arrow: rows of a Python list would go through other Python workers, as functions of RDDs do
+    return rows.sparkSession.createDataFrame(pa.table({"a": both[:, 0], "b": both[:, 1]}), "a long, b long")
 
 
 def meetings(node: DataFrame, least_depth: int, least: float) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewheel.llm import shared, text as tx
@@ -35,6 +36,7 @@ FILTERS = 12
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS) - 1
 SHARD, SHARD_BYTES = 8192, 1 << 27  # rows and bytes of text of a shard
+SLICE = 1 << 14  # numbers of a sum that travel in one row
 
 
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ class Fit:
             own = order[b : b + batch]
             sizes = np.array([len(docs[i]) for i in own])
             at = np.concatenate([[0], np.cumsum(sizes)])
-            idx = np.concatenate([docs[i] for i in own])
+            idx = np.concatenate([docs[i] for i in own]).astype(np.int32)
             x = m.vectors(idx)
             best, pooled = [], []
             for k in range(len(WIDTHS)):
@@ -202,8 +204,75 @@ class Fit:
             r += (dr / k).astype(np.float32)
 
 
-def _added(a, b):
-    return [_added(x, y) for x, y in zip(a, b)] if isinstance(a, list) else a + b
+def _flattened(change: tuple) -> list[np.ndarray]:
+    """The changes of :meth:`Fit.epoch` as flat arrays, which may be added up shard by shard."""
+    n, dense, *tables = change
+    return [np.array([n], np.float64), np.concatenate([np.ravel(d) for d in dense]), *(np.ravel(v) for t in tables for v in t)]
+
+
+def _unflattened(flat: list[np.ndarray], fit: Fit) -> list:
+    """Sums of flat arrays in the form that :meth:`Fit.move` takes."""
+    shapes = [np.shape(v) for v in fit._flat()]
+    to = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    dense = [v.reshape(s) for v, s in zip(np.split(flat[1], to), shapes)]
+    tables = [[flat[i].reshape(-1, DIM), flat[i + 1].reshape(-1, DIM), flat[i + 2]] for i in (2, 5)]
+    return [float(flat[0][0]), dense, *tables]
+
+
+def opened(batches) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(table rows of each text, toxic, aside) of a shard; the first are views of the batches, not copies."""
+    x, y, aside = [], [np.zeros(0, np.float32)], [np.zeros(0, bool)]
+    for batch in batches:
+        col = batch.column(2)
+        _, offs, data = col.buffers()
+        offs = np.frombuffer(offs, np.int32)[col.offset : col.offset + len(col) + 1].tolist()
+        x += [np.frombuffer(data, np.uint16, (e - s) // 2, s).reshape(-1, 2) for s, e in zip(offs, offs[1:])]
+        y.append(batch.column(0).to_numpy().astype(np.float32))
+        aside.append(batch.column(1).to_numpy(zero_copy_only=False))
+    return x, np.concatenate(y), np.concatenate(aside)
+
+
+def summed(dealt: DataFrame, each) -> dict:
+    """Sums by key, over all shards, of the flat arrays that ``each(shard, x, toxic, aside)`` yields as (key, array).
+
+    Arrays travel in slices, and a slice is added up shard by shard, so a task holds one of them and the driver one shard's worth
+    of numbers, however many shards there are.  All is done in Arrow, as elsewhere: executors keep other Python workers, and their
+    memory, for functions of RDDs.
+    """
+    names = ["key", "at", "shard", "wide", "part"]
+
+    def tell(batches):
+        shard = TaskContext.get().partitionId()
+        held = opened(batches)
+        for key, v in each(shard, *held) if held[0] else ():
+            at = range(0, len(v), SLICE)
+            cols = [[key] * len(at), list(at), [shard] * len(at), [v.dtype == np.float64] * len(at), [v[s : s + SLICE].tobytes() for s in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=names)
+
+    def add(batches):
+        def told(last, total):
+            cols = [[last[0]], [last[1]], [total.dtype == np.float64], [total.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["key", "at", "wide", "part"])
+
+        last, total = None, None
+        for batch in batches:
+            for key, at, wide, part in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                v = np.frombuffer(part, np.float64 if wide else np.float32)
+                if (key, at) == last:
+                    total += v
+                    continue
+                if last is not None:
+                    yield told(last, total)
+                last, total = (key, at), v.copy()
+        if last is not None:
+            yield told(last, total)
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.mapInArrow(tell, "key int, at int, shard int, wide boolean, part binary").repartition(n, "key", "at").sortWithinPartitions("key", "at", "shard")
+    found: dict = {}
+    for r in sorted(rows.mapInArrow(add, "key int, at int, wide boolean, part binary").toArrow().to_pylist(), key=lambda r: (r["key"], r["at"])):
+        found.setdefault(r["key"], []).append(np.frombuffer(r["part"], np.float64 if r["wide"] else np.float32))
+    return {k: np.concatenate(v) for k, v in found.items()}
 
 
 def held_out(doc_id):
@@ -260,34 +329,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int | None = None, least:
     shards = max(1, got.n // SHARD, got.size // SHARD_BYTES)
     dealt = table.repartition(shards, "draw").sortWithinPartitions("doc_id").select("toxic", "aside", "x").persist()
 
-    def opened(rows):
-        rows = list(rows)
-        x = [np.frombuffer(r.x, np.uint16).reshape(-1, 2).astype(np.int32) for r in rows]
-        return x, np.array([r.toxic for r in rows], np.float32), np.array([r.aside for r in rows], bool)
-
-    def counted(rows):
-        x, y, aside = opened(rows)
-        yield np.stack([_evidence(x, y), _evidence([d for d, a in zip(x, aside) if not a], y[~aside])])
+    def counted(_, x, y, aside):
+        for i, own in enumerate((np.arange(len(x)), np.flatnonzero(~aside))):
+            yield i, _evidence([x[j] for j in own], y[own]).ravel()
 
-    first = dealt.rdd.mapPartitions(counted).map(lambda c: (0, c)).reduceByKey(_added, 1).collect()[0][1]
-    fits = [Fit(c, n - p, p, evidence) if 0 < p < n else None for c, (n, p, _) in zip(first, kinds)]
+    first = summed(dealt, counted)
+    fits = [Fit(first[i].reshape(2, 2, -1), n - p, p, evidence) if 0 < p < n else None for i, (n, p, _) in enumerate(kinds)]
     for k in range(epochs):
         sent = spark.sparkContext.broadcast(fits)  # fixed size
 
-        def one_epoch(shard, rows):
-            x, y, aside = opened(rows)
+        def one_epoch(shard, x, y, aside):
             for i, (f, (_, _, without)) in enumerate(zip(sent.value, kinds)):
                 own = np.flatnonzero(~aside) if without else np.arange(len(x))
                 if f is not None and len(own):
                     # a worker's broadcast may serve other shards too
                     change = copy.deepcopy(f).epoch([x[j] for j in own], y[own], np.random.default_rng([5, k, shard]))
-                    yield from (((i, j), v) for j, v in enumerate(change))
+                    yield from ((8 * i + j, v) for j, v in enumerate(_flattened(change)))
 
-        # pieces are added up by key, so the driver gets one shard's worth of numbers, however many shards there are
-        change = dict(dealt.rdd.mapPartitionsWithIndex(one_epoch).reduceByKey(_added, 4).collect())
+        change = summed(dealt, one_epoch)
         for i, f in enumerate(fits):
             if f is not None:
-                f.move([change[i, j] for j in range(4)])
+                f.move(_unflattened([change[8 * i + j] for j in range(8)], f))
         del change
         sent.destroy()
     dealt.unpersist()
