@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewheel.functions import scalars as S
-from tidewheel.session import at_once, cut
+from tidewheel.session import at_once, cut, prepare_workers
 
 NONE = "(none)"
 
@@ -114,12 +114,29 @@ def _sums(rows: DataFrame, d: int, weights: np.ndarray | None) -> tuple[np.ndarr
     return total[:k].reshape(d + 1, d + 1), total[k:-2], float(total[-2]), float(total[-1])
 
 
+def matrix(train: DataFrame, targets: list[str], how: Design) -> DataFrame:
+    """The design's numbers ``x`` of each row, and its ``targets``, computed once for all fits; rows without one of the numbers are left out."""
+    prepare_workers(train.sparkSession)
+    d = len(how.columns())
+    rows = train.select(F.array(*how.columns()).cast("array<double>").alias("x"), *[F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(targets)])
+
+    def whole(batches):  # as a condition of Spark's it would be pushed below the design and compute it twice
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            yield batch.filter(pa.array(~np.isnan(x).any(axis=1)))
+
+    return cut(rows.mapInArrow(whole, rows.schema))
+
+
 def fit(train: DataFrame, target: str, how: Design, counts: bool, alpha: float = 1.0, tolerance: float = 1e-10, most_steps: int = 100) -> Additive:
     """Least squares in one pass, or Newton steps (halved while they do not lower the loss) until the gradient is below ``tolerance``."""
-    x = F.array(*how.columns())
+    return fit_rows(matrix(train, [target], how), "y0", how, counts, alpha, tolerance, most_steps)
+
+
+def fit_rows(rows: DataFrame, target: str, how: Design, counts: bool, alpha: float = 1.0, tolerance: float = 1e-10, most_steps: int = 100) -> Additive:
+    """:func:`fit` to the column ``target`` of a :func:`matrix`."""
     d = len(how.columns())
-    rows = train.select(x.alias("x"), F.col(target).cast("double").alias("y")).filter("y IS NOT NULL AND NOT isnan(y) AND forall(x, v -> v IS NOT NULL AND NOT isnan(v))")
-    rows = cut(rows)  # read once a step
+    rows = rows.select("x", F.col(target).alias("y")).filter("y IS NOT NULL AND NOT isnan(y)")
     penalty = np.full(d + 1, alpha)
     penalty[0] = 0.0
     if not counts:

@@ -6,6 +6,7 @@ partial sums of a task are shuffled by (model, node) and the reducer answers wit
 some hundred bytes a node and never a row.  Trees grow best-first, as far as ``max_leaf_nodes`` goes: a pass serves every
 node that could still be reached.  A node of at most ``SMALL`` rows is not asked level by level: its rows (bin numbers, gradient, hessian) are shuffled to
 one reducer, which answers with the splits of everything below it, so a tree takes as many passes as its large nodes are deep, and one.
+Where a caller allows it, a model of few rows in all is grown to its last tree by one task: its rows are shuffled once, not in every round.
 Several models (settings, targets) grow in the same passes.  Passes are RDD jobs over the cached blocks: as DataFrame plans, hundreds of small jobs took 0.3 s
 each on this box, most of it planning.
 
@@ -38,6 +39,7 @@ LEAST_CATEGORY = 10
 LEAST_HESSIAN = 1e-3
 KEPT_ROUNDS = 16  # rounds between written states
 SMALL = MANY_ROWS  # rows of a node whose subtree is grown by one reducer, no more than a task holds anyway (27 bytes a row with 11 features)
+ALONE = 4 * MANY_ROWS  # rows of a model that one task may fit (see Boost.fit); larger ones are fitted by passes
 
 
 @dataclass(frozen=True)
@@ -143,10 +145,14 @@ class Tree:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf number of each row of ``x`` (features x rows)."""
-        at, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
-        for _ in range(self.depth):
-            go = self.goes_left[at, x[self.feature[at], rows]]
-            at = np.where(go, self.left[at], self.right[at])
+        at, todo = np.zeros(x.shape[1], np.int64), [(0, np.arange(x.shape[1]))]
+        while todo:
+            node, rows = todo.pop()
+            if self.left[node] == node:
+                at[rows] = node
+            elif len(rows):
+                goes = self.goes_left[node].take(x[self.feature[node]].take(rows))
+                todo += [(self.left[node], rows[goes]), (self.right[node], rows[~goes])]
         return at
 
 
@@ -314,10 +320,10 @@ def subtree(path: str, x: np.ndarray, g: np.ndarray, h: np.ndarray, categorical:
         _, p, rows, node, hist = heapq.heappop(heap)
         splits -= 1
         if splits and len(rows) >= 2 * s.min_samples_leaf and (s.max_depth is None or len(p) + 1 < s.max_depth):
-            goes = node.left[x[node.feature][rows]]
+            goes = node.left.take(x[node.feature].take(rows))
             few, many = sorted(((p + "L", rows[goes]), (p + "R", rows[~goes])), key=lambda c: len(c[1]))
             if len(many[1]) >= 2 * s.min_samples_leaf:
-                own = _sums(x[:, few[1]], g[few[1]], h[few[1]], 1)[:, 0]
+                own = _sums(x.take(few[1], axis=1), g.take(few[1]), h.take(few[1]), 1)[:, 0]
                 rest = hist - own
                 rest[rest[..., 2] == 0] = 0
                 for c, sums in sorted([(few, own), (many, rest)], key=lambda c: c[0][0]):
@@ -326,6 +332,26 @@ def subtree(path: str, x: np.ndarray, g: np.ndarray, h: np.ndarray, categorical:
     return found
 
 
+def grown(x: np.ndarray, y: np.ndarray, flags: np.ndarray, job: Job, stops: bool, start: float, categorical: int) -> tuple[list[Tree], np.ndarray]:
+    """All trees of a model whose rows are at hand (bins as features x rows), and (summed absolute error, rows) of the recent ones: what passes find round by round."""
+    s, trees, losses = job.setting, [], []
+    used, aside = (np.flatnonzero(rows) for rows in _used(job, stops, flags, y))
+    recent = np.flatnonzero(((flags & RECENT) != 0) & ~np.isnan(y))
+    raw, own = np.full(len(y), start), np.ascontiguousarray(x[:, used])
+    while len(used) and len(trees) < s.max_iter and (not trees or trees[-1].depth > 0):
+        if stops:
+            losses.append(-_loss(job.loss, raw[aside], y[aside]) / max(len(aside), 1.0))
+            if _settled(losses, s):
+                break
+        grower = Grower(s)
+        for path, node in subtree("", own, *_derivatives(job.loss, raw[used], y[used]), categorical, s):
+            grower.tell(path, node)
+        trees.append(grower.finish())
+        raw += trees[-1].value[trees[-1].leaves(x)]
+    mean = np.exp(raw[recent]) if job.loss == "poisson" else raw[recent]
+    return trees, np.array([np.abs(mean - y[recent]).sum(), len(recent)], float)
+
+
 # --- blocks and passes ---------------------------------------------------------------------------------------------------------
 
 _STATE = "x binary, y binary, part binary, raw binary"
@@ -364,6 +390,11 @@ def _blocks(train: DataFrame, bins: Bins, targets: list[str], recent, aside) ->
     return rows.mapInArrow(pack, _STATE)
 
 
+def tasks_of(spark, n: int) -> int:
+    """Partitions for ``n`` rows."""
+    return max(min(n // FEW_ROWS, spark.sparkContext.defaultParallelism), n // MANY_ROWS, 1)
+
+
 def _open(r: tuple, features: int, targets: int, models: int):
     x, y, part, raw = r
     flags = np.frombuffer(part, np.uint8)
@@ -425,7 +456,7 @@ class Boost:
         self.spark, self.targets = train.sparkSession, targets
         self.bins = find_bins(train, numeric, classes)
         n = train.count()
-        tasks = max(min(n // FEW_ROWS, self.spark.sparkContext.defaultParallelism), n // MANY_ROWS, 1)
+        tasks = tasks_of(self.spark, n)
         self.rows = cut(_blocks(train.repartition(tasks), self.bins, targets, F.lit(False) if recent is None else recent, F.lit(False) if aside is None else aside)).rdd.map(tuple)
 
     def _summed(self, state, run, jobs: list[Job], weights: dict[tuple, float]) -> list[tuple]:
@@ -473,8 +504,36 @@ class Boost:
         used = [len(v) + (not self.bins.categorical(f)) for f, v in enumerate([*self.bins.numeric.values(), *self.bins.classes.values()])]
         return np.concatenate([f * BINS + np.append(np.arange(min(n, MISSING)), MISSING) for f, n in enumerate(used)])
 
-    def fit(self, jobs: list[Job]) -> tuple[list[Model], list[float | None]]:
-        """Models of all jobs and their mean absolute errors on the recent rows (None without such rows)."""
+    def _alone(self, jobs: list[Job], some: list[int], stops: list[bool], start: list[float]) -> dict[int, tuple[list[Tree], np.ndarray]]:
+        """Trees and errors (see :func:`grown`) of the models ``some``, each fitted by a task that its rows are sent to."""
+        k, t, m, categorical = len(self.bins.columns), len(self.targets), len(jobs), len(self.bins.numeric)
+        place = {j: i for i, j in enumerate(some)}
+
+        def send(number, blocks):
+            for i, block in enumerate(blocks):
+                x, y, flags, _ = _open(block, k, t, m)
+                for j in some:
+                    own = y[jobs[j].target]
+                    there = ~np.isnan(own)
+                    yield j, (number, i, x[:, there], own[there], flags[there])
+
+        def grow(pairs):
+            parts = {}
+            for j, part in pairs:
+                parts.setdefault(j, []).append(part)
+            while parts:
+                j, own = parts.popitem()
+                rows = [np.concatenate(c, axis=-1) for c in list(zip(*sorted(own, key=lambda p: p[:2])))[2:]]
+                yield j, grown(*rows, jobs[j], stops[j], start[j], categorical)
+
+        # trees x nodes x 300 bytes a model
+        return dict(self.rows.mapPartitionsWithIndex(send).partitionBy(len(some), place.get).mapPartitions(grow).collect())
+
+    def fit(self, jobs: list[Job], alone: int = 0) -> tuple[list[Model], list[float | None]]:
+        """Models of all jobs and their mean absolute errors on the recent rows (None without such rows).
+
+        A model whose target is known in at most ``alone`` rows is fitted by one task, others by passes.
+        """
         k, t, m = len(self.bins.columns), len(self.targets), len(jobs)
         one = lambda kind: {(j, kind): 1 for j in range(m)}
 
@@ -496,12 +555,19 @@ class Boost:
             models.append(Model(self.bins, job.loss, float(np.log(max(mean, 1e-15))) if job.loss == "poisson" else float(mean)))
         start = [x.start for x in models]
         live = {j for j in range(m) if known[j][0] > 0 and jobs[j].setting.max_iter > 0}
+        judged = {}
+        if few := [j for j in sorted(live) if known[j][0] + (0 if jobs[j].recent else known[j][4]) <= alone]:
+            done = self._alone(jobs, few, stops, start)
+            for j in few:
+                models[j].trees, judged[j] = done[j]
+            live -= set(few)
+            if len(few) == m:
+                return models, [_mean(judged.get(j)) for j in range(m)]
         losses: list[list[float]] = [[] for _ in jobs]
-        state, held, fresh = self.rows, None, {}
+        state, held, fresh, rounds = self.rows, None, {}, 0
         while True:
             # the finished trees are added to the blocks' raw values, and the next trees' roots are summed in the same pass
             state = state.map(_add(k, t, m, start if held is None else None, dict(fresh))).persist(StorageLevel.MEMORY_AND_DISK)
-            rounds = max((len(x.trees) for x in models), default=0)
             if rounds and rounds % KEPT_ROUNDS == 0:
                 state.checkpoint()  # written by the pass below: lineage is this many rounds at most
             growers = {j: Grower(jobs[j].setting) for j in live}
@@ -527,7 +593,7 @@ class Boost:
                 ask = {j: w for j in live - left_out if (w := growers[j].wanted())}
             if held is not None:
                 held.unpersist()
-            held, live = state, live - left_out
+            held, live, rounds = state, live - left_out, rounds + 1
             fresh = {j: growers[j].finish() for j in live}
             for j, tree in fresh.items():
                 models[j].trees.append(tree)
@@ -545,10 +611,14 @@ class Boost:
                 mean = np.exp(raw[j][rows]) if job.loss == "poisson" else raw[j][rows]
                 yield (j, "error"), np.array([np.abs(mean - y[job.target][rows]).sum(), rows.sum()], float)
 
-        found = {j: v for j, _, v in self._summed(state, errors, jobs, one("error"))}
+        judged = {j: v for j, _, v in self._summed(state, errors, jobs, one("error"))} | judged
         if held is not None:
             held.unpersist()
-        return models, [float(found[j][0] / found[j][1]) if j in found and found[j][1] else None for j in range(m)]
+        return models, [_mean(judged.get(j)) for j in range(m)]
+
+
+def _mean(sums: np.ndarray | None) -> float | None:
+    return float(sums[0] / sums[1]) if sums is not None and sums[1] else None
 
 
 def _add(features: int, targets: int, models: int, start: list[float] | None, trees: dict[int, Tree]):

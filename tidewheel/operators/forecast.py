@@ -95,15 +95,27 @@ def featured(daily: DataFrame, station_zone: DataFrame, weather: DataFrame, holi
     return rows.withColumns({"typology_cluster": F.col("cluster").cast("string"), "holiday": F.col("is_holiday").cast("double"), "bin": F.coalesce(S.precip_bin("precip_mm"), F.lit("nan"))}).drop("cluster")
 
 
+def fold_frame(daily: DataFrame, station_zone: DataFrame, weather: DataFrame, holidays: list[str], labels: DataFrame) -> DataFrame:
+    """:func:`featured` of a stored daily table, stored in parts that keep every core busy (as few as its bytes ask for would be one for a million rows)."""
+    tasks = boosting.tasks_of(daily.sparkSession, daily.count())
+    return cut(featured(daily, station_zone, weather, holidays, labels).repartition(tasks, *ROW_KEYS))
+
+
+def gam_many(train: DataFrame, targets: dict[str, bool], alpha: float = 1.0) -> dict:
+    """For each target (True: counts) a function that scores a frame, see :func:`gam`; the design is computed once for all."""
+    how = additive.design(train, "temp_mean_c", "hour", CLASSES, ["holiday", "doy_sin", "doy_cos"])
+    rows = additive.matrix(train, list(targets), how)
+    models = at_once([lambda i=i, c=c: additive.fit_rows(rows, f"y{i}", how, c, alpha) for i, c in enumerate(targets.values())])
+    return {t: (lambda df, m=m: df.withColumn("gam", m.column())) for t, m in zip(targets, models)}
+
+
 def gam(train: DataFrame, target: str, counts: bool, alpha: float = 1.0):
     """A spline and one-hot model: Poisson with log link for counts, ridge for net; returns a function that scores a frame.
 
     Temperature has 5 even knots between the training extremes and is constant beyond them, hour 6 periodic ones; day of
     week, typology cluster and rain class are one-hot, the holiday and the day of the year pass through.  A class not seen in training adds nothing.
     """
-    how = additive.design(train, "temp_mean_c", "hour", CLASSES, ["holiday", "doy_sin", "doy_cos"])
-    model = additive.fit(train, target, how, counts, alpha)
-    return lambda df: df.withColumn("gam", model.column())
+    return gam_many(train, {target: counts}, alpha)[target]
 
 
 GBM_GRID = (boosting.Setting(max_iter=100, learning_rate=0.1), boosting.Setting(max_iter=200, learning_rate=0.05), boosting.Setting(max_iter=200, learning_rate=0.1, max_depth=6))
@@ -124,12 +136,12 @@ def gbm_many(train: DataFrame, targets: dict[str, bool], grid=GBM_GRID) -> dict[
     rows = boosting.Boost(split, GBM_NUMERIC, GBM_CLASSES, names, F.col("is_validation"), aside)
     loss = {t: "poisson" if counts else "squared" for t, counts in targets.items()}
     jobs = [boosting.Job(i, loss[t], s, False) for i, t in enumerate(names) for s in grid]
-    _, errors = rows.fit(jobs)
+    _, errors = rows.fit(jobs, boosting.ALONE)
     best = []
     for i in range(len(names)):
         own = errors[i * len(grid) : (i + 1) * len(grid)]
         best.append(min(range(len(grid)), key=lambda k: (own[k] if own[k] is not None else float("inf"), k)))
-    models, _ = rows.fit([boosting.Job(i, loss[t], grid[k], True) for i, (t, k) in enumerate(zip(names, best))])
+    models, _ = rows.fit([boosting.Job(i, loss[t], grid[k], True) for i, (t, k) in enumerate(zip(names, best))], boosting.ALONE)
     return {t: (lambda df, m=m: m.transform(df, "gbm"), grid[k], errors[i * len(grid) + k]) for i, (t, m, k) in enumerate(zip(names, models, best))}
 
 
@@ -146,16 +158,16 @@ def run_fold(rows: DataFrame, month: str, station_zone: DataFrame, weather: Data
     """
     from tidewheel.operators import flows, typology
 
+    rows = cut(rows)  # read by the typology, the features and the naive tier
     held = S.month_key("date") == month
     labels = cut(typology.refit(rows.filter(~held), scale))
-    frame = cut(featured(rows, station_zone, weather, holidays, labels))
+    frame = fold_frame(rows, station_zone, weather, holidays, labels)
     train, test = frame.filter(f"month <> '{month}'"), frame.filter(f"month = '{month}'")
-    monthly = flows.monthly_from_daily(rows.filter(~held))
+    targets = dict.fromkeys(("arrivals_count", "departures_count"), True)
+    monthly, smooth, trees = at_once([lambda: cut(flows.monthly_from_daily(rows.filter(~held))), lambda: gam_many(train, targets), lambda: gbm_many(train, targets, grid)])
     out = predict(test, naive(monthly), flat(monthly))
-    targets = ("arrivals_count", "departures_count")
-    *smooth, trees = at_once([lambda t=t: gam(train, t, counts=True) for t in targets] + [lambda: gbm_many(train, dict.fromkeys(targets, True), grid)])
-    for t, gam_of in zip(targets, smooth):
-        out = trees[t][0](gam_of(out).withColumnRenamed("gam", f"gam_{t}")).withColumnRenamed("gbm", f"gbm_{t}")
+    for t in targets:
+        out = trees[t][0](smooth[t](out).withColumnRenamed("gam", f"gam_{t}")).withColumnRenamed("gbm", f"gbm_{t}")
     out = out.withColumns({t: F.col(f"{t}_arrivals_count") - F.col(f"{t}_departures_count") for t in ("gam", "gbm")})
     low, high = train.agg(F.min("temp_mean_c"), F.max("temp_mean_c")).first()
     return guarded(out, F.lit(low), F.lit(high))

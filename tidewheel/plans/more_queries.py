@@ -170,17 +170,18 @@ _HOLIDAYS = ("1990-01-01", "2030-12-31")
 
 def _fold(x):
     """(every other month, the month held out), with every feature."""
-    labels = typology.refit(x.daily.filter(S.month_key("date") != FOLD_MONTH), 20.0)
-    d = cut(forecast.featured(x.daily, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), labels))
+    daily = cut(x.daily)  # read by the typology and the features
+    labels = typology.refit(daily.filter(S.month_key("date") != FOLD_MONTH), 20.0)
+    d = forecast.fold_frame(daily, x.zones, x.weather, forecast.us_holidays(*_HOLIDAYS), labels)
     return d.filter(F.col("month") != FOLD_MONTH), d.filter(F.col("month") == FOLD_MONTH)
 
 
 @query("m13_ml_gam")
 def _(x):
     train, test = _fold(x)
-    out = None
-    for target in ("departures_count", "arrivals_count", "net"):
-        p = forecast.gam(train, target, counts=target != "net")(test)
+    models, out = forecast.gam_many(train, {"departures_count": True, "arrivals_count": True, "net": False}), None
+    for target, model in models.items():
+        p = model(test)
         p = p.groupBy("day_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.col("gam"))).alias("mae")).withColumn("target", F.lit(target))
         out = p if out is None else out.unionByName(p)
     return out
